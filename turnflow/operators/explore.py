@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from turnflow.constants import PROFILE_FIELDS
 from turnflow.functions.messages import tool_names
 from turnflow.plans.ordering import with_position
-from turnflow.plans.shared import join_checked
+from turnflow.plans.shared import join_checked, written
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -66,23 +66,31 @@ def tool_usage(df: DataFrame) -> DataFrame:
     return calls.groupBy("tool").agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), "tool")
 
 
+def value_counts(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows per distinct value, written once, so that a costly `column` is computed in one pass.
+
+    Lengths and token counts have few distinct values, however many rows there are.
+    """
+    return written(df.groupBy(*by, F.col(column).alias("v")).agg(F.count("*").alias("n")), "value-counts")
+
+
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Rows per equal-width bin between the smallest and the largest value; the last bin is closed."""
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    low = values.agg(F.min("v").alias("low")).scalar()
-    high = values.agg(F.max("v").alias("high")).scalar()
-    spread = high - low
-    width = spread / bins
-    number = F.when(spread == 0, F.lit(bins // 2)).otherwise(
+    counts = value_counts(df.filter(F.col(column).isNotNull()), column)
+    low = counts.agg(F.min("v").cast("double").alias("low")).scalar()
+    high = counts.agg(F.max("v").cast("double").alias("high")).scalar()
+    width = (high - low) / bins
+    number = F.when(high == low, F.lit(bins // 2)).otherwise(
         F.least(F.floor((F.col("v") - low) / width).cast("int"), F.lit(bins - 1))
     )
-    return values.select(number.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    return counts.groupBy(number.alias("bin")).agg(F.sum("n").alias("n"))
 
 
-def _quartiles(df: DataFrame, column: str, by: str) -> DataFrame:
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+def _fences(counts: DataFrame, by: str) -> DataFrame:
+    """Quartiles of counted values, and the bounds 1.5 times their range beyond them."""
+    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
     spread = F.col("q")[2] - F.col("q")[0]
-    return df.groupBy(by).agg(q.alias("q")).select(
+    return counts.groupBy(by).agg(q.alias("q")).select(
         F.col(by).alias("_by"),
         F.col("q")[0].alias("q1"),
         F.col("q")[1].alias("median"),
@@ -92,28 +100,26 @@ def _quartiles(df: DataFrame, column: str, by: str) -> DataFrame:
     )
 
 
-def _with_fences(df: DataFrame, column: str, by: str) -> DataFrame:
-    fences = _quartiles(df, column, by)
-    rows = join_checked(df, fences, F.col(by).eqNullSafe(F.col("_by")), "inner")
-    return rows.withColumn("is_outlier", ~F.col(column).between(F.col("_low"), F.col("_high")))
-
-
 def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     """Quartiles, the extreme values within 1.5 times the quartile range, and the number beyond."""
-    inside = F.when(~F.col("is_outlier"), F.col(column))
-    return _with_fences(df, column, by).groupBy(by).agg(
+    counts = value_counts(df.filter(F.col(column).isNotNull()), column, (by,))
+    fenced = counts.join(_fences(counts, by), F.col(by).eqNullSafe(F.col("_by")))
+    inside = F.col("v").between(F.col("_low"), F.col("_high"))
+    return fenced.groupBy(by).agg(
         F.max("q1").alias("q1"),
         F.max("median").alias("median"),
         F.max("q3").alias("q3"),
-        F.min(inside).cast("double").alias("whisker_low"),
-        F.max(inside).cast("double").alias("whisker_high"),
-        F.count_if("is_outlier").alias("outliers"),
+        F.min(F.when(inside, F.col("v"))).cast("double").alias("whisker_low"),
+        F.max(F.when(inside, F.col("v"))).cast("double").alias("whisker_high"),
+        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
     )
 
 
 def box_outliers(df: DataFrame, column: str, by: str) -> DataFrame:
     """The rows beyond the whiskers of `box_stats`."""
-    return _with_fences(df, column, by).filter("is_outlier").select(*df.columns)
+    fences = _fences(value_counts(df.filter(F.col(column).isNotNull()), column, (by,)), by)
+    rows = join_checked(df, fences, F.col(by).eqNullSafe(F.col("_by")), "inner")
+    return rows.filter(~F.col(column).between(F.col("_low"), F.col("_high"))).select(*df.columns)
 
 
 def cumulative_share(df: DataFrame, column: str, by: str, id_col: str) -> DataFrame:

@@ -11,7 +11,7 @@ from turnflow.constants import (
 from turnflow.functions.chat import MESSAGE_END, conversation_for_sft, render_chat, render_prompt
 from turnflow.functions.tokens import attention_mask, count_tokens, pad, piece_ids, pieces, tokenize
 from turnflow.operators.checks import require_columns, require_rows
-from turnflow.plans.shared import written
+from turnflow.plans.shared import with_computed_once, written
 
 Tokenizer = Callable[[list[str]], list[list[int]]]
 
@@ -35,9 +35,9 @@ def tokenize_dataset(
         kept = df.withColumn("_pieces", pieces(text))
         if truncation:
             kept = kept.withColumn("_pieces", _cut("_pieces", max_length))
-        kept = kept.withColumn("_ids", piece_ids(F.col("_pieces")))
+        kept = with_computed_once(kept, "_ids", piece_ids(F.col("_pieces")))
     else:
-        kept = df.withColumn("_ids", tokenize(text, tokenizer))
+        kept = with_computed_once(df, "_ids", tokenize(text, tokenizer))
         if truncation:
             kept = kept.withColumn("_ids", _cut("_ids", max_length))
     length = max_length if padding else 0
@@ -57,7 +57,7 @@ def with_token_count(df: DataFrame, tokenizer: Tokenizer | None = None) -> DataF
         return df.withColumn("token_count", F.size("input_ids"))
     text = render_chat(F.col("messages"))
     count = count_tokens(text) if tokenizer is None else F.size(tokenize(text, tokenizer))
-    return df.withColumn("token_count", count)
+    return with_computed_once(df, "token_count", count)
 
 
 def token_statistics(counts: DataFrame, by: str | None = None) -> DataFrame:
@@ -164,29 +164,25 @@ def prepare_sft(
     messages, target = F.col("messages"), F.col("target_response")
     full = conversation_for_sft(messages, target)
     if tokenizer is None:
-        rows = (
-            df.withColumn("_prompt", pieces(render_prompt(F.slice(full, F.lit(1), F.size(full) - 1))))
-            .withColumn("_all", F.concat("_prompt", pieces(F.concat(target, F.lit(MESSAGE_END)))))
-            .withColumn("_ids", piece_ids(_cut("_all", max_length)))
-            .withColumn("_prompt_length", F.size("_prompt"))
-        )
+        prompt = pieces(render_prompt(F.slice(full, F.lit(1), F.size(full) - 1)))
+        answer = pieces(F.concat(target, F.lit(MESSAGE_END)))
+        rows = with_computed_once(df, "_prompt", prompt).withColumn("_prompt_length", F.size("_prompt"))
+        rows = with_computed_once(rows, "_ids", piece_ids(F.slice(F.concat("_prompt", answer), 1, max_length)))
     else:
-        rows = df.withColumn("_ids", _cut_to(tokenize(render_chat(full), tokenizer), max_length)).withColumn(
-            "_prompt_length", F.size(tokenize(render_prompt(messages), tokenizer))
-        )
-    masked = F.transform("_ids", lambda x, i: F.when(i >= F.col("_prompt_length"), x).otherwise(IGNORED_LABEL))
+        rows = with_computed_once(df, "_prompt_length", F.size(tokenize(render_prompt(messages), tokenizer)))
+        rows = with_computed_once(rows, "_ids", F.slice(tokenize(render_chat(full), tokenizer), 1, max_length))
+    ids, masked = F.col("_ids"), F.least(F.col("_prompt_length"), F.size("_ids"))
+    labels = F.concat(
+        F.array_repeat(F.lit(IGNORED_LABEL), masked), F.slice(ids, masked + 1, F.size(ids) - masked)
+    )
     return rows.select(
         pad(F.col("_ids"), max_length, pad_id).alias("input_ids"),
         attention_mask(F.size("_ids"), max_length).alias("attention_mask"),
-        pad(masked, max_length, IGNORED_LABEL).alias("labels"),
+        pad(labels, max_length, IGNORED_LABEL).alias("labels"),
         *[F.col(c) for c in ("original_index", "num_turns") if c in df.columns],
     )
 
 
-def _cut_to(ids: Column, length: int) -> Column:
-    return F.slice(ids, 1, length)
-
-
 def untrainable_examples(prepared: DataFrame) -> DataFrame:
     """Rows without a single trainable label: their answer was cut off."""
     return prepared.filter(~F.exists("labels", lambda x: x != IGNORED_LABEL))

@@ -62,10 +62,11 @@ def nested_results(results: DataFrame, scores: DataFrame) -> DataFrame:
         F.coalesce(F.try_element_at(names, F.col("criterion_key")), F.col("criterion_key")).alias("criterion_name"),
         "criterion_key", *raw, probabilities.alias("score_probabilities"), "weighted_score", "justification", "total_cost_usd",
     )
-    per_example = scores.groupBy("example_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("criterion_key", entry.alias("e")))), lambda x: x["e"])
-        .alias("criterion_scores")
-    )
+
+    def by_key(a, b):
+        return F.when(a["criterion_key"] < b["criterion_key"], -1).when(a["criterion_key"] > b["criterion_key"], 1).otherwise(0)
+
+    per_example = scores.groupBy("example_id").agg(F.array_sort(F.collect_list(entry), by_key).alias("criterion_scores"))
     none = F.array().cast(per_example.schema["criterion_scores"].dataType)
     return results.join(per_example, "example_id", "left").withColumn(
         "criterion_scores", F.when(F.col("criteria") > 0, F.col("criterion_scores")).otherwise(none)
