@@ -7,9 +7,9 @@ from catalog.inputs import correct_long, documents, examples, long, merged_long,
 from catalog.registry import query
 from catalog.sql import (
     blank, cleaned, examples_sql, long_examples_sql, long_merged_sql, long_sql, long_turns_sql, mapped_role, merged_sql,
-    money, number, prompt, quoted, raw_sql, turns_sql,
+    WHITESPACE, money, number, prompt, quoted, raw_sql, turns_sql,
 )
-from turnflow.constants import THINK_BLOCK, WHITESPACE
+from turnflow.constants import THINK_BLOCK
 from turnflow.functions import messages as message_functions
 from turnflow.functions import profile as profile_functions
 from turnflow.functions import text

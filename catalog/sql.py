@@ -1,8 +1,12 @@
 """SQL building blocks shared by the checks: the derived inputs as common table expressions."""
 
-from turnflow.constants import NOT_WHITESPACE, PIECE, SYSTEM_PREAMBLE, TOOL_NAME, VOCAB_SIZE, WHITESPACE
+from turnflow.constants import PIECE, SYSTEM_PREAMBLE, VOCAB_SIZE
 from turnflow.sources.bridge import TOOLS
 
+# The characters Python counts as white space; in this dialect \s covers only some of them.
+WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NOT_WHITESPACE = WHITESPACE.replace("[", "[^", 1)
+
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -200,4 +204,4 @@ def long_examples_sql(select: str) -> str:
     return f"WITH {LONG}, {EXAMPLES.replace('{task}', 'segment')} {select}"
 
 
-TOOL_NAMES = f"regexp_extract_all(tool_calls, {quoted(TOOL_NAME)}, 1)"
+TOOL_NAMES = f"""regexp_extract_all(tool_calls, {quoted(f"'name':{WHITESPACE}*'([^']+)'")}, 1)"""

@@ -187,9 +187,21 @@ PREPARED = f"""SELECT id AS original_index, num_turns, {digest_sql(padded_sql('i
   {digest_sql(padded_sql('labels', '{length}', IGNORED_LABEL))} AS labels, len(ids) AS masked_in FROM sft"""
 
 
-@query(sft_sql(PREPARED.replace("{length}", str(TRAINING_LENGTH)), TRAINING_LENGTH))
+@query(sft_sql(f"""SELECT id AS original_index, num_turns, {TRAINING_LENGTH} AS width, len(ids) AS masked_in,
+  {digest_sql('ids')} AS ids, {digest_sql(f"list_filter(labels, lambda x: x <> {IGNORED_LABEL})")} AS trained,
+  greatest({TRAINING_LENGTH} - len(ids), 0) AS padding FROM sft""", TRAINING_LENGTH))
 def prepare_sft(spark, folder):
-    return digested(token_tables.prepare_sft(examples(spark, folder)))
+    prepared = token_tables.prepare_sft(examples(spark, folder))
+    masked_in = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda total, x: total + x)
+    measured = prepared.withColumn("masked_in", masked_in).withColumns({
+        "ids": F.slice("input_ids", F.lit(1), F.col("masked_in").cast("int")),
+        "trained": F.filter("labels", lambda x: x != IGNORED_LABEL),
+        "padding": F.size(F.filter("input_ids", lambda x: x == PAD_ID)).cast("long"),
+    })
+    return measured.select(
+        ID, F.col("num_turns").cast("long").alias("num_turns"), F.size("labels").cast("long").alias("width"), "masked_in",
+        digest("ids").alias("ids"), digest("trained").alias("trained"), "padding",
+    )
 
 
 def digested(prepared: DataFrame) -> DataFrame:

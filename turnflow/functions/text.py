@@ -4,9 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnflow.constants import NOT_WHITESPACE, REPEATED_PUNCTUATION, SCORE, THINK_BLOCK, WHITESPACE
-
-OUTER_WHITESPACE = rf"^{WHITESPACE}+|{WHITESPACE}+\z"
+from turnflow.constants import (
+    NOT_WHITESPACE, OUTER_WHITESPACE, REPEATED_PUNCTUATION, SCORE, THINK_BLOCK, WHITESPACE_RUN,
+)
 
 
 def strip(text: Column) -> Column:
@@ -20,7 +20,7 @@ def is_blank(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Single spaces, no outer white space, and one mark per run of sentence marks."""
-    spaced = F.trim(F.regexp_replace(text, WHITESPACE + "+", " "))
+    spaced = F.trim(F.regexp_replace(text, WHITESPACE_RUN, " "))
     return F.regexp_replace(spaced, REPEATED_PUNCTUATION, "$1")
 
 

@@ -22,7 +22,8 @@ NO_ANSWER = "does not end with an assistant message"
 def with_turns(df: DataFrame) -> DataFrame:
     """Add `turns`: the non-blank messages of `trace` with role and cleaned content."""
     kept = F.filter("trace", lambda m: m.isNotNull() & ~is_blank(m["content"]))
-    return df.withColumn(
+    return with_computed_once(
+        df,
         "turns",
         F.transform(
             kept,

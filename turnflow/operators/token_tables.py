@@ -134,7 +134,8 @@ def analyze_splits(df: DataFrame, percentile: float = 95.0) -> tuple[DataFrame,
     The limit comes from the train split. Tokens are counted once: all steps read the
     written counts.
     """
-    counts = written(with_token_count(df).select("split", "original_index", "token_count"), "token-counts")
+    counted = df if "token_count" in df.columns else with_token_count(df)
+    counts = written(counted.select("split", "original_index", "token_count"), "token-counts")
     limit = recommended_max_length(counts.filter(F.col("split") == "train"), percentile).scalar()
     marked = mark_truncated(counts, limit)
     per_split = token_statistics(counts, "split").join(truncation_stats(marked, "split"), "split")

@@ -47,4 +47,5 @@ def with_computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     Catalyst moves a filter below a projection by copying the projected expressions into
     it; it does not do so for a generated column.
     """
-    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+    others = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*others, F.inline(F.array(F.struct(value.alias(name)))))
