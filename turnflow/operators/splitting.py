@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnflow.operators.checks import require_columns
 from turnflow.plans.ordering import shuffle_key
-from turnflow.plans.shared import join_checked, written
+from turnflow.plans.shared import is_small, written
 
 SPLITS = ["train", "validation", "test"]
 BUCKET_DIGITS = 3
@@ -73,9 +73,11 @@ def stratified_split(
     strata = buckets.groupBy("stratum").agg(F.sum("n").alias("n"))
     rest = validation + test
     quotas = split_quotas(strata, train, validation / rest if rest else 0.0)
-    bounds = _boundaries(keyed, buckets, quotas)
+    # the side tables below have one or two rows per stratum, so one count settles them all
+    small = is_small(strata)
+    bounds = _boundaries(keyed, buckets, quotas, small)
     marked = df.withColumn("_stratum", stratum).withColumn("_at", F.struct(shuffle_key(seed, id_col), F.col(id_col)))
-    joined = join_checked(marked, bounds, F.col("_stratum").eqNullSafe(F.col("_of")), "inner")
+    joined = marked.join(F.broadcast(bounds) if small else bounds, F.col("_stratum").eqNullSafe(F.col("_of")))
     split = (
         F.when(F.col("_at") <= F.col("_train_end"), "train")
         .when(F.col("_at") <= F.col("_validation_end"), "validation")
@@ -84,7 +86,7 @@ def stratified_split(
     return joined.withColumn("split", split).drop("_stratum", "_at", "_of", "_train_end", "_validation_end")
 
 
-def _boundaries(keyed: DataFrame, buckets: DataFrame, quotas: DataFrame) -> DataFrame:
+def _boundaries(keyed: DataFrame, buckets: DataFrame, quotas: DataFrame, small: bool) -> DataFrame:
     """Last train and last train-or-validation row of each stratum."""
     upto = Window.partitionBy("stratum").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranges = buckets.withColumn("_end", F.sum("n").over(upto)).withColumn("_begin", F.col("_end") - F.col("n"))
@@ -101,7 +103,7 @@ def _boundaries(keyed: DataFrame, buckets: DataFrame, quotas: DataFrame) -> Data
         F.max(F.when(F.col("_cut.kind") == "train", F.col("_cut.place") - F.col("_begin"))).alias("_train_at"),
         F.max(F.when(F.col("_cut.kind") == "validation", F.col("_cut.place") - F.col("_begin"))).alias("_validation_at"),
     )
-    candidates = join_checked(keyed, wanted, same & (F.col("_bucket") == F.col("_in")), "inner")
+    candidates = keyed.join(F.broadcast(wanted) if small else wanted, same & (F.col("_bucket") == F.col("_in")))
     ranked = candidates.withColumn(
         "_n", F.row_number().over(Window.partitionBy("stratum", "_bucket").orderBy("_key", "_id"))
     )

@@ -36,9 +36,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
     """Join with a broadcast of `small` if it is counted to be small, else a plain join."""
     small = written(small, "side")
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    return big.join(F.broadcast(small) if is_small(small) else small, on, how)
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether `df`, counted no further than needed, has few enough rows to broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def with_computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
