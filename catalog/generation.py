@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from catalog.explore import rounded, split_examples, COUNTED
 from catalog.inputs import examples
-from catalog.registry import query
+from catalog.registry import query, ship_code
 from catalog.sql import examples_sql, pieces, prompt, quoted
 from turnflow.constants import (
     CRITERIA, JUDGE_ANSWER, JUDGE_CLOSING, JUDGE_HISTORY, JUDGE_OPENING, JUDGE_PROFILE, JUDGE_REFERENCE, JUDGE_STEPS,
@@ -55,17 +55,17 @@ def shown(df: DataFrame) -> DataFrame:
 
 @query(GENERATED)
 def generate(spark, folder):
-    return shown(generation.generate(examples(spark, folder), load_echo))
+    return shown(generation.generate(examples(ship_code(spark), folder), load_echo))
 
 
 @query(GENERATED)
 def generate_batched(spark, folder):
-    return shown(generation.generate_batched(examples(spark, folder), load_echo, batch_size=4))
+    return shown(generation.generate_batched(examples(ship_code(spark), folder), load_echo, batch_size=4))
 
 
 @query()
 def generation_metadata(spark, folder):
-    rows = generation.generate_batched(examples(spark, folder), load_echo)
+    rows = generation.generate_batched(examples(ship_code(spark), folder), load_echo)
     return rows.select(ID, "generation_time_ms", "input_tokens", "output_tokens")
 
 
@@ -74,7 +74,7 @@ def generation_metadata(spark, folder):
   round(sum(input_tokens) / count(*), 6) AS mean_input_tokens,
   round(sum(output_tokens) / count(*), 6) AS mean_output_tokens FROM generated""", ECHO))
 def generation_summary(spark, folder):
-    rows = generation.generate_batched(examples(spark, folder), load_echo)
+    rows = generation.generate_batched(examples(ship_code(spark), folder), load_echo)
     summary = generation.generation_summary(rows).drop("total_time_ms", "mean_time_ms")
     return rounded(summary, "mean_input_tokens", "mean_output_tokens")
 
@@ -169,7 +169,7 @@ def no_wait(seconds):
   CASE WHEN length(prompt) % 11 = 0 THEN 3 ELSE 1 END AS attempts, CASE WHEN length(prompt) % 11 = 0 THEN 'rate limit' END AS error,
   CASE WHEN length(prompt) % 11 <> 0 THEN length(prompt)::BIGINT END AS input_tokens FROM prompts""", PROMPTS))
 def call_judge(spark, folder):
-    prompts = judging.with_judge_prompt(judging.judge_requests(answered(spark, folder), 1))
+    prompts = judging.with_judge_prompt(judging.judge_requests(answered(ship_code(spark), folder), 1))
     asked = prompts.select(ID, F.col("criterion.key").alias("key"), "prompt")
     return judging.call_judge(asked, load_judge, no_wait).select(ID, "key", "content", "attempts", "error", "input_tokens")
 

@@ -9,7 +9,7 @@ from catalog.explore import SPLIT_DOCUMENTS, rounded, split_documents
 from catalog.generation import ECHO, load_echo, results, samples_sql, scores
 from catalog.inputs import examples, raw
 from catalog.metrics import log_sql
-from catalog.registry import query
+from catalog.registry import query, ship_code
 from catalog.sql import examples_sql, raw_sql
 from turnflow.operators.generation import generate_batched
 from turnflow.operators.splitting import SPLITS
@@ -64,7 +64,7 @@ def written_split_statistics(spark, folder):
 
 @query(examples_sql("SELECT id AS original_index, task, generated_response, error, input_tokens FROM generated", ECHO))
 def write_and_read_evaluation(spark, folder):
-    generated = generate_batched(examples(spark, folder), load_echo)
+    generated = generate_batched(examples(ship_code(spark), folder), load_echo)
     target = reports.write_evaluation(generated, place(spark, "evaluation"), include_messages=False)
     schema = T.StructType([f for f in generated.schema if f.name != "messages"])
     saved = reports.read_evaluation(spark, f"{target}/results", schema)
@@ -73,7 +73,7 @@ def write_and_read_evaluation(spark, folder):
 
 @query(examples_sql("SELECT count_if(error IS NULL) AS successful_count, count_if(error IS NOT NULL) AS failed_count FROM generated", ECHO))
 def written_evaluation_summary(spark, folder):
-    generated = generate_batched(examples(spark, folder), load_echo)
+    generated = generate_batched(examples(ship_code(spark), folder), load_echo)
     target = reports.write_evaluation(generated, place(spark, "evaluation"))
     return spark.read.schema("successful_count bigint, failed_count bigint").json(f"{target}/summary")
 

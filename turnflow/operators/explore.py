@@ -13,7 +13,7 @@ def null_profile(df: DataFrame) -> DataFrame:
     """Nulls and their percentage per column, in one pass."""
     counts = df.agg(F.count("*").alias("_rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
     long = counts.unpivot(["_rows"], [f"`{c}`" for c in df.columns], "column_name", "nulls")
-    return long.select("column_name", "nulls", F.round(F.col("nulls") * 100.0 / F.col("_rows"), 2).alias("percent"))
+    return long.select("column_name", "nulls", F.round(F.try_divide(F.col("nulls") * 100.0, F.col("_rows")), 2).alias("percent"))
 
 
 def length_stats(lengths: DataFrame, column: str) -> DataFrame:

@@ -110,11 +110,11 @@ def generation_summary(df: DataFrame) -> DataFrame:
         F.count_if(F.col("error").isNull()).alias("successful_count"),
         F.count_if(F.col("error").isNotNull()).alias("failed_count"),
         total("generation_time_ms").cast("double").alias("total_time_ms"),
-        (total("generation_time_ms") / rows).alias("mean_time_ms"),
+        F.try_divide(total("generation_time_ms"), rows).alias("mean_time_ms"),
         total("input_tokens").alias("total_input_tokens"),
         total("output_tokens").alias("total_output_tokens"),
-        (total("input_tokens") / rows).alias("mean_input_tokens"),
-        (total("output_tokens") / rows).alias("mean_output_tokens"),
+        F.try_divide(total("input_tokens"), rows).alias("mean_input_tokens"),
+        F.try_divide(total("output_tokens"), rows).alias("mean_output_tokens"),
     )
 
 

@@ -117,8 +117,8 @@ def call_judge(requests: DataFrame, load: Callable[[], Callable[[str], dict]], w
         judge = load()
         for frame in frames:
             answers = [_call(judge, prompt, wait) for prompt in frame["prompt"]]
-            made = pd.DataFrame(answers, columns=columns, index=frame.index)
-            yield pd.concat([frame.drop(columns="prompt"), made.astype({"content": object, "error": object})], axis=1)
+            made = pd.DataFrame(answers, columns=columns, index=frame.index, dtype=object)
+            yield pd.concat([frame.drop(columns="prompt"), made.where(made.notna(), None)], axis=1)
 
     schema = requests.drop("prompt").schema
     for field in JUDGED:
@@ -133,7 +133,7 @@ def with_score(samples: DataFrame) -> DataFrame:
 
 def score_probabilities(counts: Column, valid: Column) -> Column:
     """Share of each score among the valid ones, as entries in score order."""
-    entries = F.transform(counts, lambda n, score: F.struct(score.alias("score"), (n / valid).alias("p")))
+    entries = F.transform(counts, lambda n, score: F.struct(score.alias("score"), F.try_divide(n, valid).alias("p")))
     return F.filter(entries, lambda e: e["p"] > 0)
 
 

@@ -181,7 +181,7 @@ def preprocess_report(df: DataFrame) -> DataFrame:
         F.count_if(correct & usable).alias("processed"),
         F.count_if(~correct).alias("filtered"),
         F.count_if(correct & ~usable).alias("failed"),
-        (F.count_if(correct & usable) * 100.0 / F.count("*")).alias("success_rate"),
+        F.try_divide(F.count_if(correct & usable) * 100.0, F.count("*")).alias("success_rate"),
     )
 
 

@@ -100,7 +100,7 @@ def truncation_stats(marked: DataFrame, by: str | None = None) -> DataFrame:
     return grouped.agg(
         F.count("*").alias("total_examples"),
         truncated.alias("truncated_count"),
-        (truncated * 100.0 / F.count("*")).alias("truncated_percentage"),
+        F.try_divide(truncated * 100.0, F.count("*")).alias("truncated_percentage"),
         F.max("tokens_over_limit").cast("long").alias("max_tokens_over"),
         F.coalesce(F.avg(excess), F.lit(0.0)).alias("avg_tokens_over"),
     )
@@ -144,7 +144,7 @@ def analyze_splits(df: DataFrame, percentile: float = 95.0) -> tuple[DataFrame,
         F.max(limit).alias("recommended_max_length"),
         F.count("*").alias("total_examples"),
         truncated.alias("truncated_count"),
-        (truncated * 100.0 / F.count("*")).alias("truncated_percentage"),
+        F.try_divide(truncated * 100.0, F.count("*")).alias("truncated_percentage"),
     )
     return per_split.withColumn("recommended_max_length", limit), overall
 
