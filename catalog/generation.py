@@ -115,7 +115,7 @@ prompts AS (
 
 @query(examples_sql("SELECT id AS original_index, key, name, md5(prompt) AS prompt FROM prompts", PROMPTS))
 def judge_prompt(spark, folder):
-    prompts = judging.with_judge_prompt(judging.judge_requests(answered(spark, folder), 1))
+    prompts = judging.with_judge_prompt(judging.judge_requests(judging.with_judge_context(answered(spark, folder)), 1))
     return prompts.select(ID, "criterion.key", "criterion.name", F.md5("prompt").alias("prompt"))
 
 
@@ -169,7 +169,7 @@ def no_wait(seconds):
   CASE WHEN length(prompt) % 11 = 0 THEN 3 ELSE 1 END AS attempts, CASE WHEN length(prompt) % 11 = 0 THEN 'rate limit' END AS error,
   CASE WHEN length(prompt) % 11 <> 0 THEN length(prompt)::BIGINT END AS input_tokens FROM prompts""", PROMPTS))
 def call_judge(spark, folder):
-    prompts = judging.with_judge_prompt(judging.judge_requests(answered(ship_code(spark), folder), 1))
+    prompts = judging.with_judge_prompt(judging.judge_requests(judging.with_judge_context(answered(ship_code(spark), folder)), 1))
     asked = prompts.select(ID, F.col("criterion.key").alias("key"), "prompt")
     return judging.call_judge(asked, load_judge, no_wait).select(ID, "key", "content", "attempts", "error", "input_tokens")
 

@@ -20,7 +20,7 @@ def samples(spark, *rows):
 
 def test_prompt(spark):
     df = spark.createDataFrame([(7, "t", [("system", SYSTEM), ("user", "Q?"), ("assistant", "A")], "mine", "theirs")], EXAMPLE)
-    requests = judging.judge_requests(df, 2)
+    requests = judging.judge_requests(judging.with_judge_context(df), 2)
     assert requests.count() == 12 == judging.estimate_calls(df, 2).first()["calls"]
     prompt = judging.with_judge_prompt(requests).filter("criterion.key = 'multi_turn_coherence'").first()["prompt"]
     assert "## Criterion: Multi-Turn Coherence\nDoes the response" in prompt

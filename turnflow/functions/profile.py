@@ -35,8 +35,8 @@ def system_prompt(profile: Column) -> Column:
     )
 
 
-def profile_entries(system_text: Column) -> Column:
-    """`- key: value` lines of the profile section as entries; null without a section.
+def profile_map(system_text: Column) -> Column:
+    """`- key: value` lines of the profile section as a map; null without a section.
 
     A repeated key keeps its first place and its last value.
     """
@@ -50,22 +50,23 @@ def profile_entries(system_text: Column) -> Column:
     )
     pairs = F.transform(lines, lambda line: F.split(F.substring(line, F.lit(3), F.length(line)), ": ", 2))
     pairs = F.transform(pairs, lambda pair: F.transform(pair, strip))
-    keys = F.array_distinct(F.transform(pairs, lambda pair: pair[0]))
-    return F.transform(
-        keys,
-        lambda key: F.struct(
-            key.alias("key"),
-            F.element_at(F.filter(pairs, lambda pair: pair[0] == key), -1)[1].alias("value"),
-        ),
-    )
+
+
+    def add(found: Column, pair: Column) -> Column:
+        replaced = F.transform_values(found, lambda key, value: F.when(key == pair[0], pair[1]).otherwise(value))
+        return F.when(F.map_contains_key(found, pair[0]), replaced).otherwise(
+            F.map_concat(found, F.create_map(pair[0], pair[1]))
+        )
+
+    return F.aggregate(pairs, F.create_map().cast("map<string,string>"), add)
 
 
 def parse_profile(system_text: Column) -> Column:
     """Profile fields of a system message as a map; a message without them is an error."""
-    parsed = F.map_from_entries(profile_entries(system_text))
     missing = F.raise_error(F.lit("no '## Company Profile' section found in the system message"))
-    return F.coalesce(parsed, missing.cast("map<string,string>"))
+    return F.coalesce(profile_map(system_text), missing.cast("map<string,string>"))
 
 
-def profile_lines(entries: Column) -> Column:
-    return F.array_join(F.transform(entries, lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"])), "\n")
+def profile_lines(profile: Column) -> Column:
+    lines = F.transform(F.map_entries(profile), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"]))
+    return F.array_join(lines, "\n")

@@ -14,17 +14,17 @@ def assign_batches(
 
     Only the last batch of a group may be short.
     """
-    keys = df.select(id_col, *by)
     if shuffle:
-        placed = with_shuffled_position(keys, id_col, seed, by)
+        placed = with_shuffled_position(df, id_col, seed, by, "_place")
     else:
-        placed = with_position(keys, [id_col], by)
-    numbered = placed.select(
-        F.col(id_col).alias("_id"),
-        F.floor(F.col("position") / batch_size).alias("batch"),
-        (F.col("position") % batch_size).alias("slot"),
-    )
-    return df.join(numbered, F.col(id_col) == F.col("_id")).drop("_id")
+        # only the keys are ordered and written; the rows are joined to their places
+        places = with_position(df.select(id_col, *by), [id_col], by, "_place")
+        places = places.select(F.col(id_col).alias("_id"), "_place")
+        placed = df.join(places, F.col(id_col) == F.col("_id")).drop("_id")
+    return placed.withColumns({
+        "batch": F.floor(F.col("_place") / batch_size),
+        "slot": F.col("_place") % batch_size,
+    }).drop("_place")
 
 
 def collate(

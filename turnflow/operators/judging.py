@@ -11,9 +11,10 @@ from turnflow.constants import (
     CRITERIA, JUDGE_ANSWER, JUDGE_CLOSING, JUDGE_HISTORY, JUDGE_OPENING, JUDGE_PROFILE, JUDGE_REFERENCE, JUDGE_STEPS,
     NO_VALID_SCORES,
 )
-from turnflow.functions.profile import profile_entries, profile_lines
+from turnflow.functions.profile import profile_lines, profile_map
 from turnflow.functions.text import parse_score
 from turnflow.operators.checks import require_columns
+from turnflow.plans.shared import with_computed_once
 from turnflow.schemas import CRITERION, JUDGED
 
 SCORES = range(6)
@@ -29,17 +30,26 @@ def criteria_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CRITERIA, CRITERION)
 
 
+def with_judge_context(examples: DataFrame) -> DataFrame:
+    """Add `profile_text` and `history_text`, which all criteria of an example share."""
+    require_columns(examples, ["messages", "generated_response", "target_response"])
+    system = F.get("messages", F.lit(0))["content"]
+    later = F.slice("messages", F.lit(2), F.greatest(F.size("messages") - 1, F.lit(0)))
+    spoken = F.transform(later, lambda m: F.concat(F.upper(m["role"]), F.lit(": "), m["content"]))
+    with_profile = with_computed_once(examples, "profile_text", profile_lines(profile_map(system)))
+    return with_computed_once(with_profile, "history_text", F.array_join(spoken, "\n"))
+
+
 def judge_prompt(
-    name: Column, description: Column, steps: Column, system_text: Column, history: Column, answer: Column, reference: Column
+    name: Column, description: Column, steps: Column, profile: Column, history: Column, answer: Column, reference: Column
 ) -> Column:
-    """Evaluation prompt for one criterion; `history` are the messages after the system message."""
+    """Evaluation prompt for one criterion."""
     numbered = F.transform(steps, lambda step, i: F.concat((i + 1).cast("string"), F.lit(". "), step))
-    spoken = F.transform(history, lambda m: F.concat(F.upper(m["role"]), F.lit(": "), m["content"]))
     return F.concat(
         F.lit(JUDGE_OPENING), name, F.lit("\n"), description,
         F.lit(JUDGE_STEPS), F.array_join(numbered, "\n"),
-        F.lit(JUDGE_PROFILE), profile_lines(profile_entries(system_text)),
-        F.lit(JUDGE_HISTORY), F.array_join(spoken, "\n"),
+        F.lit(JUDGE_PROFILE), profile,
+        F.lit(JUDGE_HISTORY), history,
         F.lit(JUDGE_ANSWER), answer,
         F.lit(JUDGE_REFERENCE), reference,
         F.lit(JUDGE_CLOSING),
@@ -63,7 +73,7 @@ def with_example_failure(df: DataFrame) -> DataFrame:
     return df.withColumn(
         "failure",
         F.when(F.coalesce(F.size("messages"), F.lit(0)) <= 0, "messages must be a non-empty list")
-        .when(profile_entries(system).isNull(), "no company profile in the system message")
+        .when(profile_map(system).isNull(), "no company profile in the system message")
         .when(F.col("generated_response").isNull(), "no generated response"),
     )
 
@@ -77,11 +87,10 @@ def judge_requests(examples: DataFrame, samples: int = 20) -> DataFrame:
 
 
 def with_judge_prompt(requests: DataFrame) -> DataFrame:
-    """Add `prompt` to the rows of `judge_requests`."""
+    """Add `prompt` to the requests made from examples `with_judge_context`."""
     c = F.col("criterion")
-    rest = F.slice("messages", F.lit(2), F.greatest(F.size("messages") - 1, F.lit(0)))
     return requests.withColumn("prompt", judge_prompt(
-        c["name"], c["description"], c["steps"], F.get("messages", F.lit(0))["content"], rest,
+        c["name"], c["description"], c["steps"], F.col("profile_text"), F.col("history_text"),
         F.col("generated_response"), F.col("target_response"),
     ))
 

@@ -126,7 +126,7 @@ def original_index(df: DataFrame, key: str = "primary id") -> DataFrame:
 def shape_examples(df: DataFrame) -> DataFrame:
     """All shaping steps for one row each; `reject_reason` tells the unusable rows."""
     require_columns(df, ["trace"])
-    return with_reject_reason(with_messages(with_turns(df)))
+    return with_messages(with_reject_reason(with_turns(df)))
 
 
 def _or_default(df: DataFrame, column: str, default) -> Column:
@@ -168,13 +168,13 @@ def preprocess(df: DataFrame, key: str = "primary id") -> DataFrame:
 
 def rejected_examples(df: DataFrame, key: str = "primary id") -> DataFrame:
     """Correct rows that give no training example, with the reason."""
-    shaped = shape_examples(keep_correct(df))
+    shaped = with_reject_reason(with_turns(keep_correct(df)))
     return shaped.filter(F.col("reject_reason").isNotNull()).select(F.col(f"`{key}`").alias("id"), "reject_reason")
 
 
 def preprocess_report(df: DataFrame) -> DataFrame:
     """Processed, filtered and failed rows, and the share processed of all input rows."""
-    shaped = shape_examples(df)
+    shaped = with_reject_reason(with_turns(df))
     correct = F.coalesce(F.col("correct"), F.lit(False))
     usable = F.col("reject_reason").isNull()
     return shaped.agg(

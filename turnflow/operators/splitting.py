@@ -123,17 +123,17 @@ def random_split(df: DataFrame, id_col: str, train=0.75, validation=0.125, test=
 
 
 def split_leakage(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Ids and texts that occur in more than one split, with the rows that carry them."""
-
-    def shared(kind: str, key: Column) -> DataFrame:
-        per_key = df.groupBy(key.alias("_k")).agg(
-            F.min("split").alias("first"), F.max("split").alias("last"), F.count("*").alias("n")
-        ).filter(F.col("first") != F.col("last"))
-        return per_key.agg(
-            F.lit(kind).alias("kind"), F.count("*").alias("shared_keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows_affected")
-        )
-
-    return shared("id", F.col(id_col).cast("string")).unionByName(shared("text", F.md5(F.col(text_col))))
+    """Number of ids and of texts that occur in more than one split, and the rows that carry them."""
+    keys = F.array(
+        F.struct(F.lit("id").alias("kind"), F.col(id_col).cast("string").alias("key")),
+        F.struct(F.lit("text").alias("kind"), F.md5(F.col(text_col)).alias("key")),
+    )
+    per_key = df.select("split", F.inline(keys)).groupBy("kind", "key").agg(
+        (F.min("split") != F.max("split")).alias("shared"), F.count("*").alias("n")
+    )
+    return per_key.groupBy("kind").agg(
+        F.count_if("shared").alias("shared_keys"), F.sum(F.when(F.col("shared"), F.col("n")).otherwise(0)).alias("rows_affected")
+    )
 
 
 def split_statistics(df: DataFrame) -> DataFrame:

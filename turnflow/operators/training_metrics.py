@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from turnflow.constants import IGNORED_LABEL
 from turnflow.plans.ordering import with_position
+from turnflow.plans.shared import join_checked
 
 TRAIN_LOSS = "train/loss"
 EVAL_LOSS = "eval/loss"
@@ -27,13 +28,15 @@ def smooth(log: DataFrame, window: int = 5, stretch: int = STRETCH) -> DataFrame
     copies = F.when(lent, F.array(home, home + 1)).otherwise(F.array(home))
     near = Window.partitionBy(*SERIES, "_stretch").orderBy("position").rowsBetween(1 - window, 0)
     sizes = log.groupBy(*[F.col(c).alias(f"_{c}") for c in SERIES]).agg(F.count("*").alias("_n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SERIES]
     raw = (F.col("position") < window - 1) | (F.col("_n") <= window)
-    return (
-        placed.withColumn("_stretch", F.explode(copies))
+    means = (
+        placed.withColumn("_stretch", F.explode(copies)).repartition(*SERIES, "_stretch")
         .withColumn("_mean", F.avg("value").over(near))
         .filter(F.col("_stretch") == home)
-        .join(sizes, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SERIES])
-        .select(*log.columns, F.when(raw, F.col("value")).otherwise(F.col("_mean")).alias("smoothed"))
+    )
+    return join_checked(means, sizes, same, "inner").select(
+        *log.columns, F.when(raw, F.col("value")).otherwise(F.col("_mean")).alias("smoothed")
     )
 
 
@@ -60,7 +63,7 @@ def eval_loss_report(log: DataFrame, tag: str = EVAL_LOSS) -> DataFrame:
     """First, last and best value per run, the step of the first best and its place in the series."""
     best = _best(log, tag)
     series = log.filter(F.col("tag") == tag).select("run_id", "step")
-    upto = series.join(best.select("run_id", "best_step"), "run_id").groupBy("run_id").agg(
+    upto = join_checked(series, best.select("run_id", "best_step"), "run_id", "inner").groupBy("run_id").agg(
         F.count_if(F.col("step") <= F.col("best_step")).alias("best_epoch_approx")
     )
     return best.join(upto, "run_id")
@@ -143,7 +146,7 @@ def _running(df: DataFrame, aggregate: Column, name: str, include_row: bool) ->
         .select(F.col("run_id").alias("_run"), F.col("_stretch").alias("_of"), "_carried")
     )
     same = F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_stretch") == F.col("_of"))
-    own = df.withColumn("_own", aggregate.over(inside))
+    own = df.repartition("run_id", "_stretch").withColumn("_own", aggregate.over(inside))
     return own.join(carried, same, "left").withColumn(name, combine("_own", "_carried")).drop("_own", "_run", "_of", "_carried")
 
 

@@ -41,6 +41,10 @@ def tool_usage(messages: DataFrame) -> DataFrame:
     )
 
 
+def _stretch(length: int) -> Column:
+    return F.floor(F.col("turn") / length)
+
+
 def with_anchor(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Add `anchor`: the place of the last turn up to this one that is no assistant turn.
 
@@ -49,7 +53,8 @@ def with_anchor(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """
     place = F.struct("turn", "part")
     other = F.when(F.col("role") != "assistant", place)
-    cut = turns.withColumn("_stretch", F.floor(F.col("turn") / stretch))
+    # both keys are named, or rows already partitioned by conversation would stay where they are
+    cut = turns.withColumn("_stretch", _stretch(stretch)).repartition("conv_id", "_stretch")
     so_far = Window.partitionBy("conv_id", "_stretch").orderBy("turn", "part").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("conv_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -69,8 +74,8 @@ def with_anchor(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
 def merge_assistant_runs(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """One row per message: a run of assistant turns joined, any other turn as it is.
 
-    (`turn`, `part`) is the place of the message's first turn. `chars` and `tokens` are
-    sums over the turns, so they are there without building `content`.
+    (`turn`, `part`) is the place of the message's first turn. `chars` is a sum over the
+    turns, so it is there without building `content`.
     """
     piece = F.when(F.col("role") == "assistant", wrap_think(F.col("type"), F.col("content"))).otherwise(F.col("content"))
     rows = with_anchor(turns, stretch).withColumn("_piece", piece)
@@ -90,7 +95,7 @@ def merge_assistant_runs(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
 
 
 def conversation_ends(merged: DataFrame) -> DataFrame:
-    """Per conversation: counters, the size and the place of the last message, its role."""
+    """Per conversation: counters, and the role and size of the last message."""
     start = F.struct("turn", "part")
 
     def count(role: str) -> Column:
@@ -104,7 +109,6 @@ def conversation_ends(merged: DataFrame) -> DataFrame:
         F.sum("chars").alias("chars"),
         F.max_by("role", start).alias("last_role"),
         F.max_by("chars", start).alias("last_chars"),
-        F.max(start).alias("last"),
     )
 
 
@@ -120,10 +124,23 @@ def turn_counters(ends: DataFrame) -> DataFrame:
     )
 
 
-def split_target(merged: DataFrame) -> DataFrame:
-    """Messages of the usable conversations, with `is_target` on the last one."""
-    last = conversation_ends(merged).filter(F.col("last_role") == "assistant").select("conv_id", "last")
-    return merged.join(last, "conv_id").withColumn("is_target", F.struct("turn", "part") == F.col("last")).drop("last")
+def split_target(merged: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Messages of the usable conversations, with `is_target` on the last one.
+
+    The place of the last message reaches the others once per stretch, so the join has no
+    more rows per key than a stretch.
+    """
+    start = F.struct("turn", "part")
+    whole = Window.partitionBy("conv_id")
+    last = (
+        merged.groupBy("conv_id", _stretch(stretch).alias("_stretch"))
+        .agg(F.max(start).alias("_end"), F.max_by("role", start).alias("_role"))
+        .withColumn("_last", F.max(F.struct("_end", "_role")).over(whole))
+        .filter(F.col("_last._role") == "assistant")
+        .select("conv_id", "_stretch", F.col("_last._end").alias("_last"))
+    )
+    rows = merged.withColumn("_stretch", _stretch(stretch)).repartition("conv_id", "_stretch")
+    return rows.join(last, ["conv_id", "_stretch"]).withColumn("is_target", start == F.col("_last")).drop("_stretch", "_last")
 
 
 def with_system_messages(inputs: DataFrame, prompts: DataFrame) -> DataFrame:

@@ -68,8 +68,10 @@ def with_shuffled_position(
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy("_key", id_col)
     same = [F.col("_bucket") == F.col("_in"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]]
+    # both keys are named, or rows already partitioned by the group alone would stay where they are
+    spread = keyed.repartition(*by, "_bucket")
     return (
-        join_checked(keyed.withColumn("_n", F.row_number().over(inside)), offsets, same, "inner")
+        join_checked(spread.withColumn("_n", F.row_number().over(inside)), offsets, same, "inner")
         .withColumn(name, F.col("_offset") + F.col("_n") - 1)
         .drop("_key", "_bucket", "_in", "_n", "_offset", *[f"_{c}" for c in by])
     )
