@@ -53,8 +53,7 @@ def with_anchor(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """
     place = F.struct("turn", "part")
     other = F.when(F.col("role") != "assistant", place)
-    # both keys are named, or rows already partitioned by conversation would stay where they are
-    cut = turns.withColumn("_stretch", _stretch(stretch)).repartition("conv_id", "_stretch")
+    cut = turns.withColumn("_stretch", _stretch(stretch))
     so_far = Window.partitionBy("conv_id", "_stretch").orderBy("turn", "part").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("conv_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -63,8 +62,10 @@ def with_anchor(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
         .filter(F.col("_carried").isNotNull())
         .select("conv_id", "_stretch", "_carried")
     )
+    # both keys are named, or rows already partitioned by conversation would stay where they are
+    spread = cut.repartition("conv_id", "_stretch")
     return (
-        cut.withColumn("_own", F.max(other).over(so_far))
+        spread.withColumn("_own", F.max(other).over(so_far))
         .join(carried, ["conv_id", "_stretch"], "left")
         .withColumn("anchor", F.coalesce("_own", "_carried"))
         .drop("_stretch", "_own", "_carried")
