@@ -21,8 +21,8 @@ NULLS = {
     "trace": "CASE WHEN has_trace THEN 1 END",
 }
 EACH_NULL = " UNION ALL ".join(
-    f"SELECT {quoted(name)} AS column_name, count_if(({value}) IS NULL) AS nulls, "
-    f"round(count_if(({value}) IS NULL) * 100.0 / count(*), 2) AS percent FROM raw" for name, value in NULLS.items()
+    f"SELECT {quoted(name)} AS column_name, count(*) FILTER (WHERE ({value}) IS NULL) AS nulls, "
+    f"round(count(*) FILTER (WHERE ({value}) IS NULL) * 100.0 / count(*), 2) AS percent FROM raw" for name, value in NULLS.items()
 )
 
 # Per document: the split that the stratified split by language gives (seed 42, 75 / 12.5 / 12.5).
@@ -157,7 +157,7 @@ def box_sql(rows: str, value: str, by: str) -> str:
 
 BOX = """SELECT {by}, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3,
   min(CASE WHEN inside THEN {value} END)::DOUBLE AS whisker_low, max(CASE WHEN inside THEN {value} END)::DOUBLE AS whisker_high,
-  count_if(NOT inside) AS outliers FROM fenced GROUP BY 1"""
+  count(*) FILTER (WHERE NOT inside) AS outliers FROM fenced GROUP BY 1"""
 
 
 @query("WITH " + box_sql("documents", "n_chars", "lang") + BOX.format(by="lang", value="n_chars"))
@@ -182,8 +182,8 @@ def cumulative_share(spark, folder):
     return rounded(explore.cumulative_share(documents(spark, folder), "n_chars", "lang", "doc_id"), "share")
 
 
-@query(examples_sql("""SELECT split, count(*) AS total, count_if(token_count > 1024) AS truncated,
-  round(count_if(token_count > 1024) * 100.0 / count(*), 6) AS percent FROM counted GROUP BY 1""", COUNTED))
+@query(examples_sql("""SELECT split, count(*) AS total, count(*) FILTER (WHERE token_count > 1024) AS truncated,
+  round(count(*) FILTER (WHERE token_count > 1024) * 100.0 / count(*), 6) AS percent FROM counted GROUP BY 1""", COUNTED))
 def truncation_impact(spark, folder):
     return rounded(explore.truncation_impact(mark_truncated(split_examples(spark, folder), 1024)), "percent")
 

@@ -69,7 +69,7 @@ def generation_metadata(spark, folder):
     return rows.select(ID, "generation_time_ms", "input_tokens", "output_tokens")
 
 
-@query(examples_sql("""SELECT count_if(error IS NULL) AS successful_count, count_if(error IS NOT NULL) AS failed_count,
+@query(examples_sql("""SELECT count(*) FILTER (WHERE error IS NULL) AS successful_count, count(*) FILTER (WHERE error IS NOT NULL) AS failed_count,
   sum(input_tokens)::BIGINT AS total_input_tokens, sum(output_tokens)::BIGINT AS total_output_tokens,
   round(sum(input_tokens) / count(*), 6) AS mean_input_tokens,
   round(sum(output_tokens) / count(*), 6) AS mean_output_tokens FROM generated""", ECHO))
@@ -285,7 +285,7 @@ def failed_examples(spark, folder):
 
 
 @query(samples_sql("""SELECT round(avg(overall_score) FILTER (criteria > 0), 6) AS overall_mean, count(*) AS total_examples,
-  count_if(criteria > 0) AS valid_examples, round(sum(total_cost_usd), 6) AS total_cost_usd,
+  count(*) FILTER (WHERE criteria > 0) AS valid_examples, round(sum(total_cost_usd), 6) AS total_cost_usd,
   sum(total_api_calls)::BIGINT AS total_api_calls FROM results"""))
 def aggregate_overall(spark, folder):
     found = judging.aggregate_overall(results(spark, folder)).drop("error")

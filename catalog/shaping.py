@@ -124,7 +124,7 @@ def map_role(spark, folder):
     )
 
 
-@query(turns_sql("SELECT id, role, count(*) AS turns, count_if(has_tool_calls) AS with_tools FROM turns GROUP BY 1, 2"))
+@query(turns_sql("SELECT id, role, count(*) AS turns, count(*) FILTER (WHERE has_tool_calls) AS with_tools FROM turns GROUP BY 1, 2"))
 def turn_tool_flag(spark, folder):
     kept = shaping.with_turns(raw(spark, folder)).select(row_id(), F.explode("turns").alias("t"))
     return kept.groupBy("id", "t.role").agg(

@@ -164,8 +164,8 @@ messages AS (
 ),
 examples AS (
   SELECT m.id, any_value(r.task) AS task, any_value(u.target_response) AS target_response,
-         count(*) - 1 AS num_turns, count_if(role = 'user') AS num_user_turns,
-         count_if(role = 'assistant') AS num_assistant_turns, count_if(role = 'tool') AS num_tool_turns,
+         count(*) - 1 AS num_turns, count(*) FILTER (WHERE role = 'user') AS num_user_turns,
+         count(*) FILTER (WHERE role = 'assistant') AS num_assistant_turns, count(*) FILTER (WHERE role = 'tool') AS num_tool_turns,
          string_agg({rendered('role', 'content')}, '' ORDER BY pos) AS text, sum(length(content)) AS chars
   FROM messages m JOIN usable u ON u.id = m.id
   JOIN (SELECT id, {{task}} AS task FROM raw) r ON r.id = m.id GROUP BY m.id

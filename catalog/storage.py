@@ -71,7 +71,7 @@ def write_and_read_evaluation(spark, folder):
     return saved.select("original_index", "task", "generated_response", "error", F.col("input_tokens").cast("long").alias("input_tokens"))
 
 
-@query(examples_sql("SELECT count_if(error IS NULL) AS successful_count, count_if(error IS NOT NULL) AS failed_count FROM generated", ECHO))
+@query(examples_sql("SELECT count(*) FILTER (WHERE error IS NULL) AS successful_count, count(*) FILTER (WHERE error IS NOT NULL) AS failed_count FROM generated", ECHO))
 def written_evaluation_summary(spark, folder):
     generated = generate_batched(examples(ship_code(spark), folder), load_echo)
     target = reports.write_evaluation(generated, place(spark, "evaluation"))

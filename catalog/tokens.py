@@ -116,8 +116,8 @@ def mark_truncated(spark, folder):
     return marked.select(ID, "will_truncate", *[F.col(c).cast("long").alias(c) for c in ("token_count", "tokens_over_limit")])
 
 
-TRUNCATION = """count(*) AS total_examples, count_if(token_count > {limit}) AS truncated_count,
-  round(count_if(token_count > {limit}) * 100.0 / count(*), 6) AS truncated_percentage,
+TRUNCATION = """count(*) AS total_examples, count(*) FILTER (WHERE token_count > {limit}) AS truncated_count,
+  round(count(*) FILTER (WHERE token_count > {limit}) * 100.0 / count(*), 6) AS truncated_percentage,
   max(greatest(token_count - {limit}, 0))::BIGINT AS max_tokens_over,
   round(coalesce(avg(CASE WHEN token_count > {limit} THEN token_count - {limit} END), 0.0), 6) AS avg_tokens_over"""
 
@@ -156,7 +156,7 @@ def analyze_splits(spark, folder):
 
 
 @query(examples_sql("""SELECT any_value(r) AS recommended_max_length, count(*) AS total_examples,
-  count_if(token_count > r) AS truncated_count, round(count_if(token_count > r) * 100.0 / count(*), 6) AS truncated_percentage
+  count(*) FILTER (WHERE token_count > r) AS truncated_count, round(count(*) FILTER (WHERE token_count > r) * 100.0 / count(*), 6) AS truncated_percentage
   FROM counted, recommended""", LIMITED))
 def overall_truncation(spark, folder):
     _, overall = token_tables.analyze_splits(split_examples(spark, folder))
