@@ -187,7 +187,7 @@ PREPARED = f"""SELECT id AS original_index, num_turns, {digest_sql(padded_sql('i
   {digest_sql(padded_sql('labels', '{length}', IGNORED_LABEL))} AS labels, len(ids) AS masked_in FROM sft"""
 
 
-@query(sft_sql(f"""SELECT id AS original_index, num_turns, {TRAINING_LENGTH} AS width, len(ids) AS masked_in,
+@query(sft_sql(f"""SELECT id AS original_index, num_turns, {TRAINING_LENGTH}::BIGINT AS width, len(ids) AS masked_in,
   {digest_sql('ids')} AS ids, {digest_sql(f"list_filter(labels, lambda x: x <> {IGNORED_LABEL})")} AS trained,
   greatest({TRAINING_LENGTH} - len(ids), 0) AS padding FROM sft""", TRAINING_LENGTH))
 def prepare_sft(spark, folder):
