@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnflow.llm import chat_windows
+from turnflow.llm import chat_windows, quality_knn, toxicity_fm
 from turnflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,23 @@ def query(function):
     return function
 
 
+def _remainder(mod: int):
+    """crc32 of the id as text, modulo `mod`; a null id has none."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+
+
+def _judged(scored: DataFrame, held_out, least: float) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+@query
+def op3_quality_knn(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = table(spark, folder, "documents"), _remainder(4) == 2
+    model = quality_knn.fit(docs, table(spark, folder, "labels").where(~held_out))
+    return _judged(quality_knn.score(docs, model), held_out, 0.7)
+
+
 @query
 def op6_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -31,3 +48,10 @@ def op6_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.col("formatted_chars").cast("long"))
+
+
+@query
+def op9_toxicity_fm(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = table(spark, folder, "documents"), _remainder(5) == 0
+    machine = toxicity_fm.fit(docs, table(spark, folder, "labels").where(~held_out))
+    return _judged(toxicity_fm.score(docs, machine), held_out, 0.5)
