@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnflow.llm import chat_windows, quality_knn, toxicity_fm
+from turnflow.llm import chat_windows, quality_knn, simhash_pivots, toxicity_fm
 from turnflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op9_toxicity_fm(spark: SparkSession, folder: str) -> DataFrame:
     docs, held_out = table(spark, folder, "documents"), _remainder(5) == 0
     machine = toxicity_fm.fit(docs, table(spark, folder, "labels").where(~held_out))
     return _judged(toxicity_fm.score(docs, machine), held_out, 0.5)
+
+
+@query
+def op10_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_pivots.near_duplicates(table(spark, folder, "documents"))
