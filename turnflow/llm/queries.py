@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnflow.llm import chat_windows, quality_knn, simhash_pivots, toxicity_fm
+from turnflow.llm import chat_windows, decontaminate, quality_knn, simhash_pivots, toxicity_fm
 from turnflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def op6_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
         F.col("formatted_chars").cast("long"))
 
 
+@query
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op9_toxicity_fm(spark: SparkSession, folder: str) -> DataFrame:
     docs, held_out = table(spark, folder, "documents"), _remainder(5) == 0
