@@ -2,11 +2,13 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnflow.llm import chat_windows, decontaminate, quality_knn, simhash_pivots, toxicity_fm
-from turnflow.llm.common import table
+from turnflow.llm import chat_windows, decontaminate, quality_knn, simhash_pivots, token_files, toxicity_fm
+from turnflow.llm.common import side_path, table
+from turnflow.llm.words import vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,6 +19,13 @@ def query(function):
     return function
 
 
+@query
+def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    words, path = vocabulary(public_tokenizers.path("word_bpe_49k.json")), side_path(spark, "token-files")
+    token_files.write_token_files(table(spark, folder, "documents"), words, path, end_id=1)
+    return token_files.checksums(token_files.read_token_files(spark, path))
+
+
 def _remainder(mod: int):
     """crc32 of the id as text, modulo `mod`; a null id has none."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
