@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnflow.llm import chat_windows, decontaminate, quality_knn, simhash_pivots, token_files, toxicity_fm
+from turnflow.llm import bpe_words, chat_windows, decontaminate, quality_knn, simhash_pivots, token_files, toxicity_fm
 from turnflow.llm.common import side_path, table
 from turnflow.llm.words import vocabulary
 
@@ -43,6 +43,16 @@ def op3_quality_knn(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(quality_knn.score(docs, model), held_out, 0.7)
 
 
+@query
+def op4_bpe_words(spark: SparkSession, folder: str) -> DataFrame:
+    words = vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    decoded = bpe_words.decode(bpe_words.encode(table(spark, folder, "documents"), words), words)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query
 def op6_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
