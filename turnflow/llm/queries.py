@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnflow.llm import bpe_words, chat_windows, decontaminate, quality_knn, simhash_pivots, token_files, toxicity_fm
+from turnflow.llm import bpe_words, chat_windows, decontaminate, multi_index, quality_knn, simhash_pivots, token_files, toxicity_fm
 from turnflow.llm.common import side_path, table
 from turnflow.llm.words import vocabulary
 
@@ -74,6 +74,11 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op8_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query
 def op9_toxicity_fm(spark: SparkSession, folder: str) -> DataFrame:
     docs, held_out = table(spark, folder, "documents"), _remainder(5) == 0
