@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnflow.llm import bpe_words, chat_windows, decontaminate, multi_index, quality_knn, simhash_pivots, token_files, toxicity_fm
+from turnflow.llm import bpe_words, chat_windows, decontaminate, multi_index, quality_knn, simhash_pivots, suffix_dedup, token_files, toxicity_fm
 from turnflow.llm.common import side_path, table
 from turnflow.llm.words import vocabulary
 
@@ -26,6 +26,15 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.checksums(token_files.read_token_files(spark, path))
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    removed = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    runs = F.transform("removed", lambda r: r["end"] - r["begin"])
+    return removed.select(
+        "doc_id", "n_bytes", F.aggregate(runs, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _remainder(mod: int):
     """crc32 of the id as text, modulo `mod`; a null id has none."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
