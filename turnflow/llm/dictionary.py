@@ -15,6 +15,7 @@ from pyspark import TaskContext
 #: Rows of a chunk: its documents (bucket DOCS), and the words it asks each bucket for.
 CHUNK_ROWS = "chunk long, bucket int, payload binary"
 DOCS = -1
+LOW48 = np.uint64((1 << 48) - 1)
 #: Bytes of text per chunk.
 CHUNK = 16_000_000
 
@@ -58,6 +59,11 @@ def words_of(lengths: np.ndarray, data: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
 
 
+def buckets_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a word, told by the low 48 bits of its hash."""
+    return ((hashes & LOW48) % np.uint64(buckets)).astype(np.int64)
+
+
 class Chunk:
     """Documents of one task, coded by the distinct words seen since the chunk began."""
 
@@ -79,25 +85,30 @@ class Chunk:
         self.codes.append(np.fromiter(map(code.__getitem__, chain.from_iterable(words)), np.uint32, int(n.sum())))
         self.bytes += n_bytes
 
-    def rows(self, *more) -> pa.RecordBatch:
+    def rows(self, of_words=None) -> pa.RecordBatch:
         """The chunk's rows; codes of words are renumbered by bucket, in which order answers come back.
 
-        `more(codes, hashes, counts)` may add arrays to the payload of the documents.
+        Buckets get the words, or, with `of_words`, their hashes and one number each: it is called with the
+        ids of the documents, their numbers of words and all codes, and the number of distinct words.
         """
         words = list(self.code)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-        order = np.argsort(hashes % np.uint64(self.buckets), kind="stable")
+        order = np.argsort(buckets_of(hashes, self.buckets), kind="stable")
         place = np.empty(len(words), np.uint32)
         place[order] = np.arange(len(words), dtype=np.uint32)
         counts = np.concatenate([*self.counts, np.zeros(0, np.int64)])
         codes = place[np.concatenate([*self.codes, np.zeros(0, np.uint32)])]
+        ids = np.concatenate([*self.ids, np.zeros(0, np.int64)])
         chunk = TaskContext.get().partitionId() << 32 | self.seq
-        bucket = (hashes[order] % np.uint64(self.buckets)).astype(np.int64)
-        at = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        out = [(DOCS, packed(np.concatenate([*self.ids, np.zeros(0, np.int64)]), sized(counts), sized(codes)))]
+        hashes = hashes[order]
+        at = np.searchsorted(buckets_of(hashes, self.buckets), np.arange(self.buckets + 1))
+        values = None if of_words is None else of_words(ids, counts, codes, len(words))
+        out = [(DOCS, packed(ids, sized(counts), sized(codes)))]
         for b in range(self.buckets):
             if at[b] < at[b + 1]:
-                out.append((b, packed(*word_list([words[i] for i in order[at[b] : at[b + 1]]]))))
+                part = slice(at[b], at[b + 1])
+                out.append((b, packed(*word_list([words[i] for i in order[part]])) if values is None
+                            else packed(hashes[part], sized(values[part]))))
         self.seq += 1
         self._clear()
         return chunk_rows(chunk, out)

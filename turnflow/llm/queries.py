@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnflow.llm import bpe_words, chat_windows, decontaminate, multi_index, quality_knn, simhash_pivots, suffix_dedup, token_files, toxicity_fm
+from turnflow.llm import bpe_words, chat_windows, decontaminate, multi_index, quality_knn, restaurants, simhash_pivots, suffix_dedup, token_files, toxicity_fm
 from turnflow.llm.common import side_path, table
 from turnflow.llm.words import vocabulary
 
@@ -62,6 +62,11 @@ def op4_bpe_words(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op5_restaurants(spark: SparkSession, folder: str) -> DataFrame:
+    return restaurants.score(table(spark, folder, "documents"), _remainder(7) != 2)
+
+
 @query
 def op6_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
