@@ -4,6 +4,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +20,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return ship_code(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and whole text only, under fixed names; a null text is empty."""
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """Id and whole text under fixed names, and the columns named in `more`; a null text is empty."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *[F.col(f"`{c}`") for c in more],
     )
 
 
@@ -81,3 +83,8 @@ def text_slices(batch: pa.RecordBatch, most: int, column: str = "text"):
     for first, end in slices(np.diff(offsets), most):
         data, at = text_bytes(values, first, end)
         yield first, end, data, at
+
+
+def only_text(batch: pa.RecordBatch, text_col: str) -> pa.RecordBatch:
+    """The texts of a batch under a fixed name, nulls as empty."""
+    return pa.RecordBatch.from_arrays([pc.fill_null(batch.column(text_col).cast(pa.string()), "")], ["text"])

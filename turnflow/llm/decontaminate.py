@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnflow.llm.common import NO_ID, ids_of, slices, text_slices, texts
+from turnflow.llm.common import NO_ID, ids_back, ids_of, only_text, slices, text_slices, texts
 
 #: Length of a q-gram in bytes, eight at most.
 Q = 8
@@ -178,31 +178,62 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, le
     null or empty text holds nothing. A repeated document row is reported again, an item once per row. The
     items go out in blocks of at most ITEMS bytes, each held against all documents, however many there are.
     """
-    items = texts(benchmark, item_col, item_text_col).withColumn("bytes", F.octet_length("text"))
-    total, longest = items.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
-    blocks = 1 + int(total) // ITEMS
     out = None
+    for items in _blocks(benchmark, rate, least, item_col, item_text_col):
+        found = _search(docs, items, id_col, text_col)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, least: int = 40, text_col: str = "text",
+          item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that hold no item as `contaminations` finds it."""
+    for items in _blocks(benchmark, rate, least, item_col, item_text_col):
+        docs = _without(docs, items, text_col)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, rate: float, least: int, item_col: str, item_text_col: str):
+    """Blocks of at most about ITEMS bytes of items, and at least one."""
+    items = texts(benchmark, item_col, item_text_col).withColumn("bytes", F.octet_length("text"))
+    blocks = 1 + int(items.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // ITEMS
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == block)
         rows = sorted((NO_ID if r.doc_id is None else r.doc_id, r.text) for r in mine.select("doc_id", "text").collect())
-        found = _search(docs, Items([i for i, _ in rows], [t for _, t in rows], rate, least), id_col, text_col)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield Items([i for i, _ in rows], [t for _, t in rows], rate, least)
+
+
+def _parts(batch: pa.RecordBatch):
+    """(first, end, normalized bytes, offsets) of runs of the texts of a batch."""
+    for first, _, data, at in text_slices(batch, BLOCK):
+        for a, b in slices(np.diff(at) + DOC_COST, BLOCK):
+            yield first + a, first + b, *normalized(data[at[a] : at[b]], at[a : b + 1] - at[a])
+
+
+def _without(docs: DataFrame, items: Items, text_col: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def work(batches):
+        for batch in batches:
+            found = np.zeros(batch.num_rows, bool)
+            if len(shared.value.ids):
+                for first, end, data, at in _parts(only_text(batch, text_col)):
+                    hits = _matches(shared.value, np.arange(first, end), data, at)
+                    found[hits.column("doc_id").to_numpy()] = True
+            yield batch.filter(pa.array(~found))
+
+    return docs.mapInArrow(work, docs.schema)
 
 
 def _search(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def work(batches):
-        items = shared.value
         for batch in batches:
-            if not len(items.ids):
-                continue
-            ids = ids_of(batch.column("doc_id"))
-            for first, end, data, at in text_slices(batch, BLOCK):
-                for a, b in slices(np.diff(at) + DOC_COST, BLOCK):
-                    yield _matches(items, ids[first + a : first + b], *normalized(
-                        data[at[a] : at[b]], at[a : b + 1] - at[a]))
+            if len(shared.value.ids):
+                ids = ids_of(batch.column("doc_id"))
+                for first, end, data, at in _parts(batch):
+                    yield _matches(shared.value, ids[first:end], data, at)
 
     return texts(docs, id_col, text_col).mapInArrow(
         work, "doc_id long, item_id long, edits long, item_bytes long")
@@ -219,5 +250,5 @@ def _matches(items: Items, ids: np.ndarray, data: np.ndarray, at: np.ndarray) ->
     first[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
     ids, names = ids[doc[first]], items.ids[item[first]]
     return pa.RecordBatch.from_arrays([
-        pa.array(ids, mask=ids == NO_ID), pa.array(names, mask=names == NO_ID),
+        ids_back(ids), ids_back(names),
         pa.array(edits[first]), pa.array(items.size[item[first]])], ["doc_id", "item_id", "edits", "item_bytes"])

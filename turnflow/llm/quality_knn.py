@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from turnflow.llm.common import text_slices, texts
+from turnflow.llm.common import only_text, text_slices, texts
 
 #: Buckets of the hashed terms, and of the marks for repetition behind them.
 TERMS = 2048
@@ -142,21 +143,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, dims: int
     return Model(terms, rows.y.to_numpy()[order] if len(rows) else np.zeros(0), dims)
 
 
-def score(docs: DataFrame, model: Model, neighbours: int = 25, sharpness: float = 8.0,
-          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document, repeated rows too: doc_id and score, the weighted vote for label 1.
+def with_score(docs: DataFrame, model: Model, neighbours: int = 25, sharpness: float = 8.0,
+               text_col: str = "text", name: str = "score") -> DataFrame:
+    """Every row and column of `docs` with the weighted vote for label 1 added; a column of that name gives way.
 
     Whole texts are read. An empty or null text has no terms and scores the mean label of the labelled
-    documents. A null id stays null. Other columns are ignored. Nothing is shuffled.
+    documents. Repeated rows stay. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [f for f in docs.schema.fields if f.name != name]
 
     def work(batches):
         for batch in batches:
-            for first, end, weights in term_weights(batch):
+            for first, end, weights in term_weights(only_text(batch, text_col)):
                 found = shared.value.scores(weights, neighbours, sharpness)
+                part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, end - first), pa.array(found, pa.float64())],
-                    ["doc_id", "score"])
+                    [*part.columns, pa.array(found, pa.float64())], [*part.schema.names, name])
+
+    schema = StructType([*kept, StructField(name, DoubleType())])
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(work, schema)
 
-    return texts(docs, id_col, text_col).mapInArrow(work, "doc_id long, score double")
+
+def score(docs: DataFrame, model: Model, neighbours: int = 25, sharpness: float = 8.0,
+          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score of every row, as `with_score`; a null id stays null and other columns are ignored."""
+    return with_score(texts(docs, id_col, text_col), model, neighbours, sharpness).select("doc_id", "score")

@@ -180,3 +180,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3,
     named = placed.join(names, "root").select(F.col("fingerprint").alias("f"), "component_id")
     return prints.join(named, F.col("fingerprint") == F.col("f")).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 3,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose id is that of their component, one row per id.
+
+    A row without an id cannot be named as the one that stays; it stays, whatever it is like.
+    """
+    found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
+    named = found.where("component_id is not null").select(F.col("component_id").alias("_kept")).distinct()
+    one = docs.join(named, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -80,34 +80,47 @@ def _cut(least: np.ndarray, at: np.ndarray, first_doc: int):
 
 
 def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of chunks: the documents, and for each bucket the hashes they have, asking who else has them."""
+    """Rows of chunks: the documents, and for each bucket the hashes they have, asking who else has them.
 
-    def made(ids, data, seq):
+    Columns besides doc_id and text go along with the documents.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+
+    def made(ids, data, more, seq):
         ids, sizes = np.concatenate(ids), np.concatenate([np.diff(a) for _, a in data])
         whole, at = np.concatenate([d for d, _ in data]), np.r_[0, np.cumsum(sizes)]
         hashes, doc, _, _ = _segments(whole, at)
-        out = [(DOCS, packed(ids, sized(sizes), whole))]
+        out = [(DOCS, packed(ids, sized(sizes), whole, _stored(more)))]
         for b, asked, several in _asked(hashes, ids[doc], buckets):
             out.append((b, packed(sized(np.diff(asked, prepend=np.uint64(0))), np.packbits(several))))
         return chunk_rows(TaskContext.get().partitionId() << 32 | seq, out)
 
     def work(batches):
-        ids, data, size, seq = [], [], 0, 0
+        ids, data, more, size, seq = [], [], [], 0, 0
         for batch in batches:
             all_ids = ids_of(batch.column("doc_id"))
             for first, end, text, at in text_slices(batch, CHUNK // 8):
                 ids.append(all_ids[first:end])
                 data.append((text, at))
+                more.append(batch.select(others).slice(first, end - first))
                 size += len(text)
                 if size >= CHUNK:
-                    yield made(ids, data, seq)
-                    ids, data, size, seq = [], [], 0, seq + 1
+                    yield made(ids, data, more, seq)
+                    ids, data, more, size, seq = [], [], [], 0, seq + 1
         if ids:
-            yield made(ids, data, seq)
+            yield made(ids, data, more, seq)
 
     return docs.mapInArrow(work, CHUNK_ROWS)
 
 
+def _stored(batches: list[pa.RecordBatch]) -> np.ndarray:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for batch in batches:
+            out.write_batch(batch)
+    return np.frombuffer(sink.getvalue(), np.uint8)
+
+
 def _asked(hashes: np.ndarray, ids: np.ndarray, buckets: int):
     """For each bucket the distinct hashes asked for, cut and in order, and whether several ids of the chunk have them."""
     bucket, short = (hashes % np.uint64(buckets)).astype(np.int64), hashes // np.uint64(buckets) & ASKED
@@ -154,7 +167,7 @@ def _sending(buckets: int):
         for b, p in zip(answers.column("bucket").to_pylist(), answers.column("payload"), strict=True):
             shared.append(unpacked(p.as_py())[0] * np.uint64(buckets) + np.uint64(b))
         shared = np.sort(np.concatenate(shared))
-        chunk, ids, sizes, whole = _documents(coded)
+        chunk, ids, sizes, whole, _ = _documents(coded)
         at = np.r_[0, np.cumsum(sizes)]
         hashes, doc, begin, n = _segments(whole, at)
         known = (hashes // np.uint64(buckets) & ASKED) * np.uint64(buckets) + hashes % np.uint64(buckets)
@@ -185,11 +198,12 @@ def _sending(buckets: int):
 
 
 def _documents(coded: pa.Table):
-    """(chunk, ids, sizes, bytes end to end) of the row that holds a chunk's documents."""
+    """(chunk, ids, sizes, bytes end to end, other columns) of the row that holds a chunk's documents."""
     for chunk, bucket, payload in zip(coded.column("chunk"), coded.column("bucket"), coded.column("payload"), strict=True):
         if bucket.as_py() == DOCS:
-            ids, sizes, whole = unpacked(payload.as_py())
-            return chunk.as_py(), ids, sizes.astype(np.int64), whole
+            ids, sizes, whole, more = unpacked(payload.as_py())
+            others = pa.ipc.open_stream(more.tobytes()).read_all()
+            return chunk.as_py(), ids, sizes.astype(np.int64), whole, others
     raise ValueError("a chunk without documents")
 
 
@@ -258,7 +272,7 @@ def _merge(members, names, ids, owner, begin, found) -> None:
 
 def _removing(coded: pa.Table, answers: pa.Table) -> pa.Table:
     """Documents of a chunk with what is removed from each."""
-    _, ids, sizes, whole = _documents(coded)
+    _, ids, sizes, whole, more = _documents(coded)
     at = np.r_[0, np.cumsum(sizes)]
     where, parts = None, {}
     for b, p in zip(answers.column("bucket").to_pylist(), answers.column("payload"), strict=True):
@@ -287,24 +301,30 @@ def _removing(coded: pa.Table, answers: pa.Table) -> pa.Table:
         kept.append(whole[a:b][~mine].tobytes())
         cut = np.flatnonzero(np.diff(np.r_[False, mine, False])) if mine.any() else ()
         spans.append([{"begin": int(x), "end": int(y)} for x, y in zip(cut[::2], cut[1::2])])
-    return pa.table({
-        "doc_id": ids_back(ids), "n_bytes": pa.array(sizes),
-        "removed": pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
-        "kept": pa.array(kept, pa.binary())})
+    own = [ids_back(ids), pa.array(sizes), pa.array(spans, SPANS), pa.array(kept, pa.binary())]
+    return pa.Table.from_arrays([*own, *more.columns], [*OWN, *more.schema.names])
+
+
+SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+OWN = ["doc_id", "n_bytes", "removed", "kept"]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, carried: tuple[str, ...] = (), id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, removed (maximal runs of removed bytes, begin and end) and kept (the remaining bytes).
 
     A byte of a text, as UTF-8, is removed if a string of WINDOW bytes that covers it also starts in a document
     with a smaller id; strings never cross documents and are judged on the input. Documents with the same id do
     not remove from one another; a null id is the smallest. A null or empty text, or one under WINDOW bytes,
-    loses nothing. Repeated rows stay; other columns are ignored; an empty table gives no rows. Texts cross the
-    network once; what else travels are hashes and the segments that have one in common with others.
+    loses nothing. Repeated rows stay. Columns named in `carried`, none of them called like the four, are added;
+    others are ignored. An empty table gives no rows. Texts cross the network once; what else travels are hashes and the segments that have one in common with others.
     """
     parts = shuffle_parts(docs.sparkSession)
     buckets = 2 * parts
-    coded = _chunks(texts(docs, id_col, text_col), buckets).repartition(parts, "chunk")
+    rows = texts(docs, id_col, text_col, *carried)
+    schema = ["doc_id long", "n_bytes long", "removed array<struct<begin: long, end: long>>", "kept binary",
+              *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carried)]
+    coded = _chunks(rows, buckets).repartition(parts, "chunk")
     shared = coded.mapInArrow(_no_docs, CHUNK_ROWS).groupBy("bucket").applyInArrow(_shared_hashes, CHUNK_ROWS)
     sent = (
         coded.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_sending(buckets), CHUNK_ROWS)
@@ -312,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = sent.mapInArrow(_no_docs, CHUNK_ROWS).groupBy("bucket").applyInArrow(_least_ids, CHUNK_ROWS)
     own = sent.mapInArrow(_only_docs, CHUNK_ROWS)
     return coded.groupBy("chunk").cogroup(own.unionByName(least).groupBy("chunk")).applyInArrow(
-        _removing, "doc_id long, n_bytes long, removed array<struct<begin: long, end: long>>, kept binary")
+        _removing, ", ".join(schema))
 
 
 def _only_docs(batches):
