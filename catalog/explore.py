@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog.inputs import documents, examples, long, raw
 from catalog.registry import query
 from catalog.sql import (
-    EXAMPLES, LONG, RAW, TOOL_NAMES, examples_sql, long_sql, pieces, quoted, raw_sql,
+    TOOL_NAMES, examples_sql, long_sql, pieces, quoted, raw_sql,
 )
 from turnflow.operators import explore, turns
 from turnflow.operators.token_tables import mark_truncated, with_token_count
@@ -61,9 +61,13 @@ def split_documents(spark, folder):
 
 
 def split_examples(spark, folder):
-    """Training examples with the split of their document and their token count."""
+    """Training examples with the split of their document and their token count.
+
+    Tokens are counted and messages dropped before the join, which then moves a few numbers per row.
+    """
     split = split_documents(spark, folder).select(F.col("doc_id").alias("original_index"), "split")
-    return with_token_count(examples(spark, folder).join(split, "original_index"))
+    counted = with_token_count(examples(spark, folder)).withColumn("num_messages", F.size("messages"))
+    return counted.select("original_index", "task", "num_turns", "num_messages", "token_count").join(split, "original_index")
 
 
 @query(raw_sql("SELECT count(*) AS num_examples FROM raw"))
@@ -84,7 +88,7 @@ def rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-@query(raw_sql(f"{LENGTHS} (SELECT CASE WHEN has_trace THEN len(lines) ELSE 0 END AS n FROM raw)"))
+@query(raw_sql(f"{LENGTHS} (SELECT CASE WHEN has_trace THEN n_messages ELSE 0 END AS n FROM raw)"))
 def trace_length_stats(spark, folder):
     return rounded(explore.trace_length_stats(raw(spark, folder)), "mean", "median", "std")
 
@@ -126,24 +130,38 @@ def tool_usage_of_turns(spark, folder):
     return turns.tool_usage(long(spark, folder))
 
 
-def histogram_sql(rows: str, value: str, bins: int) -> str:
-    return f"""SELECT least(floor(({value} - low) / ((high - low) / {bins}::DOUBLE))::INTEGER, {bins - 1}) AS bin, count(*) AS n
-  FROM {rows}, (SELECT min({value})::DOUBLE AS low, max({value})::DOUBLE AS high FROM {rows}) GROUP BY 1"""
+def histogram_sql(rows: str, value: str, bins: int, by: str = "0") -> str:
+    """All bins of every group; `by` is a constant for a single one."""
+    return f"""SELECT g, bin, round(low + bin * width, 6) AS low, round(low + (bin + 1) * width, 6) AS high, count(v) AS n
+  FROM (SELECT {by} AS g, min({value})::DOUBLE AS low, (max({value}) - min({value})) / {bins}::DOUBLE AS width FROM {rows} GROUP BY 1)
+  CROSS JOIN (SELECT unnest(range({bins}))::INTEGER AS bin)
+  LEFT JOIN (SELECT {by} AS k, {value} AS v FROM {rows}) ON k = g AND least(floor((v - low) / width)::INTEGER, {bins - 1}) = bin
+  GROUP BY 1, 2, 3, 4"""
+
+
+def binned(found, by="0"):
+    return rounded(found.select(F.expr(by).alias("g"), "bin", "low", "high", "n"), "low", "high")
 
 
 @query(examples_sql(histogram_sql("examples", "num_turns", 20)))
 def turn_histogram(spark, folder):
-    return explore.histogram(examples(spark, folder), "num_turns", 20)
+    return binned(explore.histogram(examples(spark, folder), "num_turns", 20))
+
+
+@query(raw_sql(histogram_sql("(SELECT CASE WHEN has_trace THEN n_messages ELSE 0 END AS n FROM raw)", "n", 20)))
+def trace_length_histogram(spark, folder):
+    lengths = raw(spark, folder).select(F.coalesce(F.when(F.col("trace").isNotNull(), F.size("trace")), F.lit(0)).alias("n"))
+    return binned(explore.histogram(lengths, "n", 20))
 
 
-@query("SELECT * FROM (" + histogram_sql("documents", "n_chars", 30) + ")")
+@query("SELECT * FROM (" + histogram_sql("documents", "n_chars", 30, "lang") + ")")
 def length_histogram(spark, folder):
-    return explore.histogram(documents(spark, folder), "n_chars", 30)
+    return binned(explore.histogram(documents(spark, folder), "n_chars", 30, "lang"), "lang")
 
 
-@query(examples_sql(histogram_sql("counted", "token_count", 30), COUNTED))
+@query(examples_sql(histogram_sql("counted", "token_count", 30, "split"), COUNTED))
 def token_histogram(spark, folder):
-    return explore.histogram(split_examples(spark, folder), "token_count", 30)
+    return binned(explore.histogram(split_examples(spark, folder), "token_count", 30, "split"), "split")
 
 
 def box_sql(rows: str, value: str, by: str) -> str:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.explore import rounded, split_examples, COUNTED
+from catalog.explore import rounded, split_documents, COUNTED
 from catalog.inputs import examples
 from catalog.registry import query, ship_code
 from catalog.sql import examples_sql, pieces, prompt, quoted
@@ -63,10 +63,12 @@ def generate_batched(spark, folder):
     return shown(generation.generate_batched(examples(ship_code(spark), folder), load_echo, batch_size=4))
 
 
-@query()
+@query(examples_sql("SELECT id AS original_index, error IS NULL AS timed, input_tokens, output_tokens FROM generated", ECHO))
 def generation_metadata(spark, folder):
+    """Tokens of every row, and whether it has a time that is no less than zero."""
     rows = generation.generate_batched(examples(ship_code(spark), folder), load_echo)
-    return rows.select(ID, "generation_time_ms", "input_tokens", "output_tokens")
+    return rows.select(ID, F.coalesce(F.col("generation_time_ms") >= 0, F.lit(False)).alias("timed"),
+                       *[F.col(c).cast("long").alias(c) for c in ("input_tokens", "output_tokens")])
 
 
 @query(examples_sql("""SELECT count(*) FILTER (WHERE error IS NULL) AS successful_count, count(*) FILTER (WHERE error IS NOT NULL) AS failed_count,
@@ -82,7 +84,8 @@ def generation_summary(spark, folder):
 @query(examples_sql("""SELECT e.id AS original_index, md5(e.text || '<|im_start|>assistant' || chr(10)) AS prompt
   FROM examples e JOIN counted c ON c.id = e.id WHERE c.split = 'validation' ORDER BY e.id LIMIT 3""", COUNTED))
 def sample_prompts(spark, folder):
-    return generation.sample_prompts(split_examples(spark, folder)).withColumn("prompt", F.md5("prompt"))
+    split = split_documents(spark, folder).select(F.col("doc_id").alias(ID), "split")
+    return generation.sample_prompts(examples(spark, folder).join(split, ID)).withColumn("prompt", F.md5("prompt"))
 
 
 def answered(spark: SparkSession, folder: str) -> DataFrame:
@@ -297,7 +300,17 @@ def aggregate_by_task(spark, folder):
     return rounded(judging.aggregate_by_task(results(spark, folder)), "mean")
 
 
-@query(samples_sql("""SELECT criterion_key, round(avg(weighted_score), 6) AS mean, count(*) AS n FROM scores
-  WHERE valid_samples > 0 GROUP BY 1"""))
+BY_CRITERION = """SELECT criterion_key, round(avg(weighted_score), 6) AS mean, count(*) AS n
+  FROM scores JOIN results USING (example_id) WHERE valid_samples > 0 AND criteria > 0 GROUP BY 1"""
+
+
+@query(samples_sql(BY_CRITERION))
 def aggregate_by_criterion(spark, folder):
-    return rounded(judging.aggregate_by_criterion(scores(spark, folder)), "mean")
+    return rounded(judging.aggregate_by_criterion(scores(spark, folder), results(spark, folder)), "mean")
+
+
+@query(samples_sql("""SELECT example_id, criterion_key,
+  coalesce(string_agg(score, ' ' ORDER BY sample) FILTER (score IS NOT NULL), '') AS raw_scores FROM scored GROUP BY 1, 2"""))
+def raw_scores(spark, folder):
+    found = judging.criterion_scores(scored(spark, folder), 20)
+    return found.select("example_id", "criterion_key", F.array_join(F.col("raw_scores").cast("array<string>"), " ").alias("raw_scores"))

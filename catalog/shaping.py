@@ -1,19 +1,20 @@
 """Text, profile and conversation queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.explore import rounded
 from catalog.inputs import correct_long, documents, examples, long, merged_long, prompts_long, raw
 from catalog.registry import query
 from catalog.sql import (
-    blank, cleaned, examples_sql, long_examples_sql, long_merged_sql, long_sql, long_turns_sql, mapped_role, merged_sql,
+    cleaned, examples_sql, long_examples_sql, long_merged_sql, long_sql, long_turns_sql, mapped_role, merged_sql,
     WHITESPACE, money, number, prompt, quoted, raw_sql, turns_sql,
 )
 from turnflow.constants import THINK_BLOCK
 from turnflow.functions import messages as message_functions
 from turnflow.functions import profile as profile_functions
 from turnflow.functions import text
-from turnflow.operators import shaping, turns
+from turnflow.operators import checks, shaping, turns
 from turnflow.sources.bridge import profiles
 
 def row_id():
@@ -115,7 +116,8 @@ def extract_turns_of_turns(spark, folder):
     return turns.extract_turns(long(spark, folder))
 
 
-@query(raw_sql(f"SELECT id, turn, {mapped_role('type', 'role')} AS mapped FROM raw_messages"))
+@query(raw_sql(f"""SELECT id, row_number() OVER (PARTITION BY id ORDER BY turn, part) - 1 + turn // 13 AS turn,
+  {mapped_role('type', 'role')} AS mapped FROM raw_messages"""))
 def map_role(spark, folder):
     rows = raw(spark, folder).select(row_id(), F.posexplode("trace").alias("turn", "m")).filter(F.col("m").isNotNull())
     return rows.select(
@@ -203,7 +205,7 @@ def keep_correct(spark, folder):
 
 @query(raw_sql("SELECT id, row_number() OVER (ORDER BY id) - 1 AS original_index FROM raw"))
 def add_original_index(spark, folder):
-    return shaping.original_index(raw(spark, folder)).withColumnRenamed("_key", "id")
+    return shaping.with_original_index(raw(spark, folder)).select(F.col("primary id").alias("id"), "original_index")
 
 
 REASONS = """SELECT r.id, CASE WHEN NOT has_trace THEN 'missing trace' WHEN e.id IS NULL THEN 'no valid turn'
@@ -229,6 +231,23 @@ def preprocess(spark, folder):
     return made.withColumns(counters).withColumn("text", F.md5(render_chat(F.col("messages")))).drop("messages")
 
 
+@query(examples_sql("SELECT md5(text) AS text, count(*) AS n, count(*) AS n_index FROM examples GROUP BY 1"))
+def preprocess_repeated_ids(spark, folder):
+    """Keys that are null or repeated lose no row, and every row has an index of its own."""
+    from turnflow.functions.chat import render_chat
+
+    key = F.col("primary id")
+    rows = raw(spark, folder).withColumn("primary id", F.when(key % 5 != 0, key % 10))
+    made = shaping.preprocess(rows).select(F.md5(render_chat(F.col("messages"))).alias("text"), "original_index")
+    every = made.withColumn("same", F.count("*").over(Window.partitionBy("original_index")))
+    return every.groupBy("text").agg(F.count("*").alias("n"), F.count_if(F.col("same") == 1).alias("n_index"))
+
+
+@query("SELECT doc_id, lang FROM documents")
+def require_columns(spark, folder):
+    return checks.require_columns(documents(spark, folder), ["doc_id", "lang"]).select("doc_id", "lang")
+
+
 SIZES = """SELECT count(*) AS num_examples, round(avg(num_turns), 6) AS turns_mean, min(num_turns)::BIGINT AS turns_min,
   max(num_turns)::BIGINT AS turns_max, round(avg(chars), 6) AS chars_mean, min(chars)::BIGINT AS chars_min,
   max(chars)::BIGINT AS chars_max FROM examples"""

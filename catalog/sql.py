@@ -86,19 +86,24 @@ profiles AS (
 RAW = f"""{PROFILES},
 raw AS (
   SELECT d.doc_id AS id, d.source AS assistant_model, CASE WHEN d.doc_id % 50 <> 49 THEN d.lang END AS task,
-         'answer in ' || d.lang AS reference_answer, l.quality = 1 AS correct, d.doc_id % 97 <> 96 AS has_trace,
-         string_split(d.text, chr(10)) AS lines, p.*
-  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN profiles p ON p.c_custkey = d.doc_id
+         'answer in ' || d.lang AS reference_answer, l.quality = 1 AS correct, d.text IS NOT NULL AS has_trace,
+         string_split(d.text, chr(10)) AS lines,
+         len(string_split(d.text, chr(10))) + len(string_split(d.text, chr(10))) // 13
+           + len(list_filter(range(len(string_split(d.text, chr(10)))), lambda i: d.doc_id % 2 = 0 AND i % 11 <> 10 AND (d.doc_id + i) % 5 = 1))
+           AS n_messages, p.*
+  FROM (SELECT doc_id, text, lang, source FROM documents
+        UNION ALL SELECT -1 - doc_id, NULL, lang, source FROM documents WHERE doc_id % 97 = 96) d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN profiles p ON p.c_custkey = d.doc_id
 ),
 numbered AS (
-  SELECT id, i AS turn, 0 AS part, lines[i + 1] AS line,
-         CASE WHEN i % 11 = 10 THEN -1 ELSE (id + i) % 5 END AS kind
-  FROM raw, unnest(range(len(lines))) AS t(i) WHERE has_trace AND i % 13 <> 12
+  SELECT id, i AS turn, part, CASE WHEN part = 1 THEN lines[i + 1] ELSE '' END AS line, kind
+  FROM (SELECT id, i, lines, CASE WHEN i % 11 = 10 THEN -1 ELSE (id + i) % 5 END AS kind
+        FROM raw, unnest(range(len(lines))) AS t(i) WHERE has_trace), unnest(range(2)) AS p(part)
+  WHERE part = 1 OR (kind = 1 AND id % 2 = 0)
 ),
 raw_messages AS (
   SELECT id, turn, part,
          CASE kind WHEN -1 THEN 'system' WHEN 0 THEN 'user' ELSE 'assistant' END AS role,
-         CASE WHEN kind = 1 AND id % 2 = 0 THEN '' ELSE line END AS content,
+         line AS content,
          CASE WHEN kind = 0 THEN 'underwriter' WHEN kind IN (1, 3) THEN 'internal assistant'
               WHEN kind = 2 THEN 'tool' WHEN kind = 4 THEN 'user-facing assistant' END AS type,
          CASE WHEN kind = 1 THEN {tool_call('id + turn')} ELSE '' END AS tool_calls

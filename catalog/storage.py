@@ -1,12 +1,14 @@
 """Round trips through every source and sink, over whole tables."""
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog.explore import SPLIT_DOCUMENTS, rounded, split_documents
-from catalog.generation import ECHO, load_echo, results, samples_sql, scores
+from catalog.generation import BY_CRITERION, ECHO, load_echo, results, samples_sql, scores
 from catalog.inputs import examples, raw
 from catalog.metrics import log_sql
 from catalog.registry import query, ship_code
@@ -28,8 +30,8 @@ def same_trace(df):
                      F.md5(F.array_join(F.transform("trace", lambda m: m["content"]), "|")).alias("content"))
 
 
-@query(raw_sql("""SELECT r.id, any_value(r.task) AS task, CASE WHEN any_value(r.has_trace) THEN any_value(len(r.lines))::BIGINT END AS messages,
-  CASE WHEN any_value(r.has_trace) THEN md5(coalesce(string_agg(m.content, '|' ORDER BY m.turn), '')) END AS content
+@query(raw_sql("""SELECT r.id, any_value(r.task) AS task, CASE WHEN any_value(r.has_trace) THEN any_value(r.n_messages)::BIGINT END AS messages,
+  CASE WHEN any_value(r.has_trace) THEN md5(coalesce(string_agg(m.content, '|' ORDER BY m.turn, m.part), '')) END AS content
   FROM raw r LEFT JOIN raw_messages m ON m.id = r.id GROUP BY r.id"""))
 def read_traces(spark, folder):
     source, cache = place(spark, "traces"), place(spark, "traces-cache")
@@ -78,7 +80,7 @@ def written_evaluation_summary(spark, folder):
     return spark.read.schema("successful_count bigint, failed_count bigint").json(f"{target}/summary")
 
 
-REPORT = "example_id bigint, task string, overall_score double, criterion_scores array<struct<criterion_key:string,weighted_score:double>>"
+REPORT = "example_id bigint, task_type string, overall_score double, criterion_scores array<struct<criterion_key:string,weighted_score:double>>"
 
 
 @query(samples_sql("""SELECT r.example_id, task, round(overall_score, 6) AS overall_score,
@@ -89,7 +91,36 @@ def write_judge_report(spark, folder):
     reports.write_judge_report(results(spark, folder), scores(spark, folder), {"model": "stand-in", "num_samples": 20}, path)
     saved = spark.read.schema(REPORT).json(f"{path}/results")
     keys = F.array_join(F.transform("criterion_scores", lambda c: c["criterion_key"]), " ")
-    return rounded(saved.select("example_id", "task", "overall_score", keys.alias("criteria")), "overall_score")
+    return rounded(saved.select("example_id", F.col("task_type").alias("task"), "overall_score", keys.alias("criteria")), "overall_score")
+
+
+PARTS = f"""SELECT 'overall' AS part, 'all' AS name, round(avg(overall_score) FILTER (criteria > 0), 6) AS mean,
+  count(*) AS n, round(sum(total_cost_usd), 6) AS cost, sum(total_api_calls)::BIGINT AS calls FROM results
+  UNION ALL SELECT 'metadata', 'stand-in', 20.0, count(*), round(sum(total_cost_usd), 6), sum(total_api_calls)::BIGINT FROM results
+  UNION ALL SELECT 'task', task, round(avg(overall_score), 6), count(*), NULL, NULL FROM results WHERE criteria > 0 GROUP BY 2
+  UNION ALL SELECT 'criterion', criterion_key, mean, n, NULL, NULL FROM ({BY_CRITERION})"""
+
+
+@query(samples_sql(PARTS))
+def judge_report_parts(spark, folder):
+    """The four other parts of a saved report, read back."""
+    path = place(spark, "judge-report")
+    reports.write_judge_report(results(spark, folder), scores(spark, folder), {"model": "stand-in", "num_samples": 20}, path)
+    sums = "total_examples bigint, total_api_calls bigint, total_cost_usd double"
+
+    def part(where, schema, name, kind, mean, n, cost="cast(null AS double)", calls="cast(null AS bigint)"):
+        return spark.read.schema(schema).json(f"{path}/{where}").selectExpr(
+            f"'{kind}' AS part", f"{name} AS name", f"round({mean}, 6) AS mean", f"{n} AS n",
+            f"round({cost}, 6) AS cost", f"{calls} AS calls")
+
+    totals = ("total_examples", "total_cost_usd", "total_api_calls")
+    found = [
+        part("aggregate_metrics/overall", f"overall_mean double, {sums}", "'all'", "overall", "overall_mean", *totals),
+        part("evaluation_metadata", f"model string, num_samples double, {sums}", "model", "metadata", "num_samples", *totals),
+        part("aggregate_metrics/by_task", "task string, mean double, n bigint", "task", "task", "mean", "n"),
+        part("aggregate_metrics/by_criterion", "criterion_key string, mean double, n bigint", "criterion_key", "criterion", "mean", "n"),
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(log_sql("SELECT run_id, tag, step, value FROM log"))

@@ -7,7 +7,7 @@ from catalog.explore import COUNTED, SPLIT_DOCUMENTS, rounded, split_documents,
 from catalog.inputs import documents, examples, merged_long, prompts_long
 from catalog.registry import query
 from catalog.sql import LONG, EXAMPLES, examples_sql, long_examples_sql, piece_id, pieces, rendered
-from turnflow.constants import CONTEXT_LENGTH, IGNORED_LABEL, PAD_ID, TRAINING_LENGTH
+from turnflow.constants import CONTEXT_LENGTH, IGNORED_LABEL, PAD_ID, TRAINING_LENGTH, VOCAB_SIZE
 from turnflow.functions import chat, tokens
 from turnflow.operators import batches, splitting, token_tables, turns
 
@@ -277,11 +277,33 @@ def collate(spark, folder):
     )
 
 
-@query()
+def draw_sql(at: int) -> str:
+    return f"('0x' || substr(md5('42:' || id || ':' || (i - 1)), {at}, 8))::BIGINT"
+
+
+CHOSEN = f"({draw_sql(1)} < {int(0.15 * 2**32)} AND p <> {PAD_ID})"
+MASKED = f"""{COLLATED},
+masked AS (
+  SELECT *, list_transform(ids, lambda p, i: CASE WHEN NOT {CHOSEN} THEN p WHEN {draw_sql(9)} % 10 < 8 THEN {VOCAB_SIZE + 1}
+                                                  WHEN {draw_sql(9)} % 10 = 8 THEN {draw_sql(17)} % {VOCAB_SIZE} ELSE p END) AS shown,
+         list_transform(ids, lambda p, i: CASE WHEN {CHOSEN} THEN p ELSE {IGNORED_LABEL} END) AS kept
+  FROM measured
+)"""
+
+
+@query(examples_sql(f"""SELECT id AS original_index, batch, width, {digest_sql(padded_sql('shown', 'width', PAD_ID))} AS input_ids,
+  {digest_sql(padded_sql('kept', 'width', IGNORED_LABEL))} AS labels FROM masked""", MASKED))
 def collate_masked(spark, folder):
     rows = batches.collate(batched_tokens(spark, folder), mlm=True)
-    chosen = F.size(F.filter("labels", lambda x: x != IGNORED_LABEL))
-    return rows.select(ID, "batch", F.size("input_ids").alias("width"), chosen.alias("masked_tokens"))
+    return rows.select(ID, "batch", F.size("input_ids").cast("long").alias("width"), digest("input_ids").alias("input_ids"),
+                       digest("labels").alias("labels"))
+
+
+@query(f"""WITH {SPLIT_DOCUMENTS} SELECT split, (row_number() OVER w - 1) // 4 AS batch, (row_number() OVER w - 1) % 4 AS slot
+  FROM split_documents WINDOW w AS (PARTITION BY split ORDER BY doc_id % 100)""")
+def assign_batches_repeated_ids(spark, folder):
+    rows = split_documents(spark, folder).select((F.col("doc_id") % 100).alias("doc_id"), "split")
+    return batches.assign_batches(rows, "doc_id", shuffle=False, by=("split",)).select("split", "batch", "slot")
 
 
 @query(f"WITH {SPLIT_DOCUMENTS} SELECT doc_id, lang, split FROM split_documents")
@@ -314,7 +336,10 @@ def spread_sql(value: str, name: str) -> str:
 @query(examples_sql(f"""SELECT split, count(*) AS num_examples, {spread_sql('num_messages - 1', 'turns')},
   {spread_sql('length(text)', 'text')} FROM counted JOIN examples e ON e.id = counted.id GROUP BY 1""", COUNTED))
 def split_statistics(spark, folder):
-    rows = split_examples(spark, folder).withColumn("formatted_text", chat.render_chat(F.col("messages")))
+    split = split_documents(spark, folder).select(F.col("doc_id").alias(ID), "split")
+    # texts are rendered before the join, which moves their lengths only
+    texts = examples(spark, folder).select(ID, "num_turns", chat.render_chat(F.col("messages")).alias("formatted_text"))
+    rows = texts.join(split, ID)
     stats = splitting.split_statistics(rows)
     return rounded(stats, *[c for c in stats.columns if c.endswith(("_mean", "_median", "_std"))])
 

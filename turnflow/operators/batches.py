@@ -12,15 +12,13 @@ def assign_batches(
 ) -> DataFrame:
     """Add `batch`, the number of the row's batch, and `slot`, its place there.
 
-    Only the last batch of a group may be short.
+    Only the last batch of a group may be short. Rows with the same id, or none, are rows
+    of their own.
     """
     if shuffle:
         placed = with_shuffled_position(df, id_col, seed, by, "_place")
     else:
-        # only the keys are ordered and written; the rows are joined to their places
-        places = with_position(df.select(id_col, *by), [id_col], by, "_place")
-        places = places.select(F.col(id_col).alias("_id"), "_place")
-        placed = df.join(places, F.col(id_col) == F.col("_id")).drop("_id")
+        placed = with_position(df, [id_col], by, "_place")
     return placed.withColumns({
         "batch": F.floor(F.col("_place") / batch_size),
         "slot": F.col("_place") % batch_size,
@@ -38,8 +36,9 @@ def collate(
 ) -> DataFrame:
     """Pad ids and mask to the longest row of the batch and add labels.
 
-    Causal labels repeat the ids without padding. With `mlm`, a share of the ids chosen
-    by a seeded hash is masked, and labels hold the original of those only.
+    Causal labels repeat the ids without padding. With `mlm`, a share of the ids is chosen by
+    a seeded digest of row and place. Of these, 80 % become the mask, 10 % a random id and
+    10 % stay; labels hold the original of the chosen ones only.
     """
     batch = Window.partitionBy(*by, "batch")
     rows = df.withColumn("_length", F.max(F.size("input_ids")).over(batch))
@@ -48,13 +47,21 @@ def collate(
     def filled(ids, value):
         return F.concat(ids, F.array_repeat(F.lit(value), missing))
 
+    def draw(i, at: int):
+        """32 bits of the digest of a place, from its `at`-th hex digit."""
+        place = F.concat_ws(":", F.lit(str(seed)), F.col("original_index").cast("string"), i.cast("string"))
+        return F.conv(F.substring(F.md5(place), at, 8), 16, 10).cast("long")
+
     def chosen(x, i):
-        draw = F.pmod(F.xxhash64(F.lit(seed), F.col("original_index"), i), F.lit(1_000_000))
-        return (draw < int(share * 1_000_000)) & (x != pad_id)
+        return (draw(i, 1) < int(share * 2**32)) & (x != pad_id)
+
+    def disguised(x, i):
+        kind = draw(i, 9) % 10
+        return F.when(kind < 8, mask_id).when(kind == 8, (draw(i, 17) % VOCAB_SIZE).cast("int")).otherwise(x)
 
     ids = F.col("input_ids")
     if mlm:
-        shown = F.transform(ids, lambda x, i: F.when(chosen(x, i), mask_id).otherwise(x))
+        shown = F.transform(ids, lambda x, i: F.when(chosen(x, i), disguised(x, i)).otherwise(x))
         labels = F.transform(ids, lambda x, i: F.when(chosen(x, i), x).otherwise(IGNORED_LABEL))
     else:
         shown = ids

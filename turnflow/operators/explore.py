@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from turnflow.constants import PROFILE_FIELDS
 from turnflow.functions.messages import tool_names
 from turnflow.plans.ordering import with_position
-from turnflow.plans.shared import join_checked, written
+from turnflow.plans.shared import join_to_groups, written
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -44,20 +44,22 @@ def company_table(df: DataFrame) -> DataFrame:
     ])
 
 
+def _with_percent(counts: DataFrame) -> DataFrame:
+    """Add each row's share of the sum of `n`; `counts` has a row per distinct value."""
+    return counts.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+
+
 def task_distribution(df: DataFrame) -> DataFrame:
     """Rows and their percentage per task, most common first; a missing task is "unknown"."""
     tasks = df.select(F.coalesce("task", F.lit("unknown")).alias("task"))
-    total = tasks.agg(F.count("*").alias("n")).scalar()
     counts = tasks.groupBy("task").agg(F.count("*").alias("n"))
-    return counts.withColumn("percent", F.col("n") * 100.0 / total).orderBy(F.desc("n"), "task")
+    return _with_percent(counts).orderBy(F.desc("n"), "task")
 
 
 def correctness_distribution(df: DataFrame) -> DataFrame:
     """Rows and their percentage for true and false, of the rows that are either."""
     known = df.filter(F.col("correct").isNotNull())
-    total = known.agg(F.count("*").alias("n")).scalar()
-    counts = known.groupBy("correct").agg(F.count("*").alias("n"))
-    return counts.withColumn("percent", F.col("n") * 100.0 / total)
+    return _with_percent(known.groupBy("correct").agg(F.count("*").alias("n")))
 
 
 def tool_usage(df: DataFrame) -> DataFrame:
@@ -74,16 +76,31 @@ def value_counts(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFr
     return written(df.groupBy(*by, F.col(column).alias("v")).agg(F.count("*").alias("n")), "value-counts")
 
 
-def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Rows per equal-width bin between the smallest and the largest value; the last bin is closed."""
-    counts = value_counts(df.filter(F.col(column).isNotNull()), column)
-    low = counts.agg(F.min("v").cast("double").alias("low")).scalar()
-    high = counts.agg(F.max("v").cast("double").alias("high")).scalar()
-    width = (high - low) / bins
-    number = F.when(high == low, F.lit(bins // 2)).otherwise(
-        F.least(F.floor((F.col("v") - low) / width).cast("int"), F.lit(bins - 1))
-    )
-    return counts.groupBy(number.alias("bin")).agg(F.sum("n").alias("n"))
+def histogram(df: DataFrame, column: str, bins: int, by: str | None = None) -> DataFrame:
+    """Rows per equal-width bin between the smallest and the largest value, of each group if `by` is given.
+
+    Every bin has a row with its edges `low` and `high`, empty ones too; the last bin is closed. If all
+    values are equal, the bins reach half a unit to either side.
+    """
+    keys = () if by is None else (by,)
+    counts = value_counts(df.filter(F.col(column).isNotNull()), column, keys)
+    span = counts.groupBy(*keys).agg(F.min("v").cast("double").alias("_min"), F.max("v").cast("double").alias("_max"))
+    flat = F.col("_min") == F.col("_max")
+    span = span.where("_min is not null").select(
+        *[F.col(c).alias(f"_{c}") for c in keys],
+        F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("_low"),
+        F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("_high"))
+    width = (F.col("_high") - F.col("_low")) / bins
+    edges = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).select(
+        *[F.col(f"_{c}").alias(c) for c in keys], "bin",
+        (F.col("_low") + F.col("bin") * width).alias("low"), (F.col("_low") + (F.col("bin") + 1) * width).alias("high"))
+    number = F.least(F.floor((F.col("v") - F.col("_low")) / width).cast("int"), F.lit(bins - 1))
+    filled = join_to_groups(counts, span, list(keys)).groupBy(
+        *[F.col(c).alias(f"_{c}") for c in keys], number.alias("_bin")).agg(F.sum("n").alias("n"))
+    same = F.col("bin") == F.col("_bin")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return edges.join(filled, same, "left").select(*keys, "bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _fences(counts: DataFrame, by: str) -> DataFrame:
@@ -118,16 +135,14 @@ def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
 def box_outliers(df: DataFrame, column: str, by: str) -> DataFrame:
     """The rows beyond the whiskers of `box_stats`."""
     fences = _fences(value_counts(df.filter(F.col(column).isNotNull()), column, (by,)), by)
-    rows = join_checked(df, fences, F.col(by).eqNullSafe(F.col("_by")), "inner")
+    rows = join_to_groups(df, fences.withColumnRenamed("_by", f"_{by}"), [by])
     return rows.filter(~F.col(column).between(F.col("_low"), F.col("_high"))).select(*df.columns)
 
 
 def cumulative_share(df: DataFrame, column: str, by: str, id_col: str) -> DataFrame:
     """Percentage of rows up to each row in value order; equal values get different shares."""
-    placed = with_position(df.select(by, column, id_col), [column, id_col], (by,))
-    totals = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
-    rows = join_checked(placed, totals, F.col(by).eqNullSafe(F.col("_by")), "inner")
-    return rows.select(by, column, id_col, ((F.col("position") + 1) * 100.0 / F.col("_n")).alias("share"))
+    placed = with_position(df.select(by, column, id_col), [column, id_col], (by,), total="size")
+    return placed.select(by, column, id_col, ((F.col("position") + 1) * 100.0 / F.col("size")).alias("share"))
 
 
 def truncation_impact(df: DataFrame) -> DataFrame:
@@ -151,7 +166,7 @@ def longest_examples(df: DataFrame, limit: int, n: int = 3) -> DataFrame:
         df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
         .select(
             "split", "rank", "original_index", "token_count",
-            F.size("messages").alias("num_messages"),
+            (F.col("num_messages") if "num_messages" in df.columns else F.size("messages")).alias("num_messages"),
             F.coalesce("task", F.lit("N/A")).alias("task"),
             F.greatest(F.col("token_count") - limit, F.lit(0)).alias("tokens_over_limit"),
         )

@@ -13,6 +13,7 @@ from turnflow.functions.chat import render_prompt
 from turnflow.functions.text import trim_at_stop
 from turnflow.functions.tokens import count_tokens
 from turnflow.operators.checks import require_columns, require_rows
+from turnflow.plans.ordering import with_scan_position
 from turnflow.schemas import GENERATED
 
 # load() runs once per partition and returns answer(list of message lists) -> list of texts
@@ -58,9 +59,10 @@ def _generator(load: Load, batch_size: int):
 
 def _input(df: DataFrame) -> DataFrame:
     require_columns(df, ["messages"])
+    if "original_index" not in df.columns:
+        df = with_scan_position(df, "original_index")
     filled = df.select(
-        (F.col("original_index") if "original_index" in df.columns else F.monotonically_increasing_id())
-        .cast("long").alias("original_index"),
+        F.col("original_index").cast("long").alias("original_index"),
         (F.coalesce("task", F.lit("unknown")) if "task" in df.columns else F.lit("unknown")).alias("task"),
         F.col("messages"),
         (F.coalesce("target_response", F.lit("")) if "target_response" in df.columns else F.lit("")).alias("target_response"),

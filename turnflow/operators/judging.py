@@ -79,7 +79,12 @@ def with_example_failure(df: DataFrame) -> DataFrame:
 
 
 def judge_requests(examples: DataFrame, samples: int = 20) -> DataFrame:
-    """One row per example, criterion and sample number; made row by row, not by a join."""
+    """One row per example, criterion and sample number; made row by row, not by a join.
+
+    The prompt is built per criterion, see `with_judge_prompt`, so samples are exploded after it.
+    """
+    if samples < 1:
+        raise ValueError(f"samples must be at least 1, got {samples}")
     return (
         examples.withColumn("criterion", F.explode(_criteria_array()))
         .withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
@@ -101,7 +106,12 @@ def estimate_calls(examples: DataFrame, samples: int = 20) -> DataFrame:
 
 
 def _call(judge: Callable[[str], dict], prompt: str, wait: Callable[[float], None]) -> dict:
-    """One judged answer; transient errors and empty answers are tried again, with growing waits."""
+    """One judged answer, or its error.
+
+    A JudgeError and an empty answer are tried again, with growing waits; any other error is not.
+    """
+    if prompt is None:
+        return {"attempts": 0, "error": "no prompt"}
     for attempt in range(1, MAX_TRIES + 1):
         try:
             answer = judge(prompt)
@@ -111,6 +121,8 @@ def _call(judge: Callable[[str], dict], prompt: str, wait: Callable[[float], Non
         except JudgeError as error:
             failure = {"attempts": attempt, "error": str(error)}
             wait(2**attempt)
+        except Exception as error:
+            return {"attempts": attempt, "error": str(error) or type(error).__name__}
     return failure
 
 
@@ -118,7 +130,8 @@ def call_judge(requests: DataFrame, load: Callable[[], Callable[[str], dict]], w
     """Call the judge once per row of `prompt`.
 
     The partitions of `requests` set how many calls run at a time. Write the result
-    before rolling it up: a lost partition that nobody wrote is paid for again.
+    before rolling it up: a lost partition that nobody wrote is paid for again. An error of
+    the judge, of whatever kind, is the `error` of its row; a null prompt is not sent.
     """
     columns = [c.name for c in JUDGED]
 
@@ -152,23 +165,24 @@ def weighted_score(probabilities: Column) -> Column:
 
 
 def criterion_scores(scored: DataFrame, samples: int | None = None) -> DataFrame:
-    """Per example and criterion: valid scores, probabilities, weighted score, text and cost.
+    """Per example and criterion: valid scores, probabilities, weighted score, text, cost and time.
 
     Each row carries six counters and not its samples, so an example may have any number
-    of them. With `samples`, the sample numbers run from 1 to it, as in `judge_requests`,
-    and the list `raw_scores` in sample order is added.
+    of them. With `samples`, as many as `judge_requests` made, the list `raw_scores` of all
+    valid scores in sample order is added. `latency_ms` of the calls, if there, is summed up.
     """
     valid = F.col("score").isNotNull()
     first_text = F.min_by("content", F.when(valid & (F.col("content") != ""), F.col("sample")))
     columns = [
         F.count_if(valid).alias("valid_samples"),
         *[F.count_if(F.col("score") == s).alias(f"_n{s}") for s in SCORES],
-        F.max(F.when(valid, 1)).alias("_any"),
         first_text.alias("_text"),
         F.sum("cost_usd").alias("total_cost_usd"),
     ]
+    if "latency_ms" in scored.columns:
+        columns.append(F.sum("latency_ms").alias("evaluation_time_ms"))
     if samples is not None:
-        numbered = F.when(valid & F.col("sample").between(1, samples), F.struct("sample", "score"))
+        numbered = F.when(valid, F.struct("sample", "score"))
         columns.append(F.array_sort(F.collect_list(numbered)).alias("_raw"))
     rows = scored.groupBy("example_id", "criterion_key").agg(*columns)
     counts = F.array(*[F.col(f"_n{s}") for s in SCORES])
@@ -179,12 +193,11 @@ def criterion_scores(scored: DataFrame, samples: int | None = None) -> DataFrame
     })
     if samples is not None:
         shaped = shaped.withColumn("raw_scores", F.transform("_raw", lambda r: r["score"]))
-    return shaped.drop(*[f"_n{s}" for s in SCORES], "_any", "_text", "_raw", "probabilities")
+    return shaped.drop(*[f"_n{s}" for s in SCORES], "_text", "_raw", "probabilities")
 
 
 def _weights(criteria: DataFrame) -> DataFrame:
-    # the criteria are a table of a few rows made in the driver
-    return F.broadcast(criteria.select(F.col("key").alias("criterion_key"), "weight"))
+    return criteria.select(F.col("key").alias("criterion_key"), "weight")
 
 
 def overall_score(score: Column, weight: Column, applicable: Column) -> Column:
@@ -194,19 +207,35 @@ def overall_score(score: Column, weight: Column, applicable: Column) -> Column:
 
 
 def example_results(scores: DataFrame, criteria: DataFrame) -> DataFrame:
-    """Per example: overall score, cost of all samples, and calls that gave a score."""
-    valid = F.col("valid_samples") > 0
-    return scores.join(_weights(criteria), "criterion_key").groupBy("example_id").agg(
+    """Per example: overall score, cost and time of all samples, and calls that gave a score.
+
+    Scores of a criterion that the table lacks have no weight; their cost and calls count.
+    """
+    valid = (F.col("valid_samples") > 0) & F.col("weight").isNotNull()
+    time_spent = [F.sum("evaluation_time_ms").alias("evaluation_time_ms")] if "evaluation_time_ms" in scores.columns else []
+    return scores.join(_weights(criteria), "criterion_key", "left").groupBy("example_id").agg(
         F.count("*").alias("criteria"),
         overall_score(F.col("weighted_score"), F.col("weight"), valid).alias("overall_score"),
         F.sum("total_cost_usd").alias("total_cost_usd"),
         F.sum("valid_samples").alias("total_api_calls"),
+        *time_spent,
     )
 
 
-def failed_ids(judged: DataFrame) -> DataFrame:
-    """Examples with a call that failed after its last try; all of such an example fails."""
-    return judged.filter(F.col("error").isNotNull()).select("example_id").distinct()
+def judgeable(examples: DataFrame) -> DataFrame:
+    """Examples that can be judged; the others are known before any call is made."""
+    return with_example_failure(examples).filter(F.col("failure").isNull()).drop("failure")
+
+
+def failed_ids(judged: DataFrame, examples: DataFrame | None = None) -> DataFrame:
+    """Examples with a call that failed after its last try; all of such an example fails.
+
+    With `examples`, those that cannot be judged are failed too.
+    """
+    failed = judged.filter(F.col("error").isNotNull()).select("example_id")
+    if examples is not None:
+        failed = failed.union(with_example_failure(examples).filter(F.col("failure").isNotNull()).select("example_id"))
+    return failed.distinct()
 
 
 def all_results(examples: DataFrame, results: DataFrame, failed: DataFrame | None = None) -> DataFrame:
@@ -214,6 +243,8 @@ def all_results(examples: DataFrame, results: DataFrame, failed: DataFrame | Non
     if failed is not None:
         results = results.join(failed, "example_id", "left_anti")
     zero = {"criteria": 0, "overall_score": 0.0, "total_cost_usd": 0.0, "total_api_calls": 0}
+    if "evaluation_time_ms" in results.columns:
+        zero["evaluation_time_ms"] = 0.0
     return examples.select("example_id", F.coalesce("task", F.lit("unknown")).alias("task")).join(
         results, "example_id", "left"
     ).fillna(zero)
@@ -239,8 +270,14 @@ def aggregate_by_task(results: DataFrame) -> DataFrame:
     )
 
 
-def aggregate_by_criterion(scores: DataFrame) -> DataFrame:
-    """Mean weighted score and number per criterion, over those with a valid score."""
+def aggregate_by_criterion(scores: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """Mean weighted score and number per criterion, over those with a valid score.
+
+    With `results`, only scores of examples that kept their criterion scores count; a failed
+    example has none.
+    """
+    if results is not None:
+        scores = scores.join(results.filter(F.col("criteria") > 0).select("example_id"), "example_id", "left_semi")
     return scores.filter(F.col("valid_samples") > 0).groupBy("criterion_key").agg(
         F.avg("weighted_score").alias("mean"), F.count("*").alias("n")
     )

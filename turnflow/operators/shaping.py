@@ -11,7 +11,7 @@ from turnflow.functions.messages import calls_tools, map_role, wrap_think
 from turnflow.functions.profile import company_profile, system_prompt
 from turnflow.functions.text import clean_text, is_blank
 from turnflow.operators.checks import require_columns, require_rows
-from turnflow.plans.ordering import with_position
+from turnflow.plans.ordering import with_position, with_scan_position
 from turnflow.plans.shared import with_computed_once
 
 NO_TRACE = "missing trace"
@@ -118,9 +118,15 @@ def keep_correct(df: DataFrame) -> DataFrame:
     return df.filter(F.col("correct"))
 
 
-def original_index(df: DataFrame, key: str = "primary id") -> DataFrame:
-    """The key of every row with its position in key order, as `original_index`."""
-    return with_position(df.select(F.col(f"`{key}`").alias("_key")), ["_key"], name="original_index")
+def with_original_index(df: DataFrame, key: str = "primary id") -> DataFrame:
+    """Add `original_index`, the position of every row in key order, or as read if there is no key.
+
+    Rows are numbered themselves, so rows with equal or null keys keep numbers of their own.
+    """
+    if key in df.columns:
+        keyed = df.withColumn("_key", F.col(f"`{key}`"))
+        return with_position(keyed, ["_key"], name="original_index").drop("_key")
+    return with_scan_position(df, "original_index")
 
 
 def shape_examples(df: DataFrame) -> DataFrame:
@@ -155,15 +161,14 @@ def training_examples(shaped: DataFrame) -> DataFrame:
 def preprocess(df: DataFrame, key: str = "primary id") -> DataFrame:
     """Correct, usable conversations as training examples.
 
-    Rows are numbered before filtering. Only the keys are ordered for that; the rows
-    themselves are filtered and shaped first and then joined to their numbers.
+    Rows are numbered before filtering, in the order of `key`, or as read from a table
+    without it. The numbered rows are written once, and what follows works inside a row.
     """
-    require_columns(df, [key, "correct", "trace"])
-    examples = training_examples(shape_examples(keep_correct(df)).withColumn("index", F.col(f"`{key}`")))
-    require_rows(examples, "all examples were filtered during preprocessing")
-    numbers = original_index(df, key).withColumnRenamed("original_index", "_number")
-    columns = [F.col("_number").alias(c) if c == "original_index" else F.col(c) for c in examples.columns]
-    return examples.join(numbers, F.col("original_index") == F.col("_key")).select(*columns)
+    require_columns(df, ["correct", "trace"])
+    numbered = with_original_index(df, key)
+    shaped = shape_examples(keep_correct(numbered)).withColumn("index", F.col("original_index"))
+    require_rows(shaped.filter(F.col("reject_reason").isNull()), "all examples were filtered during preprocessing")
+    return training_examples(shaped)
 
 
 def rejected_examples(df: DataFrame, key: str = "primary id") -> DataFrame:

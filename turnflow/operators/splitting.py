@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnflow.operators.checks import require_columns
-from turnflow.plans.ordering import shuffle_key
-from turnflow.plans.shared import is_small, written
+from turnflow.plans.ordering import with_shuffled_position
+from turnflow.plans.shared import join_to_groups
 
 SPLITS = ["train", "validation", "test"]
-BUCKET_DIGITS = 3
 
 
 def _part_of(total: Column, share: float) -> Column:
@@ -57,64 +56,28 @@ def stratified_split(
 ) -> DataFrame:
     """Add `split`, with exact sizes per stratum.
 
-    Rows are taken in the order of a seeded hash of their id. The place where a stratum
-    passes from one split to the next is found from counts per hash bucket and a sort of
-    the one bucket it falls in, so no stratum is ever sorted and the rows themselves are
-    only compared with the two boundaries of their stratum.
+    Rows are taken in the order of a seeded hash of their id, by their position in it; rows
+    with the same id, or none, have positions of their own, so sizes always hold. The order
+    is a range partitioning over stratum and hash, so a hot stratum spreads over many tasks.
     """
     if not math.isclose(train + validation + test, 1.0):
         raise ValueError(f"split sizes must sum to 1.0, got {train + validation + test}")
     require_columns(df, [id_col] if by is None else [id_col, by])
     stratum = F.lit("all") if by is None else F.col(by).cast("string")
-    keyed = df.select(
-        stratum.alias("stratum"), F.col(id_col).alias("_id"), shuffle_key(seed, id_col).alias("_key")
-    ).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
-    buckets = written(keyed.groupBy("stratum", "_bucket").agg(F.count("*").alias("n")), "split-buckets")
-    strata = buckets.groupBy("stratum").agg(F.sum("n").alias("n"))
+    keyed = df.withColumn("stratum_", stratum)
+    # the rows are written in their order here, so counting the strata reads one column of them
+    placed = with_shuffled_position(keyed, id_col, seed, ("stratum_",), "_place")
     rest = validation + test
-    quotas = split_quotas(strata, train, validation / rest if rest else 0.0)
-    # the side tables below have one or two rows per stratum, so one count settles them all
-    small = is_small(strata)
-    bounds = _boundaries(keyed, buckets, quotas, small)
-    marked = df.withColumn("_stratum", stratum).withColumn("_at", F.struct(shuffle_key(seed, id_col), F.col(id_col)))
-    joined = marked.join(F.broadcast(bounds) if small else bounds, F.col("_stratum").eqNullSafe(F.col("_of")))
+    strata = placed.groupBy(F.col("stratum_").alias("stratum")).agg(F.count("*").alias("n"))
+    quotas = split_quotas(strata, train, validation / rest if rest else 0.0).select(
+        F.col("stratum").alias("_stratum_"), "train_places", "validation_places")
     split = (
-        F.when(F.col("_at") <= F.col("_train_end"), "train")
-        .when(F.col("_at") <= F.col("_validation_end"), "validation")
+        F.when(F.col("_place") < F.col("train_places"), "train")
+        .when(F.col("_place") < F.col("train_places") + F.col("validation_places"), "validation")
         .otherwise("test")
     )
-    return joined.withColumn("split", split).drop("_stratum", "_at", "_of", "_train_end", "_validation_end")
-
-
-def _boundaries(keyed: DataFrame, buckets: DataFrame, quotas: DataFrame, small: bool) -> DataFrame:
-    """Last train and last train-or-validation row of each stratum."""
-    upto = Window.partitionBy("stratum").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = buckets.withColumn("_end", F.sum("n").over(upto)).withColumn("_begin", F.col("_end") - F.col("n"))
-    places = quotas.select(
-        F.col("stratum").alias("_of"),
-        F.explode(F.array(
-            F.struct(F.lit("train").alias("kind"), F.col("train_places").alias("place")),
-            F.struct(F.lit("validation").alias("kind"), (F.col("train_places") + F.col("validation_places")).alias("place")),
-        )).alias("_cut"),
-    )
-    inside = (F.col("_cut.place") > F.col("_begin")) & (F.col("_cut.place") <= F.col("_end"))
-    same = F.col("stratum").eqNullSafe(F.col("_of"))
-    wanted = ranges.join(places, same & inside).groupBy(F.col("_of"), F.col("_bucket").alias("_in")).agg(
-        F.max(F.when(F.col("_cut.kind") == "train", F.col("_cut.place") - F.col("_begin"))).alias("_train_at"),
-        F.max(F.when(F.col("_cut.kind") == "validation", F.col("_cut.place") - F.col("_begin"))).alias("_validation_at"),
-    )
-    candidates = keyed.join(F.broadcast(wanted) if small else wanted, same & (F.col("_bucket") == F.col("_in")))
-    ranked = candidates.withColumn(
-        "_n", F.row_number().over(Window.partitionBy("stratum", "_bucket").orderBy("_key", "_id"))
-    )
-    at = F.struct("_key", "_id")
-    found = ranked.groupBy("stratum").agg(
-        F.max(F.when(F.col("_n") == F.col("_train_at"), at)).alias("_train_end"),
-        F.max(F.when(F.col("_n") == F.col("_validation_at"), at)).alias("_validation_end"),
-    )
-    return quotas.select(F.col("stratum").alias("_of")).join(found, F.col("_of").eqNullSafe(F.col("stratum")), "left").select(
-        "_of", "_train_end", "_validation_end"
-    )
+    joined = join_to_groups(placed, quotas, ["stratum_"])
+    return joined.withColumn("split", split).select(*df.columns, "split")
 
 
 def random_split(df: DataFrame, id_col: str, train=0.75, validation=0.125, test=0.125, seed: int = 42) -> DataFrame:
@@ -159,15 +122,13 @@ def _spread(value: Column, name: str) -> list[Column]:
 def split_tasks(df: DataFrame) -> DataFrame:
     """Rows per split and task, and their percentage of the split."""
     counts = df.groupBy("split", "task").agg(F.count("*").alias("n"))
-    sizes = df.groupBy(F.col("split").alias("_of")).agg(F.count("*").alias("_n"))
-    return counts.join(sizes, F.col("split") == F.col("_of")).select(
-        "split", "task", "n", (F.col("n") * 100.0 / F.col("_n")).alias("percent")
-    )
+    size = F.sum("n").over(Window.partitionBy("split"))
+    return counts.select("split", "task", "n", (F.col("n") * 100.0 / size).alias("percent"))
 
 
 def split_summary(df: DataFrame) -> DataFrame:
     """Rows, share of the whole, and mean and deviation of the turns per split."""
-    total = df.agg(F.count("*").alias("n")).scalar()
     turns = [F.avg("num_turns").alias("turns_mean"), F.stddev_pop("num_turns").alias("turns_std")]
     stats = df.groupBy("split").agg(F.count("*").alias("n"), *(turns if "num_turns" in df.columns else []))
-    return stats.withColumn("percent", F.col("n") * 100.0 / total)
+    # one row per split
+    return stats.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from turnflow.constants import IGNORED_LABEL
 from turnflow.plans.ordering import with_position
-from turnflow.plans.shared import join_checked
 
 TRAIN_LOSS = "train/loss"
 EVAL_LOSS = "eval/loss"
@@ -22,20 +21,20 @@ def smooth(log: DataFrame, window: int = 5, stretch: int = STRETCH) -> DataFrame
     A series is cut into stretches of positions. The last points of a stretch are also
     given to the next one, so that its first means are complete.
     """
-    placed = with_position(log, ["step"], tuple(SERIES))
+    if window > stretch:
+        raise ValueError(f"a window of {window} points does not fit a stretch of {stretch}")
+    placed = with_position(log, ["step"], tuple(SERIES), total="_size")
     home = F.floor(F.col("position") / stretch)
     lent = F.col("position") % stretch > stretch - window
     copies = F.when(lent, F.array(home, home + 1)).otherwise(F.array(home))
     near = Window.partitionBy(*SERIES, "_stretch").orderBy("position").rowsBetween(1 - window, 0)
-    sizes = log.groupBy(*[F.col(c).alias(f"_{c}") for c in SERIES]).agg(F.count("*").alias("_n"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SERIES]
-    raw = (F.col("position") < window - 1) | (F.col("_n") <= window)
+    raw = (F.col("position") < window - 1) | (F.col("_size") <= window)
     means = (
         placed.withColumn("_stretch", F.explode(copies)).repartition(*SERIES, "_stretch")
         .withColumn("_mean", F.avg("value").over(near))
         .filter(F.col("_stretch") == home)
     )
-    return join_checked(means, sizes, same, "inner").select(
+    return means.select(
         *log.columns, F.when(raw, F.col("value")).otherwise(F.col("_mean")).alias("smoothed")
     )
 
@@ -50,23 +49,24 @@ def train_loss_report(log: DataFrame, tag: str = TRAIN_LOSS) -> DataFrame:
     return ends.withColumn("improvement", F.col("initial") - F.col("final"))
 
 
-def _best(log: DataFrame, tag: str) -> DataFrame:
-    return log.filter(F.col("tag") == tag).groupBy("run_id").agg(
+def _best_columns() -> list[Column]:
+    return [
         F.min_by("value", "step").alias("initial"),
         F.max_by("value", "step").alias("final"),
         F.min("value").alias("best"),
         F.min_by("step", F.struct("value", "step")).alias("best_step"),
-    )
+    ]
 
 
 def eval_loss_report(log: DataFrame, tag: str = EVAL_LOSS) -> DataFrame:
     """First, last and best value per run, the step of the first best and its place in the series."""
-    best = _best(log, tag)
-    series = log.filter(F.col("tag") == tag).select("run_id", "step")
-    upto = join_checked(series, best.select("run_id", "best_step"), "run_id", "inner").groupBy("run_id").agg(
-        F.count_if(F.col("step") <= F.col("best_step")).alias("best_epoch_approx")
+    series = log.filter(F.col("tag") == tag).select("run_id", "tag", "step", "value")
+    placed = with_position(series, ["step"], ("run_id",))
+    # points of one step: the last one's place counts them all
+    last = F.max("position").over(Window.partitionBy("run_id", "step"))
+    return placed.withColumn("_place", last + 1).groupBy("run_id").agg(
+        *_best_columns(), F.min_by("_place", F.struct("value", "step")).alias("best_epoch_approx")
     )
-    return best.join(upto, "run_id")
 
 
 def overfitting_check(train: DataFrame, evaluation: DataFrame) -> DataFrame:
@@ -113,41 +113,37 @@ def masked_perplexity(logits: DataFrame) -> DataFrame:
 
 def best_checkpoint(log: DataFrame, tag: str = EVAL_LOSS) -> DataFrame:
     """Step with the lowest evaluation loss per run, the first one on a tie."""
-    return _best(log, tag).select("run_id", "best_step", F.col("best").alias("best_loss"))
+    best = log.filter(F.col("tag") == tag).groupBy("run_id").agg(*_best_columns())
+    return best.select("run_id", "best_step", F.col("best").alias("best_loss"))
 
 
 def early_stop_point(log: DataFrame, tag: str = EVAL_LOSS, patience: int = 3, stretch: int = STRETCH) -> DataFrame:
     """First step per run at which `patience` evaluations in a row brought no new best.
 
-    Both running values, the best so far and the place of the last new best, are taken
-    inside a stretch of positions and completed by one carried row per stretch.
+    A stretch of positions is summed up by its lowest value and the first place of it, which
+    is its last new best if it beats the stretches before. One such row per stretch carries
+    the best so far and the place of the last new best into the next.
     """
     series = log.filter(F.col("tag") == tag).select("run_id", "step", "value")
     placed = with_position(series, ["step"], ("run_id",)).withColumn("_stretch", F.floor(F.col("position") / stretch))
-    before = _running(placed, F.min("value"), "_best", include_row=False)
-    new_best = F.col("_best").isNull() | (F.col("value") < F.col("_best"))
-    improved = before.withColumn("_new", F.when(new_best, F.col("position")))
-    since = _running(improved, F.max("_new"), "_last", include_row=True)
-    return since.filter(F.col("position") - F.col("_last") >= patience).groupBy("run_id").agg(
-        F.min("step").alias("stop_step")
-    )
-
-
-def _running(df: DataFrame, aggregate: Column, name: str, include_row: bool) -> DataFrame:
-    """Add a running min or max in `position` order within `run_id`."""
-    inside = Window.partitionBy("run_id", "_stretch").orderBy("position").rowsBetween(
-        Window.unboundedPreceding, 0 if include_row else -1
-    )
-    earlier = Window.partitionBy("run_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    combine, over = (F.least, F.min) if name == "_best" else (F.greatest, F.max)
+    earlier = Window.partitionBy("_run").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        df.groupBy("run_id", "_stretch").agg(aggregate.alias("_part"))
-        .withColumn("_carried", over("_part").over(earlier))
-        .select(F.col("run_id").alias("_run"), F.col("_stretch").alias("_of"), "_carried")
+        placed.groupBy(F.col("run_id").alias("_run"), F.col("_stretch").alias("_of"))
+        .agg(F.min("value").alias("_low"), F.min_by("position", F.struct("value", "position")).alias("_at"))
+        .withColumn("_best", F.min("_low").over(earlier))
+        .withColumn("_new_at", F.when(F.col("_best").isNull() | (F.col("_low") < F.col("_best")), F.col("_at")))
+        .withColumn("_last", F.max("_new_at").over(earlier))
+        .select("_run", "_of", "_best", "_last")
     )
     same = F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_stretch") == F.col("_of"))
-    own = df.repartition("run_id", "_stretch").withColumn("_own", aggregate.over(inside))
-    return own.join(carried, same, "left").withColumn(name, combine("_own", "_carried")).drop("_own", "_run", "_of", "_carried")
+    order = Window.partitionBy("run_id", "_stretch").orderBy("position")
+    best = F.least("_best", F.min("value").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.when(best.isNull() | (F.col("value") < best), F.col("position"))
+    since = (
+        placed.join(carried, same).repartition("run_id", "_stretch").withColumn("_new", new)
+        .withColumn("_since", F.greatest("_last", F.max("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    )
+    return since.filter(F.col("position") - F.col("_since") >= patience).groupBy("run_id").agg(F.min("step").alias("stop_step"))
 
 
 def training_curves(

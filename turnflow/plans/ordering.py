@@ -3,47 +3,53 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnflow.plans.shared import join_checked, written
+from turnflow.plans.shared import written
 
 # monotonically_increasing_id holds the partition above these bits, the row below them.
 ROW_BITS = 33
 
 
-def with_position(df: DataFrame, order: list[str], by: tuple[str, ...] = (), name: str = "position") -> DataFrame:
+def _numbered_once(df: DataFrame) -> DataFrame:
+    """`df` written as it lies, with `_row`, which grows along every partition, and `_part`."""
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "ordered")
+    return rows.withColumn("_part", F.shiftright("_row", ROW_BITS))
+
+
+def with_position(
+    df: DataFrame, order: list[str], by: tuple[str, ...] = (), name: str = "position", total: str | None = None
+) -> DataFrame:
     """Add the 0-based position of each row in `order`, counted within `by` if given.
 
-    Rows are range-partitioned over all keys, so one hot group spreads over many tasks;
-    the offsets added to the positions inside a partition are one row per partition.
-    `order` has to identify a row within its group.
+    Rows are range-partitioned over all keys, so one hot group spreads over many tasks, as
+    do rows that `order` does not tell apart; these get different positions. What is
+    joined is one row per partition and group, by both. Nulls come first. `total` names a
+    column for the number of rows of the group.
     """
-    keys = [*by, *order]
+    keys = [*by, *order, "_tie"]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = written(
-        df.repartitionByRange(parts, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_row", F.monotonically_increasing_id()),
-        "ordered",
-    ).withColumn("_part", F.shiftright("_row", ROW_BITS))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy("_part").agg(F.count("*").alias("n"))
-        .select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    )
-    in_part = F.col("_row").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    # at most one offset row per partition
-    placed = rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + in_part)
-    placed = placed.drop("_row", "_part", "_offset")
-    if not by:
-        return placed
-    return _count_from_group_start(placed, by, name)
-
-
-def _count_from_group_start(df: DataFrame, by: tuple[str, ...], name: str) -> DataFrame:
-    starts = df.groupBy(*by).agg(F.min(name).alias("_start"))
-    starts = starts.select(*[F.col(c).alias(f"_{c}") for c in by], "_start")
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    joined = join_checked(df, starts, same, "inner")
-    return joined.withColumn(name, F.col(name) - F.col("_start")).drop("_start", *[f"_{c}" for c in by])
+    ordered = df.withColumn("_tie", F.rand(7)).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    return _from_offsets(_numbered_once(ordered.drop("_tie")), by, name, total)
+
+
+def with_scan_position(df: DataFrame, name: str = "position") -> DataFrame:
+    """Add the 0-based position of each row in the order in which the table is read."""
+    return _from_offsets(_numbered_once(df), (), name, None)
+
+
+def _from_offsets(rows: DataFrame, by: tuple[str, ...], name: str, total: str | None) -> DataFrame:
+    """Positions from the place in the partition and the rows of the group in earlier partitions."""
+    group = Window.partitionBy(*[f"_{c}" for c in by])
+    earlier = group.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = rows.groupBy(F.col("_part").alias("_of"), *[F.col(c).alias(f"_{c}") for c in by]).agg(
+        F.min("_row").alias("_first"), F.count("*").alias("_n")
+    ).withColumns({"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_total": F.sum("_n").over(group)})
+    same = F.col("_part") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    placed = rows.join(stretches, same).withColumn(name, F.col("_before") + F.col("_row") - F.col("_first"))
+    if total is not None:
+        placed = placed.withColumn(total, F.col("_total"))
+    return placed.drop("_row", "_part", "_of", "_first", "_n", "_before", "_total", *[f"_{c}" for c in by])
 
 
 def shuffle_key(seed: int, id_col: str) -> Column:
@@ -52,26 +58,8 @@ def shuffle_key(seed: int, id_col: str) -> Column:
 
 
 def with_shuffled_position(
-    df: DataFrame, id_col: str, seed: int, by: tuple[str, ...] = (), name: str = "position", digits: int = 3
+    df: DataFrame, id_col: str, seed: int, by: tuple[str, ...] = (), name: str = "position"
 ) -> DataFrame:
-    """Add the 0-based position of each row in the order of `shuffle_key` within `by`.
-
-    The leading hex digits of the key cut every group into buckets of equal size, so a
-    position is the count of the earlier buckets plus a row number inside one bucket.
-    """
-    keyed = df.withColumn("_key", shuffle_key(seed, id_col)).withColumn("_bucket", F.substring("_key", 1, digits))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("n"))
-        .withColumn("_offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_bucket").alias("_in"), "_offset")
-    )
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_key", id_col)
-    same = [F.col("_bucket") == F.col("_in"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]]
-    # both keys are named, or rows already partitioned by the group alone would stay where they are
-    spread = keyed.repartition(*by, "_bucket")
-    return (
-        join_checked(spread.withColumn("_n", F.row_number().over(inside)), offsets, same, "inner")
-        .withColumn(name, F.col("_offset") + F.col("_n") - 1)
-        .drop("_key", "_bucket", "_in", "_n", "_offset", *[f"_{c}" for c in by])
-    )
+    """Add the 0-based position of each row in the order of `shuffle_key` within `by`."""
+    keyed = df.withColumn("_key", shuffle_key(seed, id_col))
+    return with_position(keyed, ["_key", id_col], by, name).drop("_key")

@@ -1,4 +1,4 @@
-"""Written tables in the folder that all executors share, and size-checked joins."""
+"""Written tables in the folder that all executors share, and joins that spread hot groups."""
 
 import tempfile
 import uuid
@@ -6,8 +6,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by spark.checkpoint.dir; a temporary one only on a local master."""
@@ -33,15 +31,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join with a broadcast of `small` if it is counted to be small, else a plain join."""
-    small = written(small, "side")
-    return big.join(F.broadcast(small) if is_small(small) else small, on, how)
-
+def join_to_groups(rows: DataFrame, groups: DataFrame, by: list[str], lots: int = 32) -> DataFrame:
+    """Join rows to the one row of `groups` that has their values of `by`, under the names `_<column>`.
 
-def is_small(df: DataFrame) -> bool:
-    """Whether `df`, counted no further than needed, has few enough rows to broadcast."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    Every group is repeated for `lots` lots over which its rows are dealt, so a hot group
+    spreads over many tasks. Nulls match nulls.
+    """
+    dealt = rows.withColumn("_lot", F.pmod(F.monotonically_increasing_id(), F.lit(lots)))
+    repeated = groups.withColumn("_in", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    same = F.col("_lot") == F.col("_in")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return dealt.join(repeated, same).drop("_lot", "_in")
 
 
 def with_computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:

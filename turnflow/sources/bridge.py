@@ -61,26 +61,31 @@ def correct_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _trace(text: Column, doc: Column) -> Column:
-    def message(line: Column, i: Column) -> Column:
+    """A message per line; blank and null messages are added between them."""
+
+    def messages(line: Column, i: Column) -> Column:
         kind = F.when(i % 11 == 10, -1).otherwise((doc + i) % 5)
         types = F.when(kind == 0, "underwriter").when(kind.isin(1, 3), "internal assistant").when(
             kind == 2, "tool").when(kind == 4, "user-facing assistant")
-        made = F.struct(
-            F.when(kind == -1, "system").when(kind == 0, "user").otherwise("assistant").alias("role"),
-            F.when((kind == 1) & (doc % 2 == 0), "").otherwise(line).alias("content"),
-            types.alias("type"),
-            F.when(kind == 1, _tool_call(doc + i)).otherwise("").alias("tool_calls"),
+        role = F.when(kind == -1, "system").when(kind == 0, "user").otherwise("assistant")
+        calls = F.when(kind == 1, _tool_call(doc + i)).otherwise("")
+        made, blank = (
+            F.struct(role.alias("role"), content.alias("content"), types.alias("type"), calls.alias("tool_calls"))
+            for content in (line, F.lit(""))
         )
-        return F.when(i % 13 != 12, made)
+        before = F.when((kind == 1) & (doc % 2 == 0), F.array(blank)).otherwise(F.array_remove(F.array(blank), blank))
+        return F.concat(before, F.when(i % 13 == 12, F.array(made, F.lit(None))).otherwise(F.array(made)))
 
-    return F.transform(F.split(text, "\n"), message)
+    return F.flatten(F.transform(F.split(text, "\n"), messages))
 
 
 def raw_examples(spark: SparkSession, folder: str) -> DataFrame:
-    """`documents` as raw examples: one per document, its lines as the trace."""
+    """`documents` as raw examples: one per document, its lines as the trace, and some without a trace."""
     doc = F.col("doc_id")
+    documents = table(spark, folder, "documents")
+    without = documents.where(doc % 97 == 96).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", -1 - doc)
     return (
-        table(spark, folder, "documents")
+        documents.unionByName(without)
         .join(correct_labels(spark, folder), "doc_id", "left")
         .join(profiles(spark, folder).drop("segment"), doc == F.col("c_custkey"), "left")
         .select(
@@ -92,7 +97,7 @@ def raw_examples(spark: SparkSession, folder: str) -> DataFrame:
             "building construction", "state", "company description", "lob",
             F.concat(F.lit("answer in "), "lang").alias("reference answer"),
             "correct",
-            F.when(doc % 97 != 96, _trace(F.col("text"), doc)).alias("trace"),
+            _trace(F.col("text"), doc).alias("trace"),
         )
     )
 

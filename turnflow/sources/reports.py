@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from turnflow.constants import CRITERIA
 from turnflow.operators.generation import generation_summary
 from turnflow.operators.judging import aggregate_by_criterion, aggregate_by_task, aggregate_overall
+from turnflow.plans.shared import written
 
 
 def write_stats(df: DataFrame, path: str) -> None:
@@ -20,8 +21,10 @@ def dated(path: str, day: date | None = None) -> str:
     return f"{path}_{(day or date.today()).strftime('%Y%m%d')}"
 
 
-def write_evaluation(df: DataFrame, path: str, include_messages: bool = True, day: date | None = None) -> str:
-    """Save generation results under a dated name, with their summary beside them."""
+def write_evaluation(
+    df: DataFrame, path: str, include_messages: bool = True, day: date | None = None, config: dict | None = None
+) -> str:
+    """Save generation results under a dated name, with their summary and the settings beside them."""
     target = dated(path, day)
     rows = df if include_messages else df.drop("messages")
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(f"{target}/results")
@@ -29,9 +32,15 @@ def write_evaluation(df: DataFrame, path: str, include_messages: bool = True, da
     numbers = T.StructType([f for f in df.schema if not isinstance(f.dataType, T.ArrayType)])
     saved = df.sparkSession.read.schema(numbers).json(f"{target}/results")
     write_stats(generation_summary(saved), f"{target}/summary")
+    if config:
+        write_stats(_settings(df.sparkSession, config), f"{target}/config")
     return target
 
 
+def _settings(spark: SparkSession, config: dict) -> DataFrame:
+    return spark.range(1).select(*[F.lit(value).alias(name) for name, value in config.items()])
+
+
 def read_evaluation(
     spark: SparkSession, path: str, schema: T.StructType, max_examples: int | None = None, multi_line: bool = False
 ) -> DataFrame:
@@ -70,11 +79,16 @@ def nested_results(results: DataFrame, scores: DataFrame) -> DataFrame:
     none = F.array().cast(per_example.schema["criterion_scores"].dataType)
     return results.join(per_example, "example_id", "left").withColumn(
         "criterion_scores", F.when(F.col("criteria") > 0, F.col("criterion_scores")).otherwise(none)
-    ).drop("criteria")
+    ).drop("criteria").withColumnRenamed("task", "task_type")
 
 
 def write_judge_report(results: DataFrame, scores: DataFrame, config: dict, path: str) -> None:
-    """Save nested results, the call settings with totals, and the three aggregates."""
+    """Save nested results, the call settings with totals, and the three aggregates.
+
+    Results and scores are written once and read back, so all five parts agree and no call
+    of a judge behind them is made twice.
+    """
+    results, scores = written(results, "judge-results"), written(scores, "judge-scores")
     nested_results(results, scores).write.mode("overwrite").json(f"{path}/results")
     totals = aggregate_overall(results)
     settings = totals.select(
@@ -83,4 +97,4 @@ def write_judge_report(results: DataFrame, scores: DataFrame, config: dict, path
     write_stats(settings, f"{path}/evaluation_metadata")
     write_stats(totals, f"{path}/aggregate_metrics/overall")
     write_stats(aggregate_by_task(results), f"{path}/aggregate_metrics/by_task")
-    write_stats(aggregate_by_criterion(scores), f"{path}/aggregate_metrics/by_criterion")
+    write_stats(aggregate_by_criterion(scores, results), f"{path}/aggregate_metrics/by_criterion")

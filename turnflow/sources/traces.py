@@ -11,7 +11,8 @@ from turnflow.sources.paths import path_exists
 def read_traces(spark: SparkSession, path: str, cache: str | None = None) -> DataFrame:
     """Raw examples from Parquet or JSON lines; the first read fills `cache`, later ones use it."""
     try:
-        if cache and path_exists(spark, cache):
+        # a folder without the mark of a finished write is a write that was cut off
+        if cache and path_exists(spark, f"{cache}/_SUCCESS"):
             return spark.read.schema(TRACE).parquet(cache)
         if not path_exists(spark, path):
             raise FileNotFoundError(path)
@@ -19,7 +20,7 @@ def read_traces(spark: SparkSession, path: str, cache: str | None = None) -> Dat
         raw = reader.json(path) if path.rstrip("/").endswith((".json", ".jsonl")) else reader.parquet(path)
         if not cache:
             return raw
-        raw.write.parquet(cache)
+        raw.write.mode("overwrite").parquet(cache)
         return spark.read.schema(TRACE).parquet(cache)
     except (AnalysisException, OSError) as error:
         raise ValueError(f"failed to load traces from {path}: {error}") from error
