@@ -12,6 +12,7 @@ from turnflow.functions.messages import calls_tools, map_role, tool_names, wrap_
 from turnflow.functions.text import clean_text, is_blank
 from turnflow.functions.tokens import count_tokens
 from turnflow.operators.shaping import size_stats
+from turnflow.plans.shared import written
 
 STRETCH = 1024
 
@@ -129,8 +130,10 @@ def split_target(merged: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Messages of the usable conversations, with `is_target` on the last one.
 
     The place of the last message reaches the others once per stretch, so the join has no
-    more rows per key than a stretch.
+    more rows per key than a stretch. The messages are written first: they are read twice, and
+    merging them again costs more.
     """
+    merged = written(merged, "merged-messages")
     start = F.struct("turn", "part")
     whole = Window.partitionBy("conv_id")
     last = (
