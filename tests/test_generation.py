@@ -49,6 +49,18 @@ def test_the_prompt_is_counted_after_its_cut(spark):
     assert row["input_tokens"] == 20
 
 
+def test_rows_without_an_index_are_counted(spark):
+    rows = answers(generation.generate(table(spark, *"abcdef").drop("original_index").repartition(3), load_echo))
+    assert [r["original_index"] for r in rows] == list(range(6))
+
+
+def test_settings_are_saved(spark, tmp_path):
+    done = generation.generate(table(spark, "a"), load_echo)
+    target = reports.write_evaluation(done, str(tmp_path / "e"), config={"model": "m", "batch_size": 4})
+    row = spark.read.json(f"{target}/config").first()
+    assert (row["model"], row["batch_size"]) == ("m", 4)
+
+
 def test_wrong_input(spark):
     with pytest.raises(ValueError, match="messages"):
         generation.generate(spark.range(1), load_echo)

@@ -62,6 +62,11 @@ def test_roll_up(spark):
     assert {r["task"]: (r["mean"], r["n"]) for r in judging.aggregate_by_task(every).collect()} == {"x": (1.5, 2)}
     per = {r["criterion_key"]: (r["mean"], r["n"]) for r in judging.aggregate_by_criterion(scores).collect()}
     assert per == {"a": (4.5, 2), "b": (1.0, 1)}
+    # scores of the failed example leave the roll-up
+    kept = {r["criterion_key"]: (r["mean"], r["n"]) for r in judging.aggregate_by_criterion(scores, every).collect()}
+    assert kept == {"a": (4.0, 1), "b": (1.0, 1)}
+    unknown = judging.example_results(scores, criteria(spark, a=2.0)).filter("example_id = 1").first()
+    assert (unknown["overall_score"], unknown["criteria"], unknown["total_api_calls"]) == (4.0, 3, 2)
 
 
 def test_zero_weight_and_no_results(spark):
@@ -77,6 +82,44 @@ def test_examples_that_cannot_be_judged(spark):
     assert failures[1] is None and all(failures[i] for i in (2, 3, 4))
 
 
+def test_requests_need_a_sample(spark):
+    with pytest.raises(ValueError, match="samples"):
+        judging.judge_requests(spark.createDataFrame([], EXAMPLE), 0)
+
+
+def test_failed_ids_of_calls_and_examples(spark):
+    rows = [(1, "t", [("system", SYSTEM)], "a", "b"), (2, "t", [], "a", "b"), (3, "t", [("system", SYSTEM)], "a", "b")]
+    examples = spark.createDataFrame(rows, EXAMPLE).withColumnRenamed("original_index", "example_id")
+    assert {r["example_id"] for r in judging.judgeable(examples).collect()} == {1, 3}
+    judged = spark.createDataFrame([(1, None), (3, "busy")], "example_id long, error string")
+    assert {r["example_id"] for r in judging.failed_ids(judged, examples).collect()} == {2, 3}
+
+
+def load_broken():
+    def judge(prompt):
+        if prompt == "wrong":
+            raise ValueError("bad request")
+        return {"content": "SCORE: 1", "cost_usd": 0.5, "latency_ms": 2.0}
+
+    return judge
+
+
+def test_any_error_is_a_row_and_null_prompts_are_not_sent(spark):
+    asked = spark.createDataFrame([(1, "ok"), (2, "wrong"), (3, None)], "example_id long, prompt string")
+    got = {r["example_id"]: r for r in judging.call_judge(asked, load_broken, no_wait).collect()}
+    assert got[1]["error"] is None and (got[2]["error"], got[2]["attempts"]) == ("bad request", 1)
+    assert (got[3]["error"], got[3]["attempts"], got[3]["content"]) == ("no prompt", 0, None)
+
+
+def test_raw_scores_have_no_cap_and_time_is_summed(spark):
+    rows = samples(spark, *[(1, "a", i, f"SCORE: {i}") for i in (1, 2, 3, 4)]).withColumn("latency_ms", F.lit(2.5))
+    scores = judging.criterion_scores(rows, samples=2)
+    assert scores.first()["raw_scores"] == [1, 2, 3, 4] and scores.first()["evaluation_time_ms"] == 10.0
+    found = judging.example_results(scores, criteria(spark, a=1.0))
+    every = judging.all_results(spark.createDataFrame([(1, "x"), (2, "x")], "example_id long, task string"), found)
+    assert {r["example_id"]: r["evaluation_time_ms"] for r in every.collect()} == {1: 10.0, 2: 0.0}
+
+
 def load_flaky():
     seen = {}
 
@@ -101,6 +144,28 @@ def test_retries(spark):
     assert got["ok"]["cost_usd"] == 0.5 and got["never"]["cost_usd"] is None
 
 
+def load_counting(calls):
+    def judge(prompt):
+        calls.add(1)
+        return {"content": "SCORE: 4", "cost_usd": 0.5, "latency_ms": 1.0}
+
+    return judge
+
+
+def test_a_report_makes_each_call_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    asked = spark.createDataFrame([(i, "use_of_company_profile", s, f"p{i}") for i in range(5) for s in (1, 2)],
+                                  "example_id long, criterion_key string, sample int, prompt string")
+    judged = judging.call_judge(asked, lambda: load_counting(calls), no_wait)
+    rows = [(i, "x", [("system", SYSTEM)], "a", "b") for i in range(5)] + [(9, "x", [], "a", "b")]
+    examples = spark.createDataFrame(rows, EXAMPLE).withColumnRenamed("original_index", "example_id")
+    reports.report_judged(examples, judged, criteria(spark, use_of_company_profile=1.0), {"model": "m"}, str(tmp_path / "r"), 2)
+    assert calls.value == 10
+    assert spark.read.json(str(tmp_path / "r" / "aggregate_metrics" / "by_criterion")).first()["n"] == 5
+    overall = spark.read.json(str(tmp_path / "r" / "aggregate_metrics" / "overall")).first()
+    assert (overall["total_examples"], overall["valid_examples"], overall["overall_mean"]) == (6, 5, 4.0)
+
+
 def test_report(spark, tmp_path):
     scores = judging.criterion_scores(samples(spark, (1, "use_of_company_profile", 1, "SCORE: 4")), samples=1)
     found = judging.example_results(scores, criteria(spark, use_of_company_profile=1.0))
@@ -109,6 +174,6 @@ def test_report(spark, tmp_path):
     rows = {r["example_id"]: r.asDict(True) for r in spark.read.json(str(tmp_path / "r" / "results")).collect()}
     entry, = rows[1]["criterion_scores"]
     assert entry["criterion_name"] == "Use of Company Profile" and entry["raw_scores"] == [4]
-    assert entry["score_probabilities"] == {"4": 1.0} and rows[2]["criterion_scores"] == [] and rows[2]["task"] == "unknown"
+    assert entry["score_probabilities"] == {"4": 1.0} and rows[2]["criterion_scores"] == [] and rows[2]["task_type"] == "unknown"
     settings = spark.read.json(str(tmp_path / "r" / "evaluation_metadata")).first()
     assert (settings["model"], settings["total_examples"], settings["total_api_calls"]) == ("m", 2, 1)

@@ -14,6 +14,11 @@ def log(spark, **series):
     return spark.createDataFrame(rows, METRIC_LOG)
 
 
+def test_a_window_beyond_a_stretch_is_refused(spark):
+    with pytest.raises(ValueError, match="window"):
+        metrics.smooth(log(spark, train_loss=range(30)), 8, stretch=4)
+
+
 def smoothed(values, window=5):
     if len(values) <= window:
         return values

@@ -82,6 +82,17 @@ def test_index_counts_the_unfiltered_rows(spark):
     assert (report["processed"], report["filtered"], report["failed"]) == (1, 2, 0)
 
 
+def test_null_equal_and_absent_keys_lose_no_row(spark):
+    df = table(spark, *[[user("a"), said(str(i))] for i in range(4)])
+    keyed = df.withColumn("primary id", F.when(F.col("primary id") == 0, 1).when(F.col("primary id") > 1, 2))
+    rows = shaping.preprocess(keyed).collect()
+    assert sorted(r["target_response"] for r in rows) == ["0", "1", "2", "3"]
+    assert sorted(r["original_index"] for r in rows) == [0, 1, 2, 3]
+    assert next(r["original_index"] for r in rows if r["target_response"] == "1") == 0  # the null key comes first
+    bare = shaping.preprocess(df.drop("primary id").coalesce(1)).collect()
+    assert sorted((r["original_index"], r["target_response"]) for r in bare) == [(i, str(i)) for i in range(4)]
+
+
 def test_rejected_rows(spark):
     df = table(spark, None, [], [said(" \n")], [said("a"), user("b")], [user("a"), None, said("b")])
     reasons = {r["id"]: r["reject_reason"] for r in shaping.rejected_examples(df).collect()}

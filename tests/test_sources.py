@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnflow.operators import explore
-from turnflow.plans.ordering import with_position, with_shuffled_position
+from turnflow.plans.ordering import with_position, with_scan_position, with_shuffled_position
 from turnflow.schemas import TRACE
 from turnflow.sources.traces import read_traces, table_profile
 
@@ -49,11 +49,35 @@ def test_positions(spark, hot):
     assert sorted((str(r["g"]), r["position"]) for r in mixed) == sorted((str(g), n) for (g, _), n in want.items())
 
 
+def test_positions_of_equal_and_null_keys(spark):
+    """Rows that the order does not tell apart have places of their own."""
+    df = spark.createDataFrame([(k,) for k in [None] * 40 + [1] * 40 + [2]], "k int").repartition(4)
+    rows = with_position(df, ["k"], total="n").collect()
+    assert sorted(r["position"] for r in rows) == list(range(81)) and {r["n"] for r in rows} == {81}
+    assert {r["position"] for r in rows if r["k"] is None} == set(range(40))
+    scanned = with_scan_position(spark.range(0, 100, 1, 7)).collect()
+    assert all(r["id"] == r["position"] for r in scanned)
+
+
+def test_a_cache_that_was_cut_off_is_not_read(spark, tmp_path):
+    source, cache = str(tmp_path / "s"), tmp_path / "c"
+    traces(spark).write.parquet(source)
+    cache.mkdir()
+    assert read_traces(spark, source, str(cache)).count() == 3
+    (cache / "_SUCCESS").unlink()
+    assert read_traces(spark, source, str(cache)).count() == 3
+
+
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(x,) for x in (0, 1, 5, 9, 10)], "v int")
-    assert {r["bin"]: r["n"] for r in explore.histogram(df, "v", 10).collect()} == {0: 1, 1: 1, 5: 1, 9: 2}
+    rows = explore.histogram(df, "v", 10).orderBy("bin").collect()
+    assert [r["n"] for r in rows] == [1, 1, 0, 0, 0, 1, 0, 0, 0, 2]
+    assert [(r["low"], r["high"]) for r in rows] == [(i, i + 1) for i in range(10)]
     same = spark.createDataFrame([(4,), (4,)], "v int")
-    assert {r["bin"]: r["n"] for r in explore.histogram(same, "v", 10).collect()} == {5: 2}
+    assert {r["bin"]: r["n"] for r in explore.histogram(same, "v", 10).collect()} == {i: 2 * (i == 5) for i in range(10)}
+    groups = spark.createDataFrame([("a", 0), ("a", 4), (None, 7), ("b", None)], "k string, v int")
+    rows = {(r["k"], r["bin"]): (r["low"], r["n"]) for r in explore.histogram(groups, "v", 2, "k").collect()}
+    assert rows == {("a", 0): (0, 1), ("a", 1): (2, 1), (None, 0): (6.5, 0), (None, 1): (7, 1)}
 
 
 def test_box(spark):

@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnflow.operators import splitting
-from turnflow.plans import shared
 from turnflow.sources import splits
 
 SIZES = (0.7, 0.15, 0.15)
@@ -45,11 +44,10 @@ def test_a_hot_stratum_and_nulls(spark):
     assert sizes(split) == {"train": 22500, "validation": 3750, "test": 3750}
 
 
-def test_plain_join_beyond_the_broadcast_limit(spark, monkeypatch):
-    want = {tuple(r) for r in splitting.stratified_split(table(spark), "id", *SIZES).select("id", "split").collect()}
-    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
-    got = {tuple(r) for r in splitting.stratified_split(table(spark), "id", *SIZES).select("id", "split").collect()}
-    assert got == want
+def test_sizes_hold_for_repeated_and_missing_ids(spark):
+    df = spark.range(40).select(F.when(F.col("id") < 20, -1).alias("id"), F.lit("a").alias("task"))
+    assert sizes(splitting.stratified_split(df, "id")) == {"train": 30, "validation": 5, "test": 5}
+    assert sizes(splitting.random_split(df, "id")) == {"train": 30, "validation": 5, "test": 5}
 
 
 def test_wrong_input(spark):

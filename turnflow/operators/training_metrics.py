@@ -21,7 +21,7 @@ def smooth(log: DataFrame, window: int = 5, stretch: int = STRETCH) -> DataFrame
     A series is cut into stretches of positions. The last points of a stretch are also
     given to the next one, so that its first means are complete.
     """
-    if window > stretch:
+    if window - 1 > stretch:
         raise ValueError(f"a window of {window} points does not fit a stretch of {stretch}")
     placed = with_position(log, ["step"], tuple(SERIES), total="_size")
     home = F.floor(F.col("position") / stretch)

@@ -8,7 +8,10 @@ from pyspark.sql import types as T
 
 from turnflow.constants import CRITERIA
 from turnflow.operators.generation import generation_summary
-from turnflow.operators.judging import aggregate_by_criterion, aggregate_by_task, aggregate_overall
+from turnflow.operators.judging import (
+    aggregate_by_criterion, aggregate_by_task, aggregate_overall, all_results, criterion_scores, example_results,
+    failed_ids, with_score,
+)
 from turnflow.plans.shared import written
 
 
@@ -82,6 +85,20 @@ def nested_results(results: DataFrame, scores: DataFrame) -> DataFrame:
     ).drop("criteria").withColumnRenamed("task", "task_type")
 
 
+def report_judged(
+    examples: DataFrame, judged: DataFrame, criteria: DataFrame, config: dict, path: str, samples: int | None = None
+) -> None:
+    """Roll up what `call_judge` returned and save the report; every call is made once.
+
+    `examples` have `example_id`, `task` and what `with_example_failure` needs; those that
+    cannot be judged, or with a failed call, are zero rows.
+    """
+    judged = written(judged, "judged")
+    scores = criterion_scores(with_score(judged), samples)
+    results = all_results(examples, example_results(scores, criteria), failed_ids(judged, examples))
+    write_judge_report(results, scores, config, path)
+
+
 def write_judge_report(results: DataFrame, scores: DataFrame, config: dict, path: str) -> None:
     """Save nested results, the call settings with totals, and the three aggregates.
 
