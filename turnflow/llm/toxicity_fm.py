@@ -86,6 +86,8 @@ class Machine:
                 terms, doc = self._packed([mine[i] for i in chosen])
                 margin, sums = self._margins(terms, doc, len(chosen))
                 error = 1 / (1 + np.exp(-margin)) - labels[chosen]
+                if not len(terms):
+                    continue
                 touched, at = np.unique(terms, return_inverse=True)
                 each, n = error[doc], len(touched)
                 grad_w = np.bincount(at, each, n) + decay * self.weights[touched]
