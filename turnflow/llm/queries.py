@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnflow.llm import bpe_words, chat_windows, decontaminate, multi_index, quality_knn, restaurants, simhash_pivots, suffix_dedup, token_files, toxicity_fm
+from turnflow.llm import sql as oracles
 from turnflow.llm.common import side_path, table
 from turnflow.llm.words import vocabulary
 
@@ -14,6 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Tokens of a window, and of the earlier turns that it repeats.
+BUDGET, HISTORY = 1024, 256
+
+
 def query(function):
     QUERIES[function.__name__] = function
     return function
@@ -74,7 +79,7 @@ def op6_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     added = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(extra).alias("text"))
-    read = chat_windows.read_back(chat_windows.budgeted_windows(turns.unionByName(added)))
+    read = chat_windows.read_back(chat_windows.budgeted_windows(turns.unionByName(added), BUDGET, HISTORY))
     return read.select(
         "conv_id", F.col("n_turns").cast("long"),
         F.sha2(F.col("turns").cast("binary"), 256).alias("turns_sha256"),
@@ -103,3 +108,9 @@ def op9_toxicity_fm(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, folder, "documents"))
+
+
+SQL |= {
+    "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op6_chat_windows": oracles.chat_windows(BUDGET, HISTORY),
+}
