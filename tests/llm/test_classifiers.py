@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from awkward import ROWS, documents, empty
 from pyspark.sql import functions as F
@@ -47,6 +48,14 @@ def test_nearest_neighbours_vote_by_similarity():
         assert got[i] == pytest.approx((weight * model.labels[near]).sum() / weight.sum(), abs=1e-4)
 
 
+def test_terms_of_a_text_do_not_depend_on_its_neighbours():
+    texts = [t or "" for _, t in ROWS] + ["a", "ab", "abcd"]
+    together = np.concatenate([w for *_, w in quality_knn.term_weights(pa.record_batch([pa.array(texts)], ["text"]))])
+    for text, weights in zip(texts, together, strict=True):
+        (_, _, alone), = quality_knn.term_weights(pa.record_batch([pa.array([text])], ["text"]))
+        assert np.array_equal(alone[0], weights)
+
+
 def test_pairs_of_terms_count_beyond_their_sum():
     terms = {w: toxicity_fm.Terms(12)[w][0] for w in ("insult", "group")}
     rows, marks = [], []

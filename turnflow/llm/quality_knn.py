@@ -57,9 +57,10 @@ def term_weights(batch: pa.RecordBatch):
         weights = np.zeros((n, WIDTH), np.float32)
         if len(data) > 3:
             code = ((kinds[:-3] * 40 + kinds[1:-2]) * 40 + kinds[2:-1]) * 40 + kinds[3:]
-            bucket = (code * 2654435761 >> 7) % TERMS
-            doc = np.repeat(np.arange(n), np.diff(at))[: len(bucket)]
-            counts = np.bincount(doc * TERMS + bucket, minlength=n * TERMS).reshape(n, TERMS)
+            doc = np.repeat(np.arange(n), np.diff(at))[: len(code)]
+            own = np.arange(len(code)) + 4 <= at[1:][doc]  # no run reaches into the next text
+            bucket = (code[own] * 2654435761 >> 7) % TERMS
+            counts = np.bincount(doc[own] * TERMS + bucket, minlength=n * TERMS).reshape(n, TERMS)
             weights[:, :TERMS] = np.log1p(counts)
             weights[:, :TERMS] /= np.maximum(np.linalg.norm(weights[:, :TERMS], axis=1, keepdims=True), 1e-9)
         shares = np.array([_repetition(t) for t in batch.column("text").slice(first, n).to_pylist()])
@@ -70,7 +71,6 @@ def term_weights(batch: pa.RecordBatch):
 
 
 def _runs(batch: pa.RecordBatch):
-    # a four-gram that reaches into the next document is one of hundreds and stays
     for first, end, data, at in text_slices(batch, BLOCK):
         step = max(1, BLOCK // DOC_COST)
         for a in range(first, end, step):
