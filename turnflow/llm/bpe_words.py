@@ -6,6 +6,7 @@ encoded once, in the bucket of its hash, and its ids are joined back by the posi
 
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnflow.llm.common import ids_back, ids_of, shuffle_parts, text_slices, texts
-from turnflow.llm.dictionary import CHUNK, CHUNK_ROWS, DOCS, Chunk, packed, sized, unpacked, words_of
+from turnflow.llm.common import ids_back, ids_of, release, released, shuffle_parts, text_slices, texts
+from turnflow.llm.dictionary import CHUNK, CHUNK_ROWS, DOCS, Chunk, documents_of, packed, sized, unpacked, words_of
+from turnflow.llm.words import ranges, tokenizer_of
 
 # White space as Unicode defines it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -22,7 +24,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: follows something else.
 WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Bytes of text split at a time, words encoded at a time.
-TEXT, ENCODED = 1_000_000, 4096
+TEXT, ENCODED = 1_000_000, 2048
 
 
 def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
@@ -35,6 +37,7 @@ def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
                 chunk.add(ids[first:end], words, len(data))
                 if chunk.bytes >= CHUNK:
                     yield chunk.rows()
+                    release()
         if chunk.ids:
             yield chunk.rows()
 
@@ -45,38 +48,28 @@ def _encoder(vocabulary: str):
     """Encodes the distinct words that reached one bucket and answers every chunk."""
 
     def work(asked: pa.Table) -> pa.Table:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(vocabulary.value)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer = tokenizer_of(vocabulary.value)
         wanted = [words_of(*unpacked(p.as_py())) for p in asked.column("payload")]
         words = sorted(set().union(*wanted))
         code, ids, sizes = {w: i for i, w in enumerate(words)}, [], []
         for first in range(0, len(words), ENCODED):
             found = tokenizer.encode_batch_fast(
                 [w.decode() for w in words[first : first + ENCODED]], add_special_tokens=False)
-            lists = [np.array(e.ids, np.uint32) for e in found]
-            ids += lists
+            lists = [e.ids for e in found]
             sizes += map(len, lists)
+            ids.append(np.fromiter(chain.from_iterable(lists), np.uint32))
         sizes = np.array(sizes, np.int64)
         flat, ends = np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum(sizes)
         answers = []
         for mine in wanted:
             at = np.fromiter(map(code.__getitem__, mine), np.int64, len(mine))
-            answers.append(packed(sized(sizes[at]), sized(flat[_ranges((ends - sizes)[at], sizes[at])])))
+            answers.append(packed(sized(sizes[at]), sized(flat[ranges((ends - sizes)[at], sizes[at])])))
         return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"),
                          "payload": pa.array(answers, pa.binary())})
 
     return work
 
 
-def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Places begin[i] to begin[i] + size[i] - 1 for every i, end to end."""
-    ends = np.cumsum(size)
-    return np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))
-
-
 def _only_words(batches):
     for batch in batches:
         yield batch.filter(pc.greater_equal(batch.column("bucket"), 0))
@@ -93,10 +86,10 @@ def _joined(coded: pa.Table, answered: pa.Table) -> pa.Table:
     for bucket, payload in zip(coded.column("bucket").to_pylist(), coded.column("payload"), strict=True):
         if bucket != DOCS:
             continue
-        doc_ids, counts, codes = unpacked(payload.as_py())
-        ends = np.r_[0, np.cumsum(counts.astype(np.int64))]
+        doc_ids, counts, codes = documents_of(payload.as_py())
+        ends = np.r_[0, np.cumsum(counts)]
         total = np.r_[0, np.cumsum(size[codes])][ends]
-        found = flat[_ranges(begin[codes], size[codes])].astype(np.int32)
+        found = flat[ranges(begin[codes], size[codes])].astype(np.int32)
         ids.append(ids_back(doc_ids))
         lists.append(pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(found)))
     return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "ids": pa.chunked_array(lists, pa.list_(pa.int32()))})
@@ -113,8 +106,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     parts = shuffle_parts(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
     coded = _chunks(texts(docs, id_col, text_col), 2 * parts).repartition(parts, "chunk")
-    answers = coded.mapInArrow(_only_words, CHUNK_ROWS).groupBy("bucket").applyInArrow(_encoder(shared), CHUNK_ROWS)
-    return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_joined, "doc_id long, ids array<int>")
+    answers = coded.mapInArrow(_only_words, CHUNK_ROWS).groupBy("bucket").applyInArrow(released(_encoder(shared)), CHUNK_ROWS)
+    return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(released(_joined), "doc_id long, ids array<int>")
 
 
 def pieces(vocabulary: str) -> list[bytes | None]:
@@ -143,8 +136,9 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                ids = part.column(ids_col).to_pylist()
-                out = [b"".join([table.get(i, b"") for i in x or []]).decode("utf-8", "replace") for x in ids]
+                # one document's ids at a time, whatever their number
+                out = [b"".join([table.get(i, b"") for i in x.as_py() or []]).decode("utf-8", "replace")
+                       for x in part.column(ids_col)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*others, "decoded"])
 
     return rows.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "decoded string"]))

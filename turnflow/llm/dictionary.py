@@ -15,9 +15,10 @@ from pyspark import TaskContext
 #: Rows of a chunk: its documents (bucket DOCS), and the words it asks each bucket for.
 CHUNK_ROWS = "chunk long, bucket int, payload binary"
 DOCS = -1
+CODEC = pa.Codec("zstd", compression_level=3)
 LOW48 = np.uint64((1 << 48) - 1)
 #: Bytes of text per chunk.
-CHUNK = 16_000_000
+CHUNK = 8_000_000
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -25,7 +26,7 @@ def packed(*arrays: np.ndarray) -> bytes:
     out = []
     for a in arrays:
         raw = np.ascontiguousarray(a).tobytes()
-        small = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+        small = CODEC.compress(raw, asbytes=True) if raw else b""
         out += [np.array([len(raw), len(small)], "<i8").tobytes(), a.dtype.str.encode().ljust(4), small]
     return b"".join(out)
 
@@ -86,24 +87,30 @@ class Chunk:
         self.bytes += n_bytes
 
     def rows(self, of_words=None) -> pa.RecordBatch:
-        """The chunk's rows; codes of words are renumbered by bucket, in which order answers come back.
+        """The chunk's rows; see `documents_of` for the payload of its documents.
 
         Buckets get the words, or, with `of_words`, their hashes and one number each: it is called with the
-        ids of the documents, their numbers of words and all codes, and the number of distinct words.
+        numbers of words of the documents, all codes in the order of the buckets, and the number of distinct
+        words.
         """
         words = list(self.code)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-        order = np.argsort(buckets_of(hashes, self.buckets), kind="stable")
-        place = np.empty(len(words), np.uint32)
-        place[order] = np.arange(len(words), dtype=np.uint32)
         counts = np.concatenate([*self.counts, np.zeros(0, np.int64)])
-        codes = place[np.concatenate([*self.codes, np.zeros(0, np.uint32)])]
-        ids = np.concatenate([*self.ids, np.zeros(0, np.int64)])
+        codes = np.concatenate([*self.codes, np.zeros(0, np.uint32)])
+        # frequent words get small codes, of which the upper bytes are mostly zero
+        by_rank = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[by_rank] = np.arange(len(words), dtype=np.uint32)
+        codes, words = rank[codes], [words[i] for i in by_rank.tolist()]
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        bucket = buckets_of(hashes, self.buckets)
+        order = np.argsort(bucket, kind="stable")
         chunk = TaskContext.get().partitionId() << 32 | self.seq
         hashes = hashes[order]
-        at = np.searchsorted(buckets_of(hashes, self.buckets), np.arange(self.buckets + 1))
-        values = None if of_words is None else of_words(ids, counts, codes, len(words))
-        out = [(DOCS, packed(ids, sized(counts), sized(codes)))]
+        at = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        values = None if of_words is None else of_words(counts, _places(bucket)[codes], len(words))
+        ids = np.concatenate([*self.ids, np.zeros(0, np.int64)])
+        planes = [(codes >> shift & 255).astype(np.uint8) for shift in (0, 8, 16, 24)]
+        out = [(DOCS, packed(ids, sized(counts), sized(bucket), *planes))]
         for b in range(self.buckets):
             if at[b] < at[b + 1]:
                 part = slice(at[b], at[b + 1])
@@ -114,6 +121,20 @@ class Chunk:
         return chunk_rows(chunk, out)
 
 
+def _places(bucket: np.ndarray) -> np.ndarray:
+    """Place of every word in the order of the buckets, in which words are sent and answers come back."""
+    place = np.empty(len(bucket), np.int64)
+    place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+    return place
+
+
+def documents_of(payload: bytes) -> tuple:
+    """Ids of a chunk's documents, their numbers of words, all codes in the order of the buckets, and what was added."""
+    ids, counts, bucket, *rest = unpacked(payload)
+    codes = sum(plane.astype(np.int64) << shift for plane, shift in zip(rest[:4], (0, 8, 16, 24), strict=True))
+    return ids, counts.astype(np.int64), _places(bucket)[codes], *rest[4:]
+
+
 def chunk_rows(chunk: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array(np.full(len(rows), chunk, np.int64)), pa.array([b for b, _ in rows], pa.int32()),

@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnflow.llm.common import ids_back, ids_of, shuffle_parts, text_slices
-from turnflow.llm.dictionary import CHUNK, CHUNK_ROWS, DOCS, LOW48, Chunk, buckets_of, packed, sized, unpacked
+from turnflow.llm.common import ids_back, ids_of, release, released, shuffle_parts, text_slices
+from turnflow.llm.dictionary import CHUNK, CHUNK_ROWS, DOCS, LOW48, Chunk, buckets_of, documents_of, packed, sized, unpacked
 
 #: Marks that no text can hold as a word.
 END, BEGIN = b"", b"\n"
@@ -38,7 +38,7 @@ def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
     def work(batches):
         chunk, learn = Chunk(buckets), []
 
-        def trained(ids, counts, codes, n):
+        def trained(counts, codes, n):
             mask = np.repeat(np.concatenate(learn), counts)
             return np.bincount(codes[mask], minlength=n)
 
@@ -53,6 +53,7 @@ def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
                 if chunk.bytes >= CHUNK:
                     yield _with_flags(chunk.rows(trained), np.concatenate(learn))
                     learn.clear()
+                    release()
         if chunk.ids:
             yield _with_flags(chunk.rows(trained), np.concatenate(learn))
 
@@ -72,13 +73,11 @@ class _Documents:
     def __init__(self, table: pa.Table):
         hashes, at = [], []
         for bucket, payload in zip(table.column("bucket").to_pylist(), table.column("payload"), strict=True):
-            arrays = unpacked(payload.as_py())
             if bucket == DOCS:
-                self.ids, counts, codes, flags = arrays
-                self.counts, self.codes = counts.astype(np.int64), codes.astype(np.int64)
+                self.ids, self.counts, self.codes, flags = documents_of(payload.as_py())
                 self.learn = np.unpackbits(flags)[: len(self.ids)].astype(bool)
             else:
-                hashes.append(arrays[0])
+                hashes.append(unpacked(payload.as_py())[0])
                 at.append(bucket)
         self.chunk = table.column("chunk")[0].as_py()
         self.hashes = np.concatenate([hashes[i] for i in np.argsort(at)])
@@ -367,16 +366,16 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     n_tokens = rows.where("learn").select("text").mapInArrow(_lengths, "n long").agg(F.sum("n")).first()[0] or 0
     coded = _chunks(rows, buckets).repartition(parts, "chunk")
     by_word = coded.mapInArrow(_words_only, CHUNK_ROWS).groupBy("bucket")
-    counts = by_word.applyInArrow(_word_counts, CHUNK_ROWS)
-    asked = coded.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_pairs(buckets), CHUNK_ROWS)
-    seated = asked.groupBy("bucket").applyInArrow(_seating(n_tokens, buckets), CHUNK_ROWS).repartition(parts, "chunk")
+    counts = by_word.applyInArrow(released(_word_counts), CHUNK_ROWS)
+    asked = coded.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(released(_pairs(buckets)), CHUNK_ROWS)
+    seated = asked.groupBy("bucket").applyInArrow(released(_seating(n_tokens, buckets)), CHUNK_ROWS).repartition(parts, "chunk")
     sums = seated.mapInArrow(_sums_only, CHUNK_ROWS)
-    parent = by_word.cogroup(sums.groupBy("bucket")).applyInArrow(_parent(buckets), CHUNK_ROWS).repartition(parts, "chunk")
+    parent = by_word.cogroup(sums.groupBy("bucket")).applyInArrow(released(_parent(buckets)), CHUNK_ROWS).repartition(parts, "chunk")
     totals = parent.mapInArrow(_totals, ", ".join(f"{x} double" for x in SUMMED)).agg(
         F.array(*[F.sum(x) for x in SUMMED]).alias("totals"))
     answers = parent.unionByName(seated).withColumn("totals", totals.scalar())
     return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _scores(buckets), ", ".join(f"{f.name} {KINDS[f.type]}" for f in SCORED))
+        released(_scores(buckets)), ", ".join(f"{f.name} {KINDS[f.type]}" for f in SCORED))
 
 
 KINDS = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
