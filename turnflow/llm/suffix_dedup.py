@@ -15,15 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnflow.llm.bwt_merge import Shard, merged_blocks
-from turnflow.llm.common import ids_back, ids_of, shuffle_parts, text_slices, texts
+from turnflow.llm.common import ids_back, ids_of, release, released, shuffle_parts, text_slices, texts
 from turnflow.llm.dictionary import CHUNK_ROWS, DOCS, chunk_rows, packed, sized, unpacked
 
 #: Bytes of a repeated string; of the substrings that are hashed; windows of a segment at most.
-WINDOW, GRAM, SEGMENT = 50, 20, 32
+WINDOW, GRAM, SEGMENT = 50, 16, 36
 #: Bytes of text per chunk and hashed at a time; suffixes merged at a time; shards of a merge.
-CHUNK, SLICE, MERGED, SHARDS = 8_000_000, 500_000, 1_000_000, 8
-#: Low bits of a hash that a chunk sends when it asks whether others have it too.
-ASKED = np.uint64((1 << 40) - 1)
+CHUNK, SLICE, MERGED, SHARDS = 8_000_000, 500_000, 300_000, 8
+#: Low bits that a hash leaves out when it travels; its bucket is known beside it.
+CUT = np.uint64(24)
 
 
 def _least_hashes(data: np.ndarray) -> np.ndarray:
@@ -35,7 +35,6 @@ def _least_hashes(data: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h += load(8, "<u8") * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(32)
-    h += load(16, "<u4") * np.uint64(0x165667B19E3779F9)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     span = WINDOW - GRAM + 1
@@ -106,6 +105,7 @@ def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
                 size += len(text)
                 if size >= CHUNK:
                     yield made(ids, data, more, seq)
+                    release()
                     ids, data, more, size, seq = [], [], [], 0, seq + 1
         if ids:
             yield made(ids, data, more, seq)
@@ -123,7 +123,7 @@ def _stored(batches: list[pa.RecordBatch]) -> np.ndarray:
 
 def _asked(hashes: np.ndarray, ids: np.ndarray, buckets: int):
     """For each bucket the distinct hashes asked for, cut and in order, and whether several ids of the chunk have them."""
-    bucket, short = (hashes % np.uint64(buckets)).astype(np.int64), hashes // np.uint64(buckets) & ASKED
+    bucket, short = (hashes % np.uint64(buckets)).astype(np.int64), hashes >> CUT
     order = np.lexsort((ids, short, bucket))
     bucket, short, ids = bucket[order], short[order], ids[order]
     fresh = np.ones(len(order), bool)
@@ -170,7 +170,7 @@ def _sending(buckets: int):
         chunk, ids, sizes, whole, _ = _documents(coded)
         at = np.r_[0, np.cumsum(sizes)]
         hashes, doc, begin, n = _segments(whole, at)
-        known = (hashes // np.uint64(buckets) & ASKED) * np.uint64(buckets) + hashes % np.uint64(buckets)
+        known = (hashes >> CUT) * np.uint64(buckets) + hashes % np.uint64(buckets)
         keep = np.isin(known, shared)
         hashes, doc, begin, n = hashes[keep], doc[keep], begin[keep], n[keep]
         order = np.lexsort((hashes, hashes % np.uint64(buckets)))
@@ -182,7 +182,8 @@ def _sending(buckets: int):
         least = np.full(len(code), np.iinfo(np.int64).max)
         np.minimum.at(least, segment, ids[doc])
         first = np.unique(segment, return_index=True)[1]  # segments are numbered in the order of their buckets
-        out = [(DOCS, packed(sized(doc), sized(begin), sized(n), sized(segment)))]
+        placed = np.argsort(start)
+        out = [(DOCS, packed(sized(np.diff(start[placed], prepend=0)), sized(n[placed]), sized(segment[placed])))]
         names, their = list(code), hashes[first]
         edges = np.searchsorted((their % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
         for b in range(buckets):
@@ -190,7 +191,7 @@ def _sending(buckets: int):
             if a < e:
                 mine = names[a:e]
                 out.append((b, packed(
-                    their[a:e], least[a:e], sized(np.fromiter(map(len, mine), np.int64, len(mine))),
+                    sized(np.diff(their[a:e] >> CUT, prepend=np.uint64(0))), least[a:e], sized(np.fromiter(map(len, mine), np.int64, len(mine))),
                     np.frombuffer(b"".join(mine), np.uint8))))
         return pa.Table.from_batches([chunk_rows(chunk, out)])
 
@@ -212,7 +213,7 @@ def _least_ids(sent: pa.Table) -> pa.Table:
     hashes, least, size, data, owner = [], [], [], [], []
     for k, p in enumerate(sent.column("payload")):
         h, ids, n, raw = unpacked(p.as_py())
-        hashes.append(h)
+        hashes.append(np.cumsum(h.astype(np.uint64)))
         least.append(ids)
         size.append(n.astype(np.int64))
         data.append(raw.tobytes())
@@ -228,7 +229,7 @@ def _least_ids(sent: pa.Table) -> pa.Table:
     np.minimum.at(ids, same, least)
     windows = size[first] - WINDOW + 1
     begin = np.cumsum(windows) - windows
-    found = np.repeat(ids, windows)  # right for a segment that has its hash alone
+    found = np.repeat(ids, windows)  # right for a segment that has its hash, as it travelled, alone
     order = np.argsort(their, kind="stable")
     group = np.r_[True, their[order][1:] != their[order][:-1]]
     starts = np.flatnonzero(group)
@@ -282,7 +283,9 @@ def _removing(coded: pa.Table, answers: pa.Table) -> pa.Table:
             parts[b] = unpacked(p.as_py())[0]
     edge = np.zeros(len(whole) + 1, np.int64)
     if where is not None and len(where[0]):
-        doc, begin, n, segment = (x.astype(np.int64) for x in where)
+        steps, n, segment = (x.astype(np.int64) for x in where)
+        begin = np.cumsum(steps)
+        doc = np.searchsorted(at, begin, side="right") - 1
         least = np.concatenate([parts[b] for b in sorted(parts)])
         windows = np.zeros(int(segment.max()) + 1, np.int64)
         windows[segment] = n
@@ -291,7 +294,7 @@ def _removing(coded: pa.Table, answers: pa.Table) -> pa.Table:
         nth = np.arange(int(n.sum())) - np.repeat(ends - n, n)
         which = np.repeat(np.arange(len(n)), n)
         repeated = least[first[segment[which]] + nth] < ids[doc[which]]
-        start = (at[doc] + begin)[which[repeated]] + nth[repeated]
+        start = begin[which[repeated]] + nth[repeated]
         edge += np.bincount(start, minlength=len(edge)) - np.bincount(start + WINDOW, minlength=len(edge))
     gone = np.cumsum(edge)[:-1] > 0
     kept, spans = [], []
@@ -325,14 +328,14 @@ def remove_repeats(docs: DataFrame, carried: tuple[str, ...] = (), id_col: str =
     schema = ["doc_id long", "n_bytes long", "removed array<struct<begin: long, end: long>>", "kept binary",
               *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carried)]
     coded = _chunks(rows, buckets).repartition(parts, "chunk")
-    shared = coded.mapInArrow(_no_docs, CHUNK_ROWS).groupBy("bucket").applyInArrow(_shared_hashes, CHUNK_ROWS)
+    shared = coded.mapInArrow(_no_docs, CHUNK_ROWS).groupBy("bucket").applyInArrow(released(_shared_hashes), CHUNK_ROWS)
     sent = (
-        coded.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_sending(buckets), CHUNK_ROWS)
+        coded.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(released(_sending(buckets)), CHUNK_ROWS)
         .repartition(parts, "chunk"))
-    least = sent.mapInArrow(_no_docs, CHUNK_ROWS).groupBy("bucket").applyInArrow(_least_ids, CHUNK_ROWS)
+    least = sent.mapInArrow(_no_docs, CHUNK_ROWS).groupBy("bucket").applyInArrow(released(_least_ids), CHUNK_ROWS)
     own = sent.mapInArrow(_only_docs, CHUNK_ROWS)
     return coded.groupBy("chunk").cogroup(own.unionByName(least).groupBy("chunk")).applyInArrow(
-        _removing, ", ".join(schema))
+        released(_removing), ", ".join(schema))
 
 
 def _only_docs(batches):
