@@ -28,7 +28,7 @@ PART, TABULATED = 2_000_000, 64
 TEXT = 1_000_000
 #: Kinds of rows for a chunk, told by their bucket: numbers of words, then values of pairs.
 WORDS, PAIRS = 0, 1 << 24
-#: Chunk of the rows that hold totals. Rows for the parent have chunks below that, one per bucket and side.
+#: Chunk of the rows that hold totals. Rows for the parent have chunks below that, one per bucket.
 TOTALS = -1
 
 
@@ -138,7 +138,7 @@ def _pairs(buckets: int):
                 first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
                 words = (docs.hashes[docs.word[mine]] & LOW48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                 rows.append((b, packed(docs.hashes[context[first]], sized(np.diff(np.r_[first, len(mine)])), words.ravel(),
-                                       sized(trained[mine]), np.log2(count[docs.word[mine]] + 1).astype(np.float16),
+                                       sized(trained[mine]), np.rint(8 * np.log2(count[docs.word[mine]] + 1)).astype(np.uint8),
                                        sized(1 + count[context[first]] // PART))))
         return _table([(docs.chunk, b, p) for b, p in rows])
 
@@ -199,7 +199,7 @@ def _seating(n_tokens: int, buckets: int):
         _, first, at = np.unique(mixed, return_index=True, return_inverse=True)
         trained = np.concatenate([x[3] for x in lists]).astype(np.float64)
         count = np.bincount(at, trained).astype(np.int64)
-        parent = (np.exp2(np.concatenate([x[4] for x in lists])[first].astype(np.float64))) / (n_tokens + 1)
+        parent = np.exp2(np.concatenate([x[4] for x in lists])[first] / 8.0) / (n_tokens + 1)
         parent = np.minimum(parent, 1.0)
         _, restaurant = np.unique(context[first], return_inverse=True)
         rng = np.random.default_rng([int(asked.column("bucket")[0].as_py()), 29])
@@ -217,23 +217,22 @@ def _seating(n_tokens: int, buckets: int):
             used, small = np.unique(codes, return_inverse=True)
             out.append((asked.column("chunk")[k].as_py(), PAIRS + int(asked.column("bucket")[k].as_py()),
                         packed(values[used], sized(small))))
-        out += _sums(context[first], count, kept, 0)
-        out += _sums(word[first], count, kept, 1)
+        contexts, words = _sums(context[first], count, kept), _sums(word[first], count, kept)
+        # one row for each bucket that answers for words, with both sides
+        out += [(TOTALS - 1 - b, b, packed(*contexts[b], *words[b])) for b in range(buckets)
+                if len(contexts[b][0]) or len(words[b][0])]
         return _table(out)
 
-    def _sums(key, count, kept, side: int):
-        """Tables of all draws by context (side 0) or word (side 1), for the bucket that answers for it."""
+    def _sums(key, count, kept) -> list[list[np.ndarray]]:
+        """For each bucket that answers for words: steps between the low hash bits of its words, tables of all draws."""
         used = count > 0
         names, at = np.unique(key[used] & LOW48, return_inverse=True)
         sums = [np.bincount(at, k[used], len(names)).astype(np.int64) for k in kept]
         bucket = buckets_of(names, buckets)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            mine = order[edges[b] : edges[b + 1]]
-            if len(mine):
-                data = names[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].ravel()
-                yield TOTALS - 1 - 2 * b - side, b, packed(data, *(sized(s[mine]) for s in sums))
+        parts = [order[edges[b] : edges[b + 1]] for b in range(buckets)]
+        return [[sized(np.diff(names[m], prepend=np.uint64(0))), *(sized(s[m]) for s in sums)] for m in parts]
 
     return work
 
@@ -248,13 +247,12 @@ def _parent(buckets: int):
         low = every & LOW48
         by_low = np.argsort(low, kind="stable")
         as_context, as_word = (np.zeros((DRAWS, len(every)), np.int64) for _ in range(2))
-        for chunk, payload in zip(sums.column("chunk").to_pylist(), sums.column("payload"), strict=True):
-            data, *tables = unpacked(payload.as_py())
-            names = np.pad(data.reshape(-1, 6), ((0, 0), (0, 2))).copy().view("<u8").ravel()
-            place = by_low[np.searchsorted(low[by_low], names)]
-            side = as_context if (TOTALS - 1 - chunk) % 2 == 0 else as_word
-            for s in range(DRAWS):
-                side[s] += np.bincount(place, tables[s], len(every)).astype(np.int64)
+        for payload in sums.column("payload"):
+            arrays = unpacked(payload.as_py())
+            for side, (steps, *tables) in ((as_context, arrays[: 1 + DRAWS]), (as_word, arrays[1 + DRAWS :])):
+                place = by_low[np.searchsorted(low[by_low], np.cumsum(steps.astype(np.uint64)))]
+                for s in range(DRAWS):
+                    side[s] += np.bincount(place, tables[s], len(every)).astype(np.int64)
         known = int((count > 0).sum())
         rng = np.random.default_rng([int(asked.column("bucket")[0].as_py()), 31])
         stirling, one = _stirling(PARENT_DISCOUNT, TABULATED), np.zeros(len(every), np.int64)
@@ -355,7 +353,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     scores come from the uniform base.
 
     Words are told by 64 bits of hash, the words of one context by 48. The seating of contexts takes a word's
-    share of all tokens for its probability in the parent; the parent is drawn from the tables that result.
+    share of all tokens, to an eighth of a doubling, for its probability in the parent; the parent is drawn from the tables that result.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
@@ -365,7 +363,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         F.coalesce(learn, F.lit(True)).alias("learn"))
     n_tokens = rows.where("learn").select("text").mapInArrow(_lengths, "n long").agg(F.sum("n")).first()[0] or 0
     coded = _chunks(rows, buckets).repartition(parts, "chunk")
-    by_word = coded.mapInArrow(_words_only, CHUNK_ROWS).groupBy("bucket")
+    by_word = coded.mapInArrow(_words_only, CHUNK_ROWS).repartition(parts, "bucket").groupBy("bucket")
     counts = by_word.applyInArrow(released(_word_counts), CHUNK_ROWS)
     asked = coded.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(released(_pairs(buckets)), CHUNK_ROWS)
     seated = asked.groupBy("bucket").applyInArrow(released(_seating(n_tokens, buckets)), CHUNK_ROWS).repartition(parts, "chunk")
