@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from turnflow.llm.common import shuffle_parts, written
 
 #: Entries and queries of a block; a pair of blocks is one matrix product.
-ENTRIES, QUERIES = 4096, 256
+ENTRIES, QUERIES = 16_384, 256
 
 
 class Codebook:
@@ -124,10 +124,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, centroids: int = 32, reca
     rows = usable(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     rows = written(rows, "vectors")
     length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.where(F.size("vector") == (length.n if length else 0))
-    book = spark.sparkContext.broadcast(fit(rows, centroids, recall, k, max_sample))
     if not length:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = rows.where(F.size("vector") == length.n)
+    book = spark.sparkContext.broadcast(fit(rows, centroids, recall, k, max_sample))
     equal = Window.partitionBy("vector").orderBy("vec_id")
     entries = rows.withColumn("copy", F.row_number().over(equal)).where(F.col("copy") <= k + 1).select("vec_id", "vector")
     groups = max(1, -(-length["count"] // ENTRIES))
