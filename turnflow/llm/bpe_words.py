@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnflow.llm.common import ids_back, ids_of, release, released, shuffle_parts, text_slices, texts
+from turnflow.llm.common import ids_back, ids_of, release, released, shuffle_parts, slices, text_slices, texts
 from turnflow.llm.dictionary import CHUNK, CHUNK_ROWS, DOCS, Chunk, documents_of, packed, sized, unpacked, words_of
 from turnflow.llm.words import ranges, tokenizer_of
 
@@ -23,18 +23,36 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: White space and what follows it up to the next: byte-level tokenizers always cut before white space that
 #: follows something else.
 WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Bytes of text split at a time, words encoded at a time.
-TEXT, ENCODED = 1_000_000, 2048
+#: Bytes of text split at a time, words encoded at a time, ids decoded at a time.
+TEXT, ENCODED, DECODED = 1_000_000, 2048, 300_000
+
+
+def split(text: str) -> list[str]:
+    """The words of a text as short keys, see `word_of`.
+
+    Most texts have single spaces and line ends between their words only; cutting these at the spaces gives
+    all words at once. The others are cut by WORD.
+    """
+    keys, found = text.replace("\n", " \n").split(" "), text.split()
+    # as many keys as stretches, and no white space but that between them
+    if len(keys) == len(found) and len("".join(found)) == len(text) - len(keys) + 1:
+        keys[0] = " " + keys[0]
+        return keys
+    return [w if w[0] == "\n" else " " + w for w in WORD.findall(text)]
+
+
+def word_of(key: str) -> bytes:
+    """The word of a key: what follows a space, all from a line end on, and else the key after a space."""
+    return (key[1:] if key[0] == " " else key if key[0] == "\n" else " " + key).encode()
 
 
 def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
     def work(batches):
-        chunk = Chunk(buckets)
+        chunk = Chunk(buckets, word_of)
         for batch in batches:
             ids, column = ids_of(batch.column("doc_id")), batch.column("text")
             for first, end, data, _ in text_slices(batch, TEXT):
-                words = [[w.encode() for w in WORD.findall(t)] for t in column.slice(first, end - first).to_pylist()]
-                chunk.add(ids[first:end], words, len(data))
+                chunk.add(ids[first:end], [split(t) for t in column.slice(first, end - first).to_pylist()], len(data))
                 if chunk.bytes >= CHUNK:
                     yield chunk.rows()
                     release()
@@ -127,18 +145,24 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
     Ids that the vocabulary lacks give nothing, as in the library; bytes that are no UTF-8 become U+FFFD. Null
     ids decode to an empty text. The id-to-piece table has one entry per id of the vocabulary and is broadcast.
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces(vocabulary))
+    table = pieces(vocabulary)
+    # pieces end to end; the last, empty one stands for every id that the vocabulary lacks
+    flat, size = np.frombuffer(b"".join(table), np.uint8), np.array([*map(len, table), 0])
+    shared = encoded.sparkSession.sparkContext.broadcast((flat, np.cumsum(size) - size, size))
     others = [c for c in encoded.columns if c != "decoded"]
     rows = encoded.select(*[F.col(f"`{c}`") for c in others])
 
     def work(batches):
-        table = dict(enumerate(shared.value))
+        flat, begin, size = shared.value
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                # one document's ids at a time, whatever their number
-                out = [b"".join([table.get(i, b"") for i in x.as_py() or []]).decode("utf-8", "replace")
-                       for x in part.column(ids_col)]
+            n = pc.fill_null(pc.list_value_length(batch.column(ids_col)), 0).to_numpy(zero_copy_only=False)
+            for first, end in slices(n, DECODED):
+                part = batch.slice(first, end - first)
+                ids = part.column(ids_col).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                ids[(ids < 0) | (ids >= len(size))] = len(size) - 1
+                data = flat[ranges(begin[ids], size[ids])].tobytes()
+                at = np.r_[0, np.cumsum(size[ids])][np.r_[0, np.cumsum(n[first:end])]].tolist()
+                out = [data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*others, "decoded"])
 
     return rows.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "decoded string"]))

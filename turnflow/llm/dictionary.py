@@ -65,21 +65,30 @@ def buckets_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes & LOW48) % np.uint64(buckets)).astype(np.int64)
 
 
+class Codes(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word) -> int:
+        self[word] = code = len(self)
+        return code
+
+
 class Chunk:
-    """Documents of one task, coded by the distinct words seen since the chunk began."""
+    """Documents of one task, coded by the distinct words seen since the chunk began.
+
+    Words may be added under keys, which `word_of` turns into words once per chunk.
+    """
 
-    def __init__(self, buckets: int):
-        self.buckets, self.seq = buckets, 0
+    def __init__(self, buckets: int, word_of=None):
+        self.buckets, self.word_of, self.seq = buckets, word_of, 0
         self._clear()
 
     def _clear(self) -> None:
-        self.code: dict[bytes, int] = {}
+        self.code = Codes()
         self.ids, self.counts, self.codes, self.bytes = [], [], [], 0
 
-    def add(self, ids: np.ndarray, words: list[list[bytes]], n_bytes: int) -> None:
+    def add(self, ids: np.ndarray, words: list[list], n_bytes: int) -> None:
         code = self.code
-        for w in set(chain.from_iterable(words)) - code.keys():
-            code[w] = len(code)
         n = np.fromiter(map(len, words), np.int64, len(words))
         self.ids.append(ids)
         self.counts.append(n)
@@ -93,7 +102,7 @@ class Chunk:
         numbers of words of the documents, all codes in the order of the buckets, and the number of distinct
         words.
         """
-        words = list(self.code)
+        words = list(self.code) if self.word_of is None else [self.word_of(k) for k in self.code]
         counts = np.concatenate([*self.counts, np.zeros(0, np.int64)])
         codes = np.concatenate([*self.codes, np.zeros(0, np.uint32)])
         # frequent words get small codes, of which the upper bytes are mostly zero
