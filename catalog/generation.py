@@ -9,7 +9,7 @@ from catalog.registry import query, ship_code
 from catalog.sql import examples_sql, pieces, prompt, quoted
 from turnflow.constants import (
     CRITERIA, JUDGE_ANSWER, JUDGE_CLOSING, JUDGE_HISTORY, JUDGE_OPENING, JUDGE_PROFILE, JUDGE_REFERENCE, JUDGE_STEPS,
-    NO_VALID_SCORES, SYSTEM_PREAMBLE, TRAINING_LENGTH,
+    SYSTEM_PREAMBLE, TRAINING_LENGTH,
 )
 from turnflow.functions.text import parse_score as score_of
 from turnflow.functions.text import strip_think

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.explore import rounded
-from catalog.inputs import correct_long, documents, examples, long, merged_long, prompts_long, raw
+from catalog.inputs import documents, examples, long, merged_long, prompts_long, raw
 from catalog.registry import query
 from catalog.sql import (
     cleaned, examples_sql, long_examples_sql, long_merged_sql, long_sql, long_turns_sql, mapped_role, merged_sql,
@@ -15,7 +15,6 @@ from turnflow.functions import messages as message_functions
 from turnflow.functions import profile as profile_functions
 from turnflow.functions import text
 from turnflow.operators import checks, shaping, turns
-from turnflow.sources.bridge import profiles
 
 def row_id():
     return F.col("`primary id`").alias("id")

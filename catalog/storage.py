@@ -14,7 +14,6 @@ from catalog.metrics import log_sql
 from catalog.registry import query, ship_code
 from catalog.sql import examples_sql, raw_sql
 from turnflow.operators.generation import generate_batched
-from turnflow.operators.splitting import SPLITS
 from turnflow.plans.shared import shared_folder
 from turnflow.sources import metric_log as metric_logs
 from turnflow.sources import reports, splits, traces

@@ -7,7 +7,7 @@ from catalog.explore import COUNTED, SPLIT_DOCUMENTS, rounded, split_documents,
 from catalog.inputs import documents, examples, merged_long, prompts_long
 from catalog.registry import query
 from catalog.sql import LONG, EXAMPLES, examples_sql, long_examples_sql, piece_id, pieces, rendered
-from turnflow.constants import CONTEXT_LENGTH, IGNORED_LABEL, PAD_ID, TRAINING_LENGTH, VOCAB_SIZE
+from turnflow.constants import IGNORED_LABEL, PAD_ID, TRAINING_LENGTH, VOCAB_SIZE
 from turnflow.functions import chat, tokens
 from turnflow.operators import batches, splitting, token_tables, turns
 
