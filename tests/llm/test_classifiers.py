@@ -70,6 +70,26 @@ def test_pairs_of_terms_count_beyond_their_sum():
     assert (machine.vectors[place("insult")] @ machine.vectors[place("group")].T).item() > 0
 
 
+def test_a_term_of_mean_share_counts_beside_another():
+    rng = np.random.default_rng(1)
+    insult, group, other = 1, 2, 3
+    rows, marks = [], []
+    for _ in range(4000):
+        with_group, with_insult = rng.random() < 0.3, rng.random() < 0.1
+        with_other = not with_group and rng.random() < 0.1
+        more = np.unique(1000 + (2000 * rng.random(10)).astype(int))
+        named = [t for t, on in ((insult, with_insult), (group, with_group), (other, with_other)) if on]
+        rows.append(np.r_[np.array(named, int), more].astype(np.int32))
+        marks.append(float((with_group and with_insult) or with_other))
+    marks = np.array(marks)
+    held = np.array([group in r for r in rows])
+    assert abs(marks[held].mean() - marks.mean()) < 4 * marks.std() / np.sqrt(held.sum())
+    machine = toxicity_fm.Machine(rows, marks, 12)
+    place = lambda *words: machine.place[list(words)]
+    scores = machine.scores([place(insult, group), place(insult), place(group)])
+    assert machine.place[group] >= 0 and scores[0] > 0.5 and max(scores[1:]) < 0.5
+
+
 @pytest.mark.parametrize("name,least", [("op3_quality_knn", 0.97), ("op9_toxicity_fm", 0.97)])
 def test_held_out_accuracy(spark, name, least):
     kind = "quality" if "quality" in name else "toxic"

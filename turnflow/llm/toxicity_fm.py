@@ -52,25 +52,22 @@ class Terms(dict):
 
 
 class Machine:
-    """Bias, weights and vectors of the terms that tell the labels apart; others count nothing.
+    """Bias, weights and vectors of all terms that `least` or more of the rows hold; others count nothing.
 
-    `rows` are arrays of buckets, `labels` 0 or 1. Kept are the `most` buckets whose share of label 1 lies
-    farthest from the mean, by `apart` standard errors at least. Learning is by AdaGrad on the logistic
-    loss in mini-batches of a fixed order, so the same rows give the same machine.
+    `rows` are arrays of buckets, `labels` 0 or 1. Learning is by AdaGrad on the logistic loss in mini-batches
+    of a fixed order, so the same rows give the same machine. No term is judged before it is learnt: weights
+    and vectors shrink by `shrink_w` and `shrink_v` standard errors of their slopes in a round, so those
+    that explain nothing beside the other terms come to rest at zero.
     """
 
-    def __init__(self, rows: list[np.ndarray], labels: np.ndarray, bits: int, factors: int = 4, most: int = 4096,
-                 apart: float = 4.0, rounds: int = 15, batch: int = 128, step: float = 0.1, decay: float = 0.05,
+    def __init__(self, rows: list[np.ndarray], labels: np.ndarray, bits: int, factors: int = 4, least: int = 3,
+                 shrink_w: float = 1.5, shrink_v: float = 3.0, rounds: int = 15, batch: int = 128, step: float = 0.1,
                  seed: int = 11):
         size = 1 << bits
         rate = float(labels.mean()) if len(labels) else 0.5
         flat = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
         seen = np.bincount(flat, minlength=size)
-        marked = np.bincount(flat, np.repeat(labels, [len(r) for r in rows]), minlength=size)
-        spread = np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
-        away = np.where(seen > 2, np.abs(marked - seen * rate) / spread, 0)
-        kept = np.sort(np.argsort(-away, kind="stable")[:most])
-        kept = kept[away[kept] >= apart]
+        kept = np.flatnonzero(seen >= least)
         self.place = np.full(size, -1, np.int32)
         self.place[kept] = np.arange(len(kept))
         rng = np.random.default_rng(seed)
@@ -78,6 +75,7 @@ class Machine:
         self.weights = np.zeros(len(kept))
         self.vectors = rng.normal(0, 0.01, (len(kept), factors))
         slope_w, slope_v, slope_b = np.full(len(kept), 1e-8), np.full((len(kept), factors), 1e-8), 1e-8
+        spread = np.sqrt(rate * (1 - rate) / seen[kept])  # standard error of a term's slope, per row that holds it
         mine = [self._known(r) for r in rows]
         for _ in range(rounds):
             order = rng.permutation(len(rows))
@@ -90,16 +88,21 @@ class Machine:
                     continue
                 touched, at = np.unique(terms, return_inverse=True)
                 each, n = error[doc], len(touched)
-                grad_w = np.bincount(at, each, n) + decay * self.weights[touched]
+                less = spread[touched] * np.bincount(at, minlength=n)
+                grad_w = np.bincount(at, each, n)
                 # slope of the pair term: the sum of the vectors of the other terms
                 inner = (sums[doc] - self.vectors[terms]) * each[:, None]
                 grad_v = np.stack([np.bincount(at, inner[:, k], n) for k in range(factors)], 1)
-                grad_v += decay * self.vectors[touched]
                 slope_w[touched] += grad_w**2
                 slope_v[touched] += grad_v**2
                 slope_b += error.sum() ** 2
-                self.weights[touched] -= step * grad_w / np.sqrt(slope_w[touched])
-                self.vectors[touched] -= step * grad_v / np.sqrt(slope_v[touched])
+                pace = step / np.sqrt(slope_w[touched])
+                moved = self.weights[touched] - pace * grad_w
+                self.weights[touched] = np.sign(moved) * np.maximum(np.abs(moved) - pace * shrink_w * less, 0)
+                moved = self.vectors[touched] - step * grad_v / np.sqrt(slope_v[touched])
+                pace = step / np.sqrt(slope_v[touched].mean(1)) * np.sqrt((sums**2).sum(1).mean())
+                length = np.sqrt((moved**2).sum(1)) + 1e-12
+                self.vectors[touched] = moved * np.maximum(1 - pace * shrink_v * less / length, 0)[:, None]
                 self.bias -= step * error.sum() / np.sqrt(slope_b)
 
     def _known(self, row: np.ndarray) -> np.ndarray:
