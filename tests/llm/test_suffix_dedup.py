@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from awkward import ROWS, documents, empty
 
+from turnflow.llm import suffix_dedup
 from turnflow.llm.bwt_merge import Shard, merged_blocks
+from turnflow.llm.dictionary import DOCS
 from turnflow.llm.suffix_dedup import WINDOW, kept_text, remove_repeats
 
 
@@ -45,6 +48,40 @@ def test_texts_of_shared_pieces(spark):
     assert run(documents(spark, rows)) == brute(rows)
 
 
+def around_a_phrase():
+    """Texts of different surroundings of one phrase, some of them repeated."""
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    around = [some(40) + "a phrase of many" + some(40) for _ in range(300)]
+    return [(i, rng.choice(around) + some(9) + around[i]) for i in range(300)]
+
+
+def test_windows_of_frequent_phrases_dealt_one_by_one(spark):
+    rows = around_a_phrase()
+    docs, want = documents(spark, rows), brute(rows)
+    assert any(kept != t.encode() for (_, kept, _), (_, t) in zip(want, sorted(rows, key=repr)))
+    for many in (0, 3, 20):
+        assert sorted(((r.doc_id, bytes(r.kept), tuple((s.begin, s.end) for s in r.removed))
+                       for r in remove_repeats(docs, many=many).collect()), key=repr) == want
+
+
+def test_a_frequent_phrase_makes_no_large_merge(spark, monkeypatch):
+    """The steps over one bucket of all hashes, with the sizes of the groups that are merged."""
+    docs = documents(spark, around_a_phrase()).select("doc_id", "text").coalesce(1)
+    coded = suffix_dedup._chunks(docs, 1).toArrow()
+    mine = lambda t, own: t.filter(pa.array([(b == DOCS) == own for b in t.column("bucket").to_pylist()]))
+    merged, least = [], []
+    monkeypatch.setattr(suffix_dedup, "MERGED", 0)
+    monkeypatch.setattr(suffix_dedup, "_merge", lambda members, *_: merged.append(len(members)))
+    for many in (10_000, 20):
+        answers = suffix_dedup._shared_hashes(many)(mine(coded, False))
+        sent = mine(suffix_dedup._sending(1)(coded, answers), False)
+        suffix_dedup._least_ids(sent)
+        least.append(max(merged, default=0))
+        merged.clear()
+    assert least[0] > 40 and least[1] <= 20
+
+
 def test_carried_columns_and_text(spark):
     docs = documents(spark)
     got = kept_text(remove_repeats(docs, carried=("odd name", "n", "score"))).select("doc_id", "text", "`odd name`", "n", "score")

@@ -5,11 +5,14 @@ meet in the bucket of that hash, wherever they occur. A first exchange finds the
 document has; only the segments of text around these travel. In a bucket, Burrows-Wheeler transforms of
 the segments are built per shard and merged, and the blocks of suffixes with WINDOW bytes in common tell
 which windows are repeated and the smallest id that has them. Equal segments count once before that.
+A hash with very many segments, such as that of a frequent phrase, would make one large merge: its windows
+are dealt one by one, by a hash of all their bytes, and equal ones meet as before.
 """
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +25,8 @@ from turnflow.llm.dictionary import CHUNK_ROWS, DOCS, chunk_rows, packed, sized,
 WINDOW, GRAM, SEGMENT = 50, 16, 36
 #: Bytes of text per chunk and hashed at a time; suffixes merged at a time; shards of a merge.
 CHUNK, SLICE, MERGED, SHARDS = 8_000_000, 500_000, 300_000, 8
+#: Segments of a hash beyond which its windows are dealt one by one; occurrences in a chunk up to which each counts as one.
+MANY, FEW = 10_000, 8
 #: Low bits that a hash leaves out when it travels; its bucket is known beside it.
 CUT = np.uint64(24)
 
@@ -88,10 +93,17 @@ def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
     def made(ids, data, more, seq):
         ids, sizes = np.concatenate(ids), np.concatenate([np.diff(a) for _, a in data])
         whole, at = np.concatenate([d for d, _ in data]), np.r_[0, np.cumsum(sizes)]
-        hashes, doc, _, _ = _segments(whole, at)
+        hashes, doc, begin, n = _segments(whole, at)
+        start = at[doc] + begin
+
+        def distinct(members):
+            return len({whole[a:b].tobytes() for a, b in zip(start[members], start[members] + n[members] + WINDOW - 1)})
+
         out = [(DOCS, packed(ids, sized(sizes), whole, _stored(more)))]
-        for b, asked, several in _asked(hashes, ids[doc], buckets):
-            out.append((b, packed(sized(np.diff(asked, prepend=np.uint64(0))), np.packbits(several))))
+        for b, asked, several, held in _asked(hashes, ids[doc], buckets, distinct):
+            more_than_one = np.flatnonzero(held > 1)
+            out.append((b, packed(sized(np.diff(asked, prepend=np.uint64(0))), np.packbits(several),
+                                  sized(np.diff(more_than_one, prepend=0)), sized(held[more_than_one]))))
         return chunk_rows(TaskContext.get().partitionId() << 32 | seq, out)
 
     def work(batches):
@@ -121,8 +133,9 @@ def _stored(batches: list[pa.RecordBatch]) -> np.ndarray:
     return np.frombuffer(sink.getvalue(), np.uint8)
 
 
-def _asked(hashes: np.ndarray, ids: np.ndarray, buckets: int):
-    """For each bucket the distinct hashes asked for, cut and in order, and whether several ids of the chunk have them."""
+def _asked(hashes: np.ndarray, ids: np.ndarray, buckets: int, distinct):
+    """For each bucket the distinct hashes asked for, cut and in order, whether several ids of the chunk have them,
+    and how many segments; `distinct` tells how many of some segments differ."""
     bucket, short = (hashes % np.uint64(buckets)).astype(np.int64), hashes >> CUT
     order = np.lexsort((ids, short, bucket))
     bucket, short, ids = bucket[order], short[order], ids[order]
@@ -131,11 +144,14 @@ def _asked(hashes: np.ndarray, ids: np.ndarray, buckets: int):
     at = np.flatnonzero(fresh)
     ends = np.r_[at[1:], len(order)] - 1
     several = ids[at] != ids[ends] if len(at) else np.zeros(0, bool)
+    held = np.diff(np.r_[at, len(order)])
+    for k in np.flatnonzero(held > FEW).tolist():
+        held[k] = distinct(order[at[k] : at[k] + held[k]])
     edges = np.searchsorted(bucket[at], np.arange(buckets + 1))
     for b in range(buckets):
         if edges[b] < edges[b + 1]:
             part = slice(edges[b], edges[b + 1])
-            yield b, short[at[part]], several[part]
+            yield b, short[at[part]], several[part], held[part]
 
 
 def _no_docs(batches):
@@ -143,39 +159,66 @@ def _no_docs(batches):
         yield batch.filter(pc.greater_equal(batch.column("bucket"), 0))
 
 
-def _shared_hashes(asked: pa.Table) -> pa.Table:
-    """Tells each chunk which of its hashes of one bucket several documents, or another chunk, have."""
-    mine, own = [], []
-    for p in asked.column("payload"):
-        steps, several = unpacked(p.as_py())
-        mine.append(np.cumsum(steps.astype(np.uint64)))
-        own.append(np.unpackbits(several)[: len(steps)].astype(bool))
-    every, counts = np.unique(np.concatenate(mine), return_counts=True)
-    out = []
-    for hashes, several in zip(mine, own, strict=True):
-        more = counts[np.searchsorted(every, hashes)] > 1
-        out.append(packed(hashes[more | several]))
-    return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"),
-                     "payload": pa.array(out, pa.binary())})
+def _shared_hashes(many: int):
+    """Tells each chunk which of its hashes of one bucket several documents, or another chunk, have.
+
+    Then which of its hashes have more than `many` segments; equal segments of different chunks count in each.
+    """
+
+    def work(asked: pa.Table) -> pa.Table:
+        mine, own, more_held = [], [], []
+        for p in asked.column("payload"):
+            steps, several, where, held = unpacked(p.as_py())
+            mine.append(np.cumsum(steps.astype(np.uint64)))
+            own.append(np.unpackbits(several)[: len(steps)].astype(bool))
+            more_held.append((np.cumsum(where.astype(np.int64)), held.astype(np.int64)))
+        every, counts = np.unique(np.concatenate(mine), return_counts=True)
+        segments = counts.copy()
+        for hashes, (where, held) in zip(mine, more_held, strict=True):
+            segments[np.searchsorted(every, hashes[where])] += held - 1
+        frequent, out = every[segments > many], []
+        for hashes, several in zip(mine, own, strict=True):
+            more = counts[np.searchsorted(every, hashes)] > 1
+            out.append(packed(hashes[more | several], np.intersect1d(frequent, hashes, assume_unique=True)))
+        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"),
+                         "payload": pa.array(out, pa.binary())})
+
+    return work
+
+
+def _single_windows(many: np.ndarray, raw: bytes, at: np.ndarray, hashes, doc, begin, n):
+    """The segments, those marked in `many` as windows of their own under a hash of all their bytes."""
+    which = np.repeat(np.flatnonzero(many), n[many])
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
+    start = begin[which] + nth
+    where = (at[doc[which]] + start).tolist()
+    whole = np.fromiter((xxhash.xxh64_intdigest(raw[a : a + WINDOW]) for a in where), np.uint64, len(where))
+    rest = ~many
+    return (np.r_[hashes[rest], whole], np.r_[doc[rest], doc[which]], np.r_[begin[rest], start],
+            np.r_[n[rest], np.ones(len(which), np.int64)])
 
 
 def _sending(buckets: int):
     """Of a chunk: its distinct segments with a shared hash, for the buckets, and where they occur, for itself."""
 
     def work(coded: pa.Table, answers: pa.Table) -> pa.Table:
-        shared = [np.zeros(0, np.uint64)]
+        shared, frequent = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for b, p in zip(answers.column("bucket").to_pylist(), answers.column("payload"), strict=True):
-            shared.append(unpacked(p.as_py())[0] * np.uint64(buckets) + np.uint64(b))
-        shared = np.sort(np.concatenate(shared))
+            for found, own in zip((shared, frequent), unpacked(p.as_py()), strict=True):
+                found.append(own * np.uint64(buckets) + np.uint64(b))
+        shared, frequent = np.sort(np.concatenate(shared)), np.concatenate(frequent)
         chunk, ids, sizes, whole, _ = _documents(coded)
         at = np.r_[0, np.cumsum(sizes)]
         hashes, doc, begin, n = _segments(whole, at)
         known = (hashes >> CUT) * np.uint64(buckets) + hashes % np.uint64(buckets)
         keep = np.isin(known, shared)
         hashes, doc, begin, n = hashes[keep], doc[keep], begin[keep], n[keep]
+        raw = whole.tobytes()
+        if len(frequent):
+            hashes, doc, begin, n = _single_windows(np.isin(known[keep], frequent), raw, at, hashes, doc, begin, n)
         order = np.lexsort((hashes, hashes % np.uint64(buckets)))
         hashes, doc, begin, n = hashes[order], doc[order], begin[order], n[order]
-        raw, start = whole.tobytes(), at[doc] + begin
+        start = at[doc] + begin
         text = [raw[a:b] for a, b in zip(start.tolist(), (start + n + WINDOW - 1).tolist())]
         code: dict[bytes, int] = {}
         segment = np.fromiter((code.setdefault(t, len(code)) for t in text), np.int64, len(text))
@@ -313,7 +356,7 @@ OWN = ["doc_id", "n_bytes", "removed", "kept"]
 
 
 def remove_repeats(docs: DataFrame, carried: tuple[str, ...] = (), id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", many: int = MANY) -> DataFrame:
     """doc_id, n_bytes, removed (maximal runs of removed bytes, begin and end) and kept (the remaining bytes).
 
     A byte of a text, as UTF-8, is removed if a string of WINDOW bytes that covers it also starts in a document
@@ -321,6 +364,7 @@ def remove_repeats(docs: DataFrame, carried: tuple[str, ...] = (), id_col: str =
     not remove from one another; a null id is the smallest. A null or empty text, or one under WINDOW bytes,
     loses nothing. Repeated rows stay. Columns named in `carried`, none of them called like the four, are added;
     others are ignored. An empty table gives no rows. Texts cross the network once; what else travels are hashes and the segments that have one in common with others.
+    Of a hash with more than `many` segments every window travels by itself; `many` changes no result.
     """
     parts = shuffle_parts(docs.sparkSession)
     buckets = 2 * parts
@@ -328,7 +372,7 @@ def remove_repeats(docs: DataFrame, carried: tuple[str, ...] = (), id_col: str =
     schema = ["doc_id long", "n_bytes long", "removed array<struct<begin: long, end: long>>", "kept binary",
               *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carried)]
     coded = _chunks(rows, buckets).repartition(parts, "chunk")
-    shared = coded.mapInArrow(_no_docs, CHUNK_ROWS).groupBy("bucket").applyInArrow(released(_shared_hashes), CHUNK_ROWS)
+    shared = coded.mapInArrow(_no_docs, CHUNK_ROWS).groupBy("bucket").applyInArrow(released(_shared_hashes(many)), CHUNK_ROWS)
     sent = (
         coded.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(released(_sending(buckets)), CHUNK_ROWS)
         .repartition(parts, "chunk"))
