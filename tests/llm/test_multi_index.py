@@ -51,6 +51,13 @@ def test_fewer_candidates_than_wanted_and_empty_table(spark):
     assert nearest(frame(spark, []), F.col("vec_id") == 0).count() == 0
 
 
+def test_small_tables_give_as_many_neighbours_as_wanted(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(60)]
+    got = found(nearest(frame(spark, rows), F.col("vec_id") % 20 == 0, k=20, recall=0.0))
+    assert {q: len(near) for q, near in got.items()} == {0: 20, 20: 20, 40: 20}
+
+
 def test_recall_on_the_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in table.collect()]

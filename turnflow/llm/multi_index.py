@@ -66,7 +66,7 @@ class Codebook:
             hit = 0.0
             for q in range(len(asked)):
                 ends = np.cumsum([counts[c] for c in walks[q]])
-                seen = walks[q][: int(np.searchsorted(ends, share * len(sample))) + 1]
+                seen = walks[q][: int(np.searchsorted(ends, max(k + 1, share * len(sample)))) + 1]
                 hit += np.isin(cells[best[q]], seen).mean()
             if hit / len(asked) >= recall:
                 return float(share)
@@ -142,7 +142,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, centroids: int = 32, reca
         .mapInArrow(_packing, "grp long, ids binary, cells binary, vectors binary"))
     asked = (
         rows.where(is_query).mapInArrow(
-            _walking(book, spark.sparkContext.broadcast(counts), groups), "g long, queries binary, wanted binary, asked binary"))
+            _walking(book, spark.sparkContext.broadcast(counts), groups, k), "g long, queries binary, wanted binary, asked binary"))
     found = blocks.join(asked, F.col("grp") == F.col("g")).select(
         "ids", "cells", "vectors", "queries", "wanted", "asked"
     ).mapInArrow(_ranking(book.value.dims, groups, k), "query_id long, vec_id long, score double")
@@ -189,18 +189,22 @@ def _packing(batches):
         yield packed(rows)
 
 
-def _walking(book, counts, groups):
-    """Blocks of queries, for each group of cells that one of them visits, with who visits which cell."""
+def _walking(book, counts, groups, k):
+    """Blocks of queries, for each group of cells that one of them visits, with who visits which cell.
+
+    A query visits k entries besides its own at least, if there are as many.
+    """
 
     def work(batches):
         wide = len(counts.value)
+        least = max(k + 1, book.value.share * sum(counts.value))
         for batch in batches:
             for first in range(0, batch.num_rows, QUERIES):
                 part = batch.slice(first, QUERIES)
                 data = np.array(part.column("vector").flatten()).reshape(part.num_rows, -1)
                 visits = np.zeros((part.num_rows, wide), bool)
                 for q in range(len(data)):
-                    visits[q, book.value.walk(data[q], counts.value, book.value.share * sum(counts.value))] = True
+                    visits[q, book.value.walk(data[q], counts.value, least)] = True
                 for g in range(groups):
                     mine = visits[:, g::groups]
                     some = mine.any(1)
