@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnflow.llm import bpe_words, chat_windows, decontaminate, multi_index, quality_knn, restaurants, simhash_pivots, suffix_dedup, token_files, toxicity_fm
+from turnflow.llm import ball_codes, bpe_words, chat_windows, decontaminate, multi_index, quality_knn, restaurants, seed_extend, simhash_pivots, suffix_dedup, token_files, toxicity_fm
 from turnflow.llm import sql as oracles
 from turnflow.llm.common import side_path, table
 from turnflow.llm.words import vocabulary
@@ -110,7 +110,21 @@ def op10_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op12_seed_extend(spark: SparkSession, folder: str) -> DataFrame:
+    removed = seed_extend.remove_repeated_words(table(spark, folder, "documents"))
+    return removed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_ball_codes(spark: SparkSession, folder: str) -> DataFrame:
+    codes = ball_codes.compress(table(spark, folder, "embeddings"))
+    return ball_codes.with_label_error(codes.rows).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
 SQL |= {
     "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op6_chat_windows": oracles.chat_windows(BUDGET, HISTORY),
+    "op12_seed_extend": oracles.SEED_EXTEND,
 }

@@ -1,6 +1,7 @@
 """SQL of the queries of this folder that SQL can express."""
 
 from turnflow.llm.chat_windows import END, MARKS, TURN
+from turnflow.llm.seed_extend import WINDOW as WORDS
 from turnflow.llm.suffix_dedup import WINDOW
 
 #: Windows of bytes as hex text; runs of removed windows; what is left between the runs.
@@ -32,6 +33,25 @@ SELECT t.doc_id, len(t.h) // 2 AS n_bytes, (len(t.h) - len(k.left_over)) // 2 AS
 FROM texts t JOIN kept k ON k.doc_id = t.doc_id"""
 
 
+#: Windows of words as digests; the words that no repeated window covers, in order.
+SEED_EXTEND = f"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, p.s AS s, p.w AS w FROM (
+    SELECT doc_id, unnest(list_transform(range(len(words) - {WORDS - 1}),
+             lambda s: {{'s': s, 'w': md5(array_to_string(words[s + 1 : s + {WORDS}], ' '))}})) AS p FROM texts)
+),
+ranked AS (SELECT doc_id, s, rank() OVER (PARTITION BY w ORDER BY doc_id, s) AS place FROM windows),
+gone AS (SELECT doc_id, unnest(range(s, s + {WORDS})) AS k FROM ranked WHERE place > 1),
+lost AS (SELECT doc_id, list(DISTINCT k) AS ks FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT t.doc_id, len(words) AS n_words,
+         list_filter(words, lambda w, k: ks IS NULL OR NOT list_contains(ks, k - 1)) AS left_over
+  FROM texts t LEFT JOIN lost l ON l.doc_id = t.doc_id
+)
+SELECT doc_id, n_words, n_words - len(left_over) AS n_removed, sha256(array_to_string(left_over, ' ')) AS kept_sha256 FROM kept"""
+
+
 def chat_windows(budget: int, history: int) -> str:
     """Windows by the same prefix sums; of the formatted texts only the lengths are needed."""
     escaped = "replace(replace({}, '\\', '\\b'), '<|', '<\\p|')"
