@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnflow.llm import ball_codes, bpe_words, chat_windows, decontaminate, multi_index, quality_knn, restaurants, seed_extend, simhash_pivots, suffix_dedup, token_files, toxicity_fm
+from turnflow.llm import ball_codes, bpe_words, chat_windows, decontaminate, multi_index, quality_knn, restaurants, seed_extend, simhash_pivots, suffix_dedup, token_alignment, token_files, toxicity_fm
 from turnflow.llm import sql as oracles
 from turnflow.llm.common import side_path, table
 from turnflow.llm.words import vocabulary
@@ -110,6 +110,15 @@ def op10_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        pieces = file.read()
+    aligned = token_alignment.align(table(spark, folder, "documents"), vocabulary(public_tokenizers.path("byte_bpe_50k.json")), pieces)
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
 @query
 def op12_seed_extend(spark: SparkSession, folder: str) -> DataFrame:
     removed = seed_extend.remove_repeated_words(table(spark, folder, "documents"))
