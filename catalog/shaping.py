@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.explore import rounded
-from catalog.inputs import documents, examples, long, merged_long, prompts_long, raw
+from catalog.inputs import documents, examples, long, merged_long, prompts_long, raw, stored_raw
 from catalog.registry import query
 from catalog.sql import (
     cleaned, examples_sql, long_examples_sql, long_merged_sql, long_sql, long_turns_sql, mapped_role, merged_sql,
@@ -204,7 +204,14 @@ def keep_correct(spark, folder):
 
 @query(raw_sql("SELECT id, row_number() OVER (ORDER BY id) - 1 AS original_index FROM raw"))
 def add_original_index(spark, folder):
-    return shaping.with_original_index(raw(spark, folder)).select(F.col("primary id").alias("id"), "original_index")
+    return shaping.with_original_index(raw(spark, folder), "primary id").select(F.col("primary id").alias("id"), "original_index")
+
+
+@query(raw_sql("SELECT id, row_number() OVER (ORDER BY md5(id::VARCHAR)) - 1 AS original_index FROM raw"))
+def original_index_as_stored(spark, folder):
+    """Positions in a corpus whose ids follow no order."""
+    stored = stored_raw(spark, folder, F.md5(F.col("primary id").cast("string")))
+    return shaping.with_original_index(stored).select(F.col("primary id").alias("id"), "original_index")
 
 
 REASONS = """SELECT r.id, CASE WHEN NOT has_trace THEN 'missing trace' WHEN e.id IS NULL THEN 'no valid turn'
@@ -217,19 +224,31 @@ def reject_invalid(spark, folder):
     return shaping.rejected_examples(raw(spark, folder))
 
 
-@query(examples_sql("""SELECT e.*, i.original_index, r.reference_answer, r.correct, r.assistant_model
+PREPROCESSED = """SELECT e.* EXCLUDE (id), i.original_index, r.reference_answer, r.correct, r.assistant_model
   FROM (SELECT id, task, target_response, num_turns, num_user_turns, num_assistant_turns, num_tool_turns,
                md5(text) AS text FROM examples) e
-  JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS original_index FROM raw) i ON i.id = e.id
-  JOIN raw r ON r.id = e.id""").replace("SELECT e.*", "SELECT e.* EXCLUDE (id)"))
-def preprocess(spark, folder):
+  JOIN (SELECT id, row_number() OVER (ORDER BY {order}) - 1 AS original_index FROM raw) i ON i.id = e.id
+  JOIN raw r ON r.id = e.id"""
+
+
+def digested(made):
     from turnflow.functions.chat import render_chat
 
-    made = shaping.preprocess(raw(spark, folder))
     counters = {c: F.col(c).cast("long") for c in made.columns if c.startswith("num_")}
     return made.withColumns(counters).withColumn("text", F.md5(render_chat(F.col("messages")))).drop("messages")
 
 
+@query(examples_sql(PREPROCESSED.format(order="id")))
+def preprocess(spark, folder):
+    return digested(shaping.preprocess(stored_raw(spark, folder, F.col("primary id"))))
+
+
+@query(examples_sql(PREPROCESSED.format(order="id DESC")))
+def preprocess_falling_ids(spark, folder):
+    """A corpus whose ids fall while the positions of its rows rise."""
+    return digested(shaping.preprocess(stored_raw(spark, folder, F.desc("primary id"))))
+
+
 @query(examples_sql("SELECT md5(text) AS text, count(*) AS n, count(*) AS n_index FROM examples GROUP BY 1"))
 def preprocess_repeated_ids(spark, folder):
     """Keys that are null or repeated lose no row, and every row has an index of its own."""

@@ -85,7 +85,7 @@ def test_index_counts_the_unfiltered_rows(spark):
 def test_null_equal_and_absent_keys_lose_no_row(spark):
     df = table(spark, *[[user("a"), said(str(i))] for i in range(4)])
     keyed = df.withColumn("primary id", F.when(F.col("primary id") == 0, 1).when(F.col("primary id") > 1, 2))
-    rows = shaping.preprocess(keyed).collect()
+    rows = shaping.preprocess(keyed, "primary id").collect()
     assert sorted(r["target_response"] for r in rows) == ["0", "1", "2", "3"]
     assert sorted(r["original_index"] for r in rows) == [0, 1, 2, 3]
     assert next(r["original_index"] for r in rows if r["target_response"] == "1") == 0  # the null key comes first
@@ -93,6 +93,31 @@ def test_null_equal_and_absent_keys_lose_no_row(spark):
     assert sorted((r["original_index"], r["target_response"]) for r in bare) == [(i, str(i)) for i in range(4)]
 
 
+def test_index_is_the_place_in_the_input_whatever_the_ids(spark, tmp_path):
+    """Ids 30, 10, 20 and a null, in several files: the positions are 0, 1, 2, 3 as they lie."""
+    stored = str(tmp_path / "corpus")
+    for part, ids in enumerate([(30, 10), (20,), (), (None, 10)]):
+        rows = table(spark, *[[user("a"), said(f"{part}-{k}")] for k in range(len(ids))])
+        keys = F.array(*[F.lit(i).cast("long") for i in ids]) if ids else F.array().cast("array<long>")
+        rows.withColumn("primary id", F.get(keys, F.col("primary id").cast("int"))).coalesce(1).write.mode("append").parquet(f"{stored}/part={part}")
+    made = shaping.preprocess(spark.read.parquet(stored))
+    assert [r["target_response"] for r in made.orderBy("original_index").collect()] == ["0-0", "0-1", "1-0", "3-0", "3-1"]
+    assert sorted(r["original_index"] for r in made.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_preprocess_of_a_stored_corpus_exchanges_no_conversation(spark, tmp_path):
+    stored = str(tmp_path / "corpus")
+    df = table(spark, *[[user("a"), said(str(i))] for i in range(40)]).withColumn("correct", F.col("primary id") % 2 == 1)
+    df.repartition(4).write.parquet(stored)
+    made = shaping.preprocess(spark.read.parquet(stored))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffleExchange" not in plan and "Exchange hashpartitioning" not in plan and "Sort " not in plan
+    assert "EqualTo(correct,true)" in plan or "correct" in plan.split("PushedFilters")[1]
+    as_read = spark.read.parquet(stored).collect()
+    of = {r["target_response"]: r["original_index"] for r in made.collect()}
+    assert len(of) == 20 and len({*of.values()}) == 20 and max(of.values()) < len(as_read)
+
+
 def test_rejected_rows(spark):
     df = table(spark, None, [], [said(" \n")], [said("a"), user("b")], [user("a"), None, said("b")])
     reasons = {r["id"]: r["reject_reason"] for r in shaping.rejected_examples(df).collect()}

@@ -13,7 +13,7 @@ from turnflow.functions.chat import render_prompt
 from turnflow.functions.text import trim_at_stop
 from turnflow.functions.tokens import count_tokens
 from turnflow.operators.checks import require_columns, require_rows
-from turnflow.plans.ordering import with_scan_position
+from turnflow.plans.row_identity import with_scan_position
 from turnflow.schemas import GENERATED
 
 # load() runs once per partition and returns answer(list of message lists) -> list of texts

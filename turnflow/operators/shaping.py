@@ -11,7 +11,8 @@ from turnflow.functions.messages import calls_tools, map_role, wrap_think
 from turnflow.functions.profile import company_profile, system_prompt
 from turnflow.functions.text import clean_text, is_blank
 from turnflow.operators.checks import require_columns, require_rows
-from turnflow.plans.ordering import with_position, with_scan_position
+from turnflow.plans.ordering import with_position
+from turnflow.plans.row_identity import with_scan_position
 from turnflow.plans.shared import with_computed_once
 
 NO_TRACE = "missing trace"
@@ -118,15 +119,15 @@ def keep_correct(df: DataFrame) -> DataFrame:
     return df.filter(F.col("correct"))
 
 
-def with_original_index(df: DataFrame, key: str = "primary id") -> DataFrame:
-    """Add `original_index`, the position of every row in key order, or as read if there is no key.
+def with_original_index(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Add `original_index`, the position of every row in the input as it lies, or in the order of `key` if one is named.
 
-    Rows are numbered themselves, so rows with equal or null keys keep numbers of their own.
+    Rows are numbered themselves, so rows with equal or null keys keep numbers of their own. A table read from
+    Parquet is numbered on the scan; the order of a key needs a sort.
     """
-    if key in df.columns:
-        keyed = df.withColumn("_key", F.col(f"`{key}`"))
-        return with_position(keyed, ["_key"], name="original_index").drop("_key")
-    return with_scan_position(df, "original_index")
+    if key is None:
+        return with_scan_position(df, "original_index")
+    return with_position(df.withColumn("_key", F.col(f"`{key}`")), ["_key"], name="original_index").drop("_key")
 
 
 def shape_examples(df: DataFrame) -> DataFrame:
@@ -158,11 +159,11 @@ def training_examples(shaped: DataFrame) -> DataFrame:
     )
 
 
-def preprocess(df: DataFrame, key: str = "primary id") -> DataFrame:
+def preprocess(df: DataFrame, key: str | None = None) -> DataFrame:
     """Correct, usable conversations as training examples.
 
-    Rows are numbered before filtering, in the order of `key`, or as read from a table
-    without it. The numbered rows are written once, and what follows works inside a row.
+    Rows are numbered before filtering, as they lie in the input, or in the order of `key`. Read from Parquet, the
+    number is part of the scan, so the filter on `correct` reaches the reader and no conversation is exchanged.
     """
     require_columns(df, ["correct", "trace"])
     numbered = with_original_index(df, key)

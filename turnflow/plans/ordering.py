@@ -31,11 +31,6 @@ def with_position(
     return _from_offsets(_numbered_once(ordered.drop("_tie")), by, name, total)
 
 
-def with_scan_position(df: DataFrame, name: str = "position") -> DataFrame:
-    """Add the 0-based position of each row in the order in which the table is read."""
-    return _from_offsets(_numbered_once(df), (), name, None)
-
-
 def _from_offsets(rows: DataFrame, by: tuple[str, ...], name: str, total: str | None) -> DataFrame:
     """Positions from the place in the partition and the rows of the group in earlier partitions."""
     group = Window.partitionBy(*[f"_{c}" for c in by])
