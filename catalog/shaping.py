@@ -152,7 +152,18 @@ def merge_assistant_runs(spark, folder):
 @query(long_merged_sql("""SELECT id AS conv_id, turn, part, role, content, merged_turns, length(content)::BIGINT AS chars
   FROM merged"""))
 def merge_assistant_runs_of_turns(spark, folder):
-    return turns.merge_assistant_runs(turns.extract_turns(long(spark, folder)))
+    chunks = turns.merge_assistant_runs(turns.extract_turns(long(spark, folder)))
+    return turns.whole_messages(chunks)
+
+
+@query(long_merged_sql("""SELECT id AS conv_id, turn, part, length(content)::BIGINT AS chars, md5(content) AS content, true AS bounded FROM merged"""))
+def message_chunks_of_turns(spark, folder):
+    """Messages cut into chunks of 64 characters at most, joined again in order of their offsets."""
+    chunks = turns.merge_assistant_runs(turns.extract_turns(long(spark, folder)), chunk=64)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "content"))), lambda c: c["content"]), "")
+    return chunks.groupBy("conv_id", "turn", "part").agg(
+        F.max(F.col("offset") + F.col("chars")).alias("chars"), F.md5(joined).alias("content"),
+        (F.max(F.length("content")) <= 64).alias("bounded"))
 
 
 @query(merged_sql(f"""SELECT id, pos, role, content FROM merged
@@ -177,8 +188,9 @@ def split_target(spark, folder):
 @query(long_examples_sql("""SELECT m.id AS conv_id, m.turn, m.part, m.role, md5(m.content) AS content, m.pos = u.last AS is_target
   FROM merged m JOIN usable u ON u.id = m.id"""))
 def split_target_of_turns(spark, folder):
-    return turns.split_target(merged_long(spark, folder)).select(
-        "conv_id", "turn", "part", "role", F.md5("content").alias("content"), "is_target"
+    split = turns.split_target(merged_long(spark, folder)).withColumn("role", F.struct("role", "is_target"))
+    return turns.whole_messages(split).select(
+        "conv_id", "turn", "part", "role.role", F.md5("content").alias("content"), "role.is_target"
     )
 
 

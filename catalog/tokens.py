@@ -43,18 +43,21 @@ def render_prompt(spark, folder):
     return examples(spark, folder).select(ID, F.md5(chat.render_prompt(F.col("messages"))).alias("prompt"))
 
 
-def long_messages(spark, folder) -> DataFrame:
+@query(long_examples_sql(f"""SELECT m.id AS conv_id, coalesce(g.turn, -1) AS turn, {rendered('m.role', 'm.content')} AS segment
+  FROM messages m LEFT JOIN merged g ON g.id = m.id AND g.pos = m.pos"""))
+def rendered_messages_of_turns(spark, folder):
     """Messages of the usable conversations with their system message, without the target."""
     split = turns.split_target(merged_long(spark, folder))
-    inputs = split.filter(~F.col("is_target"))
-    usable = split.filter("is_target").select("conv_id")
-    return turns.with_system_messages(inputs, prompts_long(spark, folder).join(usable, "conv_id", "left_semi"))
+    usable = split.filter(F.col("is_target") & (F.col("offset") == 0)).select("conv_id")
+    prompts = prompts_long(spark, folder).join(usable, "conv_id", "left_semi")
+    rendered = turns.rendered_messages(turns.with_system_messages(split.filter(~F.col("is_target")), prompts))
+    return turns.whole_messages(rendered.select(
+        "conv_id", "turn", "part", "role", "offset", F.col("segment").alias("content"), F.lit(0).alias("merged_turns"), F.lit(0).alias("chars"),
+    )).select("conv_id", "turn", F.col("content").alias("segment"))
 
 
-@query(long_examples_sql(f"""SELECT m.id AS conv_id, coalesce(g.turn, -1) AS turn, {rendered('m.role', 'm.content')} AS segment
-  FROM messages m LEFT JOIN merged g ON g.id = m.id AND g.pos = m.pos"""))
-def rendered_messages_of_turns(spark, folder):
-    return turns.rendered_messages(long_messages(spark, folder)).select("conv_id", "turn", "segment")
+def long_counts(spark, folder) -> DataFrame:
+    return turns.token_counts(turns.split_target(merged_long(spark, folder)), prompts_long(spark, folder))
 
 
 @query(examples_sql(f"""SELECT {ROW}, {digest_sql(ids_sql("e.text", 10 ** 9))} AS ids, len({pieces('e.text')}) AS n FROM examples e"""))
@@ -83,7 +86,7 @@ def token_count(spark, folder):
 
 @query(long_examples_sql(f"SELECT id AS conv_id, len({pieces('text')}) AS token_count FROM examples"))
 def token_count_of_turns(spark, folder):
-    return turns.token_counts(long_messages(spark, folder))
+    return long_counts(spark, folder)
 
 
 STATISTICS = """count(*) AS n, round(avg(token_count), 6) AS mean, min(token_count)::BIGINT AS min,
@@ -106,7 +109,7 @@ counted AS (SELECT id, len({pieces('text')}) AS token_count FROM examples)"""
 
 @query(f"{LONG_COUNTS} SELECT {STATISTICS} FROM counted")
 def token_statistics_of_turns(spark, folder):
-    return rounded(token_tables.token_statistics(turns.token_counts(long_messages(spark, folder))), *MOMENTS)
+    return rounded(token_tables.token_statistics(long_counts(spark, folder)), *MOMENTS)
 
 
 @query(examples_sql("""SELECT id AS original_index, token_count, token_count > 1024 AS will_truncate,

@@ -156,9 +156,56 @@ def test_long_and_nested_form_agree(spark, stretch):
     want = {r["primary id"]: [(m["role"], m["content"]) for m in r["merged"]] for r in nested.select("primary id", "merged").collect()}
     rows = [(c, t, 0, *message) for c, trace in enumerate(traces) for t, message in enumerate(trace)]
     long = spark.createDataFrame(rows, "conv_id long, turn long, part int, role string, content string, type string, tool_calls string")
-    merged = turns.merge_assistant_runs(turns.extract_turns(long), stretch)
-    got = {}
-    for r in merged.orderBy("conv_id", "turn", "part").collect():
-        got.setdefault(r["conv_id"], []).append((r["role"], r["content"]))
-        assert r["chars"] == len(r["content"])
-    assert got == {c: m for c, m in want.items() if m}
+    for chunk in (1, 4, 65_536):
+        chunks = turns.merge_assistant_runs(turns.extract_turns(long), stretch, chunk)
+        got, sizes = {}, {}
+        for r in chunks.orderBy("conv_id", "turn", "part", "offset").collect():
+            message = r["conv_id"], r["turn"], r["part"]
+            assert r["chars"] == len(r["content"]) <= chunk
+            role, before = got.setdefault(message, (r["role"], ""))
+            assert r["offset"] == len(before) and role == r["role"]
+            assert r["preceding"] == (before[-1] if before else None)
+            got[message] = role, before + r["content"]
+            sizes.setdefault(message, []).append((r["closes"], r["is_last"], r["answered"]))
+        by_conversation = {}
+        for message in sorted(got):
+            by_conversation.setdefault(message[0], []).append(message)
+        assert {c: [got[m] for m in ms] for c, ms in by_conversation.items()} == {c: m for c, m in want.items() if m}
+        for ms in by_conversation.values():
+            answered = got[ms[-1]][0] == "assistant"
+            for m in ms:
+                assert [c for c, _, _ in sizes[m]] == [False] * (len(sizes[m]) - 1) + [True]
+                assert {x[1:] for x in sizes[m]} == {(m == ms[-1], answered)}
+
+
+def test_a_run_of_200000_turns_stays_in_bounded_rows(spark):
+    """One conversation of one assistant run: no row grows with it, and its counters are right."""
+    n = 200_000
+    long = spark.range(n).select(
+        F.lit(1).cast("long").alias("conv_id"), (F.col("id") + 1).alias("turn"), F.lit(0).alias("part"), F.lit("assistant").alias("role"),
+        F.format_string("turn %06d with some words; ", "id").alias("content"), F.lit("internal assistant").alias("type"), F.lit("").alias("tool_calls"))
+    asked = long.limit(1).withColumns({"turn": F.lit(0).cast("long"), "role": F.lit("user"), "type": F.lit("underwriter")})
+    chunks = turns.merge_assistant_runs(turns.extract_turns(asked.unionByName(long)))
+    rows = chunks.select("turn", "offset", "chars", "merged_turns", F.length("content").alias("n"), "closes", "is_last").orderBy("turn", "offset").collect()
+    size = len("<think>turn 000000 with some words;</think>")
+    run = [r for r in rows if r["turn"] == 1]
+    assert max(r["n"] for r in rows) <= turns.CHUNK and len(run) >= n * size // turns.CHUNK
+    assert sum(r["chars"] for r in run) == n * size and sum(r["merged_turns"] for r in run) == n
+    assert [r["offset"] for r in run] == [sum(x["chars"] for x in run[:k]) for k in range(len(run))]
+    assert [r["closes"] for r in run] == [False] * (len(run) - 1) + [True] and all(r["is_last"] for r in run)
+    ends = turns.conversation_ends(chunks).first()
+    assert (ends["num_messages"], ends["last_role"], ends["last_chars"]) == (2, "assistant", n * size)
+
+
+def test_tokens_of_chunks_are_those_of_messages(spark):
+    """Words that chunks or stretches cut count once."""
+    rng = random.Random(12)
+    words = lambda: " ".join(rng.choice(["abc", "d", "12", "x_y", "é", "!!", "<", "-"]) for _ in range(rng.randint(1, 9)))
+    rows = [(c, t, 0, *rng.choice([user, thought, said, tool])(words())) for c in range(30) for t in range(rng.randint(1, 12))]
+    long = spark.createDataFrame(rows, "conv_id long, turn long, part int, role string, content string, type string, tool_calls string")
+    prompts = spark.createDataFrame([(c, "You are one.") for c in range(29)], "conv_id long, system_prompt string")
+    counts = [
+        {r["conv_id"]: r["token_count"] for r in turns.token_counts(
+            turns.split_target(turns.merge_assistant_runs(turns.extract_turns(long), stretch, chunk)), prompts).collect()}
+        for stretch, chunk in ((1024, 65_536), (1024, 3), (2, 5), (1, 1))]
+    assert counts[0] and all(c == counts[0] for c in counts[1:])

@@ -7,8 +7,12 @@ ASSISTANT_HEADER = "<|im_start|>assistant\n"
 MESSAGE_END = "<|im_end|>\n"
 
 
+def message_header(role: Column) -> Column:
+    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"))
+
+
 def render_message(role: Column, content: Column) -> Column:
-    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), content, F.lit(MESSAGE_END))
+    return F.concat(message_header(role), content, F.lit(MESSAGE_END))
 
 
 def render_chat(messages: Column) -> Column:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from turnflow.constants import PAD_ID, PIECE, VOCAB_SIZE
+from turnflow.constants import PAD_ID, PIECE, VOCAB_SIZE, WORD_JOINT
 
 
 def pieces(text: Column) -> Column:
@@ -17,6 +17,11 @@ def count_tokens(text: Column) -> Column:
     return F.size(pieces(text))
 
 
+def joins_words(left: Column, right: Column) -> Column:
+    """Whether one piece reaches over the place where two texts meet: a word goes on there."""
+    return F.concat(F.right(left, F.lit(1)), F.left(right, F.lit(1))).rlike(WORD_JOINT)
+
+
 def piece_id(piece: Column) -> Column:
     """Id of a piece: the first 32 bits of its digest modulo the vocabulary size."""
     return (F.conv(F.substring(F.md5(piece), 1, 8), 16, 10).cast("long") % VOCAB_SIZE).cast("int")
