@@ -1,5 +1,7 @@
 """Generation and judge queries. Stand-ins answer in place of models; the SQL repeats their rules."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from turnflow.constants import (
 from turnflow.functions.text import parse_score as score_of
 from turnflow.functions.text import strip_think
 from turnflow.operators import generation, judging
+from turnflow.plans.shared import shared_folder
 from turnflow.schemas import CRITERION
 from turnflow.sources.bridge import judge_samples
 
@@ -63,6 +66,14 @@ def generate_batched(spark, folder):
     return shown(generation.generate_batched(examples(ship_code(spark), folder), load_echo, batch_size=4))
 
 
+@query(GENERATED)
+def generate_resumed(spark, folder):
+    """A run that stopped after some rows left its answers in a log; a second run generates the others."""
+    rows, log = examples(ship_code(spark), folder), f"{shared_folder(spark)}/answer-log-{uuid.uuid4().hex}"
+    generation.generate_batched(rows.where(F.col(ID) % 2 == 0), load_echo, log=log).write.format("noop").mode("overwrite").save()
+    return shown(generation.generate_batched(rows, load_echo, log=log))
+
+
 @query(examples_sql("SELECT id AS original_index, error IS NULL AS timed, input_tokens, output_tokens FROM generated", ECHO))
 def generation_metadata(spark, folder):
     """Tokens of every row, and whether it has a time that is no less than zero."""
@@ -168,13 +179,31 @@ def no_wait(seconds):
     return None
 
 
-@query(examples_sql("""SELECT id AS original_index, key, CASE WHEN length(prompt) % 11 <> 0 THEN 'fine. SCORE: ' || length(prompt) % 8 END AS content,
+JUDGED_PROMPTS = examples_sql("""SELECT id AS original_index, key, CASE WHEN length(prompt) % 11 <> 0 THEN 'fine. SCORE: ' || length(prompt) % 8 END AS content,
   CASE WHEN length(prompt) % 11 = 0 THEN 3 ELSE 1 END AS attempts, CASE WHEN length(prompt) % 11 = 0 THEN 'rate limit' END AS error,
-  CASE WHEN length(prompt) % 11 <> 0 THEN length(prompt)::BIGINT END AS input_tokens FROM prompts""", PROMPTS))
-def call_judge(spark, folder):
+  CASE WHEN length(prompt) % 11 <> 0 THEN length(prompt)::BIGINT END AS input_tokens FROM prompts""", PROMPTS)
+
+
+def judge_prompts(spark, folder):
     prompts = judging.with_judge_prompt(judging.judge_requests(judging.with_judge_context(answered(ship_code(spark), folder)), 1))
-    asked = prompts.select(ID, F.col("criterion.key").alias("key"), "prompt")
-    return judging.call_judge(asked, load_judge, no_wait).select(ID, "key", "content", "attempts", "error", "input_tokens")
+    return prompts.select(ID, F.col("criterion.key").alias("key"), "prompt")
+
+
+@query(JUDGED_PROMPTS)
+def call_judge(spark, folder):
+    judged = judging.call_judge(judge_prompts(spark, folder), load_judge, no_wait)
+    return judged.select(ID, "key", "content", "attempts", "error", "input_tokens")
+
+
+@query(JUDGED_PROMPTS)
+def call_judge_resumed(spark, folder):
+    """A run over some of the examples logs its answers; a second run over all asks only for the others."""
+    asked, log = judge_prompts(spark, folder), f"{shared_folder(spark)}/judge-log-{uuid.uuid4().hex}"
+    for rows in (asked.where(F.col(ID) % 3 == 0), asked):
+        judged = judging.call_judge(rows, load_judge, no_wait, log=log, key=(ID, "key"))
+        if rows is not asked:
+            judged.write.format("noop").mode("overwrite").save()
+    return judged.select(ID, "key", "content", "attempts", "error", "input_tokens")
 
 
 SAMPLES = """

@@ -3,7 +3,6 @@
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,16 +14,13 @@ from turnflow.functions.tokens import count_tokens
 from turnflow.operators.checks import require_columns, require_rows
 from turnflow.plans.row_identity import with_scan_position
 from turnflow.schemas import GENERATED
+from turnflow.sources.answer_log import with_answers
 
 # load() runs once per partition and returns answer(list of message lists) -> list of texts
 Answer = Callable[[list[list[dict]]], list[str]]
 Load = Callable[[], Answer]
 
-INPUT = ["original_index", "task", "messages", "target_response"]
-
-
-def _messages(cell) -> list[dict]:
-    return [dict(m) if isinstance(m, dict) else m.asDict() for m in cell]
+ANSWER = T.StructType([GENERATED[c] for c in ("generated_response", "error", "generation_time_ms")])
 
 
 def _answered(answer: Answer, rows: list[list[dict]]) -> tuple[list[str | None], list[str | None], list[float | None]]:
@@ -43,18 +39,18 @@ def _answered(answer: Answer, rows: list[list[dict]]) -> tuple[list[str | None],
     return list(texts), [None] * len(rows), [round(spent, 2)] * len(rows)
 
 
-def _generator(load: Load, batch_size: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _responding(load: Load, batch_size: int):
+    def responding():
         answer = load()
-        for frame in frames:
-            texts, errors, times = [], [], []
-            for at in range(0, len(frame), batch_size):
-                rows = [_messages(cell) for cell in frame["messages"].iloc[at : at + batch_size]]
-                for column, part in zip((texts, errors, times), _answered(answer, rows), strict=True):
-                    column.extend(part)
-            yield frame.assign(generated_response=texts, error=errors, generation_time_ms=times)
 
-    return run
+        def respond(conversations: list[list[dict]]) -> Iterator[list[dict]]:
+            for at in range(0, len(conversations), batch_size):
+                made = zip(*_answered(answer, conversations[at : at + batch_size]), strict=True)
+                yield [dict(zip(ANSWER.names, one, strict=True)) for one in made]
+
+        return respond
+
+    return responding
 
 
 def _input(df: DataFrame) -> DataFrame:
@@ -71,24 +67,28 @@ def _input(df: DataFrame) -> DataFrame:
 
 
 def generate_batched(
-    df: DataFrame, load: Load, batch_size: int = 4, stops: tuple[str, ...] = (), max_length: int = TRAINING_LENGTH
+    df: DataFrame, load: Load, batch_size: int = 4, stops: tuple[str, ...] = (), max_length: int = TRAINING_LENGTH,
+    log: str | None = None,
 ) -> DataFrame:
     """One answer per row, in batches inside each partition, with its metadata.
 
-    A row that fails keeps its place with a null answer and the error. `load` runs once
-    per partition. Write the result before using it more than once: a lost partition
-    that nobody wrote is generated again.
+    A row that fails keeps its place with a null answer and the error. `load` runs once per partition that has
+    rows to answer. Only the messages are turned into Python objects; all columns pass through unchanged. With `log`, a
+    folder that workers reach, answers are logged as they come under `original_index`, and a retried task, a second
+    evaluation or a restart generates only what lacks or failed. Without it, write the result before using
+    it more than once: a lost partition that nobody wrote is generated again.
     """
-    schema = T.StructType([GENERATED[c] for c in [*INPUT, "generated_response", "error", "generation_time_ms"]])
-    rows = _input(df).mapInPandas(_generator(load, batch_size), schema)
+    rows = with_answers(_input(df), "messages", _responding(load, batch_size), ANSWER, log, ("original_index",))
     return with_generation_metadata(
         rows.withColumn("generated_response", trim_at_stop(F.col("generated_response"), list(stops))), max_length
     )
 
 
-def generate(df: DataFrame, load: Load, stops: tuple[str, ...] = (), max_length: int = TRAINING_LENGTH) -> DataFrame:
+def generate(
+    df: DataFrame, load: Load, stops: tuple[str, ...] = (), max_length: int = TRAINING_LENGTH, log: str | None = None
+) -> DataFrame:
     """`generate_batched` one row at a time."""
-    return generate_batched(df, load, 1, stops, max_length)
+    return generate_batched(df, load, 1, stops, max_length, log)
 
 
 def with_generation_metadata(df: DataFrame, max_length: int = TRAINING_LENGTH) -> DataFrame:

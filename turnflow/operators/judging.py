@@ -3,7 +3,6 @@
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from turnflow.functions.text import parse_score
 from turnflow.operators.checks import require_columns
 from turnflow.plans.shared import with_computed_once
 from turnflow.schemas import CRITERION, JUDGED
+from turnflow.sources.answer_log import with_answers
 
 SCORES = range(6)
 MAX_TRIES = 3
@@ -126,26 +126,29 @@ def _call(judge: Callable[[str], dict], prompt: str, wait: Callable[[float], Non
     return failure
 
 
-def call_judge(requests: DataFrame, load: Callable[[], Callable[[str], dict]], wait: Callable[[float], None] = time.sleep) -> DataFrame:
+def call_judge(
+    requests: DataFrame, load: Callable[[], Callable[[str], dict]], wait: Callable[[float], None] = time.sleep,
+    log: str | None = None, key: tuple[str, ...] = (),
+) -> DataFrame:
     """Call the judge once per row of `prompt`.
 
-    The partitions of `requests` set how many calls run at a time. Write the result
-    before rolling it up: a lost partition that nobody wrote is paid for again. An error of
-    the judge, of whatever kind, is the `error` of its row; a null prompt is not sent.
+    The partitions of `requests` set how many calls run at a time. An error of the judge, of whatever kind, is
+    the `error` of its row; a null prompt is not sent. With `log`, a folder that workers reach, every answer is
+    logged as it comes under its `key` (example, criterion and sample): a killed task, a second evaluation or a
+    restart pays for no call again, but those that failed. Without it, write the result before rolling it
+    up: a lost partition that nobody wrote is paid for again.
     """
-    columns = [c.name for c in JUDGED]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def responding():
         judge = load()
-        for frame in frames:
-            answers = [_call(judge, prompt, wait) for prompt in frame["prompt"]]
-            made = pd.DataFrame(answers, columns=columns, index=frame.index, dtype=object)
-            yield pd.concat([frame.drop(columns="prompt"), made.where(made.notna(), None)], axis=1)
-
-    schema = requests.drop("prompt").schema
-    for field in JUDGED:
-        schema = schema.add(field)
-    return requests.mapInPandas(run, schema)
+
+        def respond(prompts: list[str]) -> Iterator[list[dict]]:
+            for prompt in prompts:
+                yield [_call(judge, prompt, wait)]
+
+        return respond
+
+    return with_answers(requests, "prompt", responding, JUDGED, log, key, keep=False)
 
 
 def with_score(samples: DataFrame) -> DataFrame:
