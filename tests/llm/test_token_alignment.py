@@ -111,6 +111,20 @@ def test_stretches_encode_as_the_whole_text():
             at += size
 
 
+def test_texts_encoded_in_one_have_the_ids_of_the_library():
+    rng, side, encode = random.Random(3), ByteLevel(contents()[0]), libraries()[0]
+    stable = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA0, 0x250), *range(0x391, 0x3CA), *range(0x410, 0x450), *range(0x2010, 0x2028),
+                               *range(0x3041, 0x3094), *range(0x30A1, 0x30F7), *range(0x4E00, 0x4E40)]]
+    common = [" ", " ", "\n", "'s", "'ll", "e", "t", "1", "é", "\xa0", "...", "ß", "<|endoftext|>"]
+    taken = 0
+    for k in range(4000):
+        text = "".join(rng.choice(stable if k % 2 else common + stable[:100]) for _ in range(rng.randrange(1, 30)))
+        ids = side.whole(text)
+        taken += ids is not None
+        assert ids is None or ids == encode(text), repr(text)
+    assert taken > 3000 and side.whole("a" * 501) is None and side.whole(" " * 600) is None and side.whole("😀") is None
+
+
 def test_ends_joined_in_small_runs(spark, monkeypatch):
     side = [Remembered(kind(c)) for kind, c in zip((ByteLevel, ByteFallback), contents())]
     texts = [t for _, t in odd(200) if t and "▁" not in t] + [ROWS[7][1][:3000]]
