@@ -183,6 +183,12 @@ def length_box_stats(spark, folder):
     return rounded(explore.box_stats(documents(spark, folder), "n_chars", "lang"), "q1", "median", "q3")
 
 
+@query("WITH " + box_sql("events", "value", "event_type") + BOX.format(by="event_type", value="value"))
+def value_box_stats(spark, folder):
+    """A measure with as many distinct values as rows."""
+    return rounded(explore.box_stats(spark.read.parquet(f"{folder}/events.parquet"), "value", "event_type"), "q1", "median", "q3")
+
+
 @query("WITH " + box_sql("documents", "n_chars", "lang") + "SELECT doc_id, lang, n_chars FROM fenced WHERE NOT inside")
 def length_outliers(spark, folder):
     return explore.box_outliers(documents(spark, folder).select("doc_id", "lang", "n_chars"), "n_chars", "lang")

@@ -6,6 +6,7 @@ from catalog.explore import rounded
 from catalog.registry import query
 from turnflow.operators import training_metrics as metrics
 from turnflow.sources.bridge import logits, metric_log
+from turnflow.sources.logits import read_logits, write_logits
 from turnflow.sources.metric_log import sorted_points
 
 TRAIN, EVAL, RATE, NORM = "click", "view", "signup", "purchase"
@@ -95,6 +96,13 @@ def masked_perplexity(spark, folder):
     return rounded(metrics.masked_perplexity(logits(spark, folder)), "mean_loss", "perplexity")
 
 
+@query(f"{LOSSES} SELECT round(avg(loss), 6) AS mean_loss, count(*) AS tokens, round(exp(avg(loss)), 6) AS perplexity FROM losses")
+def masked_perplexity_stored(spark, folder):
+    """The same over a table laid out by sequence, whose logits stay where they are."""
+    stored = read_logits(spark, write_logits(logits(spark, folder)))
+    return rounded(metrics.masked_perplexity(stored), "mean_loss", "perplexity")
+
+
 @query(log_sql(f"SELECT run_id, best_step, best AS best_loss FROM ({EVALUATED})"))
 def best_checkpoint(spark, folder):
     return metrics.best_checkpoint(metric_log(spark, folder), EVAL)

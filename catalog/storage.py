@@ -129,6 +129,15 @@ def read_metric_log(spark, folder):
     return metric_logs.read_metric_log(spark, path)
 
 
+@query(log_sql("SELECT run_id, tag, step, value FROM log"))
+def metric_log_written_last(spark, folder):
+    """A log whose points were written twice, first with other values."""
+    path, log = place(spark, "metric-log"), metric_log(spark, folder)
+    log.withColumn("value", F.col("value") + F.col("step") % 3 - 1).write.parquet(path)
+    log.write.mode("append").parquet(path)
+    return metric_logs.read_metric_log(spark, path)
+
+
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
 def write_stats(spark, folder):
     path = place(spark, "stats")

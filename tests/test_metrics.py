@@ -1,11 +1,13 @@
 import json
 import math
+import os
 import random
 
 import pytest
 
 from turnflow.operators import training_metrics as metrics
 from turnflow.schemas import METRIC_LOG
+from turnflow.sources.logits import read_logits, write_logits
 from turnflow.sources.metric_log import read_metric_log, sorted_points
 
 
@@ -92,3 +94,43 @@ def test_points_once_and_in_order(spark, tmp_path):
     assert [r["step"] for r in rows] == [0, 10, 20]
     df.write.csv(str(tmp_path / "log.csv"), header=True)
     assert [r["value"] for r in read_metric_log(spark, str(tmp_path / "log.csv")).collect()] == [3.0, 2.0, 1.0]
+
+
+def test_of_repeated_points_the_last_written_counts(spark, tmp_path):
+    """Whatever the partitioning, and though the file written last comes first by name."""
+    point = "run_id string, tag string, step long, value double"
+    for name, time, rows in (("part-b", 1_000_000_000, [("r", "t", 1, 1.0), ("r", "t", 2, 5.0), ("r", "t", 2, 6.0)]),
+                             ("part-a", 1_000_000_100, [("r", "t", 1, -2.0), ("r", "t", 3, None), ("r", "t", 3, 7.0), ("r", "t", 3, None)])):
+        spark.createDataFrame(rows, point).coalesce(1).write.parquet(str(tmp_path / name))
+        file = next((tmp_path / name).glob("*.parquet"))
+        target = tmp_path / "log" / f"{name}.parquet"
+        target.parent.mkdir(exist_ok=True)
+        target.write_bytes(file.read_bytes())
+        os.utime(target, (time, time))
+    for parts in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found = [(r["step"], r["value"]) for r in read_metric_log(spark, str(tmp_path / "log")).collect()]
+        assert found == [(1, -2.0), (2, 6.0), (3, None)]
+    for name, text in (("late.csv", "r,t,1,9\nr,t,1,8\n"), ("early.csv", "r,t,1,4\n")):
+        (tmp_path / "csv.csv").mkdir(exist_ok=True)
+        (tmp_path / "csv.csv" / name).write_text("run_id,tag,step,value\n" + text)
+        os.utime(tmp_path / "csv.csv" / name, (2_000_000_000 if name == "late.csv" else 1_000_000_000,) * 2)
+    assert [r["value"] for r in read_metric_log(spark, str(tmp_path / "csv.csv")).collect()] == [8.0]
+    unordered = spark.createDataFrame([("r", "t", 1, v) for v in (2.0, None, 3.0)], point)
+    assert [r["value"] for r in sorted_points(unordered).collect()] == [3.0]
+
+
+def test_stored_logits_are_not_exchanged(spark, tmp_path):
+    """Below the mean over all tokens the plan has no exchange, and gaps and ignored labels count as before."""
+    rng = random.Random(4)
+    rows = [(s, p, [rng.gauss(0, 1) for _ in range(5)], rng.choice([-100, 0, 1, 2, 3, 4])) for s in range(30) for p in range(12) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "seq long, pos long, logits array<double>, label int").repartition(5)
+    stored = read_logits(spark, write_logits(df, buckets=4, path=str(tmp_path / "logits")))
+    losses = lambda t: sorted((r["seq"], r["pos"], round(r["loss"], 9)) for r in metrics.token_losses(t).collect())
+    of = {(s, p): (x, label) for s, p, x, label in rows}
+    want = sorted((s, p, round(math.log(sum(map(math.exp, of[s, p - 1][0]))) - of[s, p - 1][0][label], 9))
+                  for (s, p), (_, label) in of.items() if label != -100 and (s, p - 1) in of)
+    assert losses(stored) == losses(df) == want
+    plan = metrics.masked_perplexity(stored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange SinglePartition" in plan
+    assert metrics.token_losses(stored)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0

@@ -1,8 +1,12 @@
+import os
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
 from turnflow.constants import IGNORED_LABEL, PAD_ID
 from turnflow.functions import chat, tokens
+from turnflow.functions.tokens import WorkerTokenizer
 from turnflow.operators import batches, token_tables
 
 SCHEMA = "original_index long, num_turns int, messages array<struct<role:string,content:string>>, target_response string"
@@ -121,3 +125,31 @@ def test_rows_with_the_same_id_are_batched_one_by_one(spark):
     for shuffle in (False, True):
         rows = batches.assign_batches(df, "row", 4, shuffle=shuffle).collect()
         assert sorted((r["batch"], r["slot"]) for r in rows) == [(i // 4, i % 4) for i in range(10)]
+
+
+def test_a_worker_loads_its_tokenizer_once_and_encodes_a_row_once(spark, tmp_path):
+    """Characters as tokens; files count loads by worker process, and texts."""
+    loads, texts = tmp_path / "loads", tmp_path / "texts"
+    loads.mkdir()
+    texts.mkdir()
+
+    def load():
+        (loads / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+
+        def encode(batch):
+            for text in batch:
+                (texts / uuid.uuid4().hex).write_text(text)
+            return [([ord(c) for c in text], list(range(len(text)))) for text in batch]
+
+        return encode
+
+    rows = [([("system", "s"), ("user", f"question {i}")], f"answer {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "messages array<struct<role:string,content:string>>, target_response string").repartition(6)
+    prepared = token_tables.prepare_sft(df, WorkerTokenizer(load), 200)
+    own = token_tables.prepare_sft(df, lambda batch: [[ord(c) for c in text] for text in batch], 200)
+    assert sorted(map(str, prepared.collect())) == sorted(map(str, own.collect()))
+    workers = [f.name.split("-")[0] for f in loads.iterdir()]
+    assert len(workers) == len({*workers}) >= 1
+    assert len([*texts.iterdir()]) == 40 and all(t.read_text().startswith("<|im_start|>system") for t in texts.iterdir())
+    counted = token_tables.with_token_count(df, WorkerTokenizer(load)).agg({"token_count": "min"}).first()[0]
+    assert counted == len("<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nquestion 1<|im_end|>\n")

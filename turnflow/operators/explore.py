@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from turnflow.constants import PROFILE_FIELDS
 from turnflow.functions.messages import tool_names
 from turnflow.plans.ordering import with_position
+from turnflow.plans.ranks import quantiles
 from turnflow.plans.shared import join_to_groups, written
 
 
@@ -105,22 +106,19 @@ def histogram(df: DataFrame, column: str, bins: int, by: str | None = None) -> D
 
 def _fences(counts: DataFrame, by: str) -> DataFrame:
     """Quartiles of counted values, and the bounds 1.5 times their range beyond them."""
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
-    spread = F.col("q")[2] - F.col("q")[0]
-    return counts.groupBy(by).agg(q.alias("q")).select(
-        F.col(by).alias("_by"),
-        F.col("q")[0].alias("q1"),
-        F.col("q")[1].alias("median"),
-        F.col("q")[2].alias("q3"),
-        (F.col("q")[0] - 1.5 * spread).alias("_low"),
-        (F.col("q")[2] + 1.5 * spread).alias("_high"),
-    )
+    spread = F.col("q2") - F.col("q0")
+    return quantiles(counts, "v", "n", [0.25, 0.5, 0.75], (by,)).select(
+        F.col(by).alias(f"_{by}"), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"),
+        (F.col("q0") - 1.5 * spread).alias("_low"), (F.col("q2") + 1.5 * spread).alias("_high"))
 
 
 def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
-    """Quartiles, the extreme values within 1.5 times the quartile range, and the number beyond."""
+    """Quartiles, the extreme values within 1.5 times the quartile range, and the number beyond.
+
+    The quartiles are picked by rank, so a group may have any number of distinct values.
+    """
     counts = value_counts(df.filter(F.col(column).isNotNull()), column, (by,))
-    fenced = counts.join(_fences(counts, by), F.col(by).eqNullSafe(F.col("_by")))
+    fenced = join_to_groups(counts, _fences(counts, by), [by])
     inside = F.col("v").between(F.col("_low"), F.col("_high"))
     return fenced.groupBy(by).agg(
         F.max("q1").alias("q1"),
@@ -135,7 +133,7 @@ def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
 def box_outliers(df: DataFrame, column: str, by: str) -> DataFrame:
     """The rows beyond the whiskers of `box_stats`."""
     fences = _fences(value_counts(df.filter(F.col(column).isNotNull()), column, (by,)), by)
-    rows = join_to_groups(df, fences.withColumnRenamed("_by", f"_{by}"), [by])
+    rows = join_to_groups(df, fences, [by])
     return rows.filter(~F.col(column).between(F.col("_low"), F.col("_high"))).select(*df.columns)
 
 

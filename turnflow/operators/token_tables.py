@@ -9,7 +9,9 @@ from turnflow.constants import (
     CONTEXT_LENGTH, IGNORED_LABEL, PAD_ID, STORED_PERCENTILES, TOKENIZE_LENGTH, TRAINING_LENGTH,
 )
 from turnflow.functions.chat import MESSAGE_END, conversation_for_sft, render_chat, render_prompt
-from turnflow.functions.tokens import attention_mask, count_tokens, pad, piece_ids, pieces, tokenize
+from turnflow.functions.tokens import (
+    WorkerTokenizer, attention_mask, count_tokens, pad, piece_ids, pieces, tokenize, tokenize_at,
+)
 from turnflow.operators.checks import require_columns, require_rows
 from turnflow.plans.shared import with_computed_once, written
 
@@ -159,7 +161,8 @@ def prepare_sft(
 
     Labels hold the ignored value over the prompt and over padding. With the built-in
     tokenizer the prompt's pieces are reused for the full text: the answer starts on a
-    new line, where no piece goes across.
+    new line, where no piece goes across. A `WorkerTokenizer` encodes the full text once and tells by the places of its tokens
+    where the answer begins; any other function of texts encodes the prompt as well.
     """
     require_columns(df, ["messages", "target_response"])
     messages, target = F.col("messages"), F.col("target_response")
@@ -169,6 +172,10 @@ def prepare_sft(
         answer = pieces(F.concat(target, F.lit(MESSAGE_END)))
         rows = with_computed_once(df, "_prompt", prompt).withColumn("_prompt_length", F.size("_prompt"))
         rows = with_computed_once(rows, "_ids", piece_ids(F.slice(F.concat("_prompt", answer), 1, max_length)))
+    elif isinstance(tokenizer, WorkerTokenizer):
+        cut = with_computed_once(df, "_prompt", F.length(render_prompt(messages)))
+        found = with_computed_once(cut, "_found", tokenize_at(render_chat(full), F.col("_prompt"), tokenizer))
+        rows = found.withColumns({"_prompt_length": F.col("_found.before"), "_ids": F.slice("_found.ids", 1, max_length)})
     else:
         rows = with_computed_once(df, "_prompt_length", F.size(tokenize(render_prompt(messages), tokenizer)))
         rows = with_computed_once(rows, "_ids", F.slice(tokenize(render_chat(full), tokenizer), 1, max_length))

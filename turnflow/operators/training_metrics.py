@@ -91,10 +91,15 @@ def convergence_report(log: DataFrame, train_tag: str = TRAIN_LOSS, eval_tag: st
 
 
 def token_losses(logits: DataFrame) -> DataFrame:
-    """Loss of each labeled token: the logits of a position score the label of the next one."""
-    scored = logits.select("seq", (F.col("pos") + 1).alias("pos"), "logits")
-    labels = logits.filter(F.col("label") != IGNORED_LABEL).select("seq", "pos", "label")
-    return scored.join(labels, ["seq", "pos"]).select("seq", "pos", _cross_entropy(F.col("logits"), F.col("label")).alias("loss"))
+    """Loss of each labeled token: the logits of a position score the label of the next one.
+
+    The next label is read along the sequence. A table stored with `sources.logits.write_logits` is laid out
+    for that, so its logits are not exchanged.
+    """
+    along = Window.partitionBy("seq").orderBy("pos")
+    following = logits.withColumn("_next", F.lead(F.struct("pos", "label")).over(along))
+    labeled = following.filter((F.col("_next.pos") == F.col("pos") + 1) & (F.col("_next.label") != IGNORED_LABEL))
+    return labeled.select("seq", F.col("_next.pos").alias("pos"), _cross_entropy(F.col("logits"), F.col("_next.label")).alias("loss"))
 
 
 def _cross_entropy(logits: Column, label: Column) -> Column:

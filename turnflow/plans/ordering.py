@@ -9,7 +9,7 @@ from turnflow.plans.shared import written
 ROW_BITS = 33
 
 
-def _numbered_once(df: DataFrame) -> DataFrame:
+def numbered_once(df: DataFrame) -> DataFrame:
     """`df` written as it lies, with `_row`, which grows along every partition, and `_part`."""
     rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "ordered")
     return rows.withColumn("_part", F.shiftright("_row", ROW_BITS))
@@ -28,7 +28,7 @@ def with_position(
     keys = [*by, *order, "_tie"]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.withColumn("_tie", F.rand(7)).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    return _from_offsets(_numbered_once(ordered.drop("_tie")), by, name, total)
+    return _from_offsets(numbered_once(ordered.drop("_tie")), by, name, total)
 
 
 def _from_offsets(rows: DataFrame, by: tuple[str, ...], name: str, total: str | None) -> DataFrame:

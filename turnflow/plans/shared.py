@@ -31,12 +31,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_to_groups(rows: DataFrame, groups: DataFrame, by: list[str], lots: int = 32) -> DataFrame:
+def join_to_groups(rows: DataFrame, groups: DataFrame, by: list[str], lots: int | None = None) -> DataFrame:
     """Join rows to the one row of `groups` that has their values of `by`, under the names `_<column>`.
 
-    Every group is repeated for `lots` lots over which its rows are dealt, so a hot group
-    spreads over many tasks. Nulls match nulls.
+    Every group is repeated for `lots` lots over which its rows are dealt, as many as the session has shuffle
+    partitions if none are named, so a hot group spreads over all tasks. Nulls match nulls.
     """
+    lots = lots or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.withColumn("_lot", F.pmod(F.monotonically_increasing_id(), F.lit(lots)))
     repeated = groups.withColumn("_in", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
     same = F.col("_lot") == F.col("_in")
