@@ -8,11 +8,12 @@ ROWS = [
     (8, "é" * 40 + "\x00\x1c' don't <|endoftext|> x  y\n\n z"), (-4, "negative " + PASSAGE), (10, LONG),
 ]
 SCHEMA = ("doc_id long, text string, score string, chunk string, bucket double, payload long, fingerprint string, "
-          "ids string, n int, `odd name` string")
+          "ids string, n int, `odd name` string, kept string, removed int, n_bytes string, _score string, _kept long, "
+          "_rest struct<`a b`: int, kept: string>, _mark string, _key int, decoded string")
 
 
 def documents(spark, rows=ROWS):
-    more = ("s", "c", 1.5, 7, "f", "i", 3, "o")
+    more = ("s", "c", 1.5, 7, "f", "i", 3, "o", "k", 4, "b", "x", 5, (6, "z"), "m", 8, "d")
     return spark.createDataFrame([(i, t, *more) for i, t in rows], SCHEMA).repartition(3)
 
 

@@ -1,3 +1,5 @@
+import hashlib
+
 import public_tokenizers
 import pytest
 from awkward import documents, empty
@@ -68,6 +70,7 @@ def test_tokens_of_the_last_stage(results):
     _, given, made = results[4]
     want = {r.doc_id: library.encode(r.text, add_special_tokens=False).ids for r in given}
     assert {r.doc_id: list(r.ids) for r in made} == want and all(r.n_tokens == len(r.ids) for r in made)
+    assert {r.doc_id: r.decoded_sha256 for r in made} == {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in given}
 
 
 def test_run_is_the_stages_in_order(spark, results):
@@ -82,5 +85,8 @@ def test_stages_take_awkward_and_empty_tables(spark, stage):
     made = function(spark, docs, FOLDER)
     if stage < 4:
         assert made.columns == docs.columns
+        of = {r.doc_id: r for r in docs.collect()}
+        same = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+        assert all([r[c] for c in same] == [of[r.doc_id][c] for c in same] for r in made.collect())
     assert made.count() > 0
     assert function(spark, empty(spark).withColumnRenamed("n", "n_chars"), FOLDER).count() == 0

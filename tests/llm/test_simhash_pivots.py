@@ -102,7 +102,21 @@ def test_one_of_each(spark):
     docs = documents(spark)
     kept = one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [None, None, *sorted({c for _, _, c in brute(ROWS) if c is not None})]))
+    rows = kept.collect()
+    of = classes([slow_fingerprint(t) for _, t in ROWS], 3)
+    want = [min((i is None, i or 0) for k, (i, _) in enumerate(ROWS) if of[k] == root) for root in sorted({*of})]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted(want)
+    assert all(r["_rest"]["a b"] == 6 and r["_mark"] == "m" and r["_key"] == 8 for r in rows)
+
+
+def test_one_of_rows_without_ids_and_of_repeated_ids(spark):
+    text = "the same words in every one of these rows " * 3
+    other = "something else that no other row has in it at all, not even in part " * 2
+    rows = [(None, text)] * 6 + [(5, other), (5, text), (4, other), (None, "alone and without an id, but with words")] * 2
+    kept = one_of_each(documents(spark, rows))
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert found == sorted([(5, text), (4, other), (None, rows[-1][1])], key=repr)
+    assert sorted(((r.doc_id, r.text) for r in one_of_each(documents(spark, rows[::-1]).repartition(7)).collect()), key=repr) == found
 
 
 def test_empty_table(spark):

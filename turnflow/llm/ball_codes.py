@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, FloatType, IntegerType, LongType, StructField, StructType
 
 from turnflow.llm.common import release, side_path, written
 from turnflow.plans.shared import join_to_groups
@@ -155,12 +155,10 @@ def _as_bytes(codes: np.ndarray) -> pa.Array:
 
 def _assigned(rows: DataFrame, books: list[np.ndarray], width: int, scale: int, sums: bool) -> DataFrame:
     """Rows with new codes and errors; with `sums`, also one row per task and entry: what its parts add up to."""
-    label = rows.schema["label"].dataType.simpleString()
-    vector = rows.schema["vector"].dataType.simpleString()
     shared, step = rows.sparkSession.sparkContext.broadcast(books), width // len(books)
     names = ["is_sum", "vec_id", "label", "vector", "code", "slot", "n", "total"] if sums else ["vec_id", "label", "code", "error"]
-    kinds = {"is_sum": "boolean", "vec_id": "long", "label": label, "vector": vector, "code": "binary", "error": "long",
-             "slot": "int", "n": "long", "total": "array<long>"}
+    kinds = {"is_sum": BooleanType(), "vec_id": LongType(), "code": BinaryType(), "error": LongType(), "slot": IntegerType(),
+             "n": LongType(), "total": ArrayType(LongType())} | {c: rows.schema[c].dataType for c in ("label", "vector")}
 
     def work(batches):
         books = shared.value
@@ -192,7 +190,7 @@ def _assigned(rows: DataFrame, books: list[np.ndarray], width: int, scale: int,
             yield from _batches([pa.array(np.ones(size, bool)), *nothing, pa.nulls(size, pa.binary()),
                                  pa.array(slots.astype(np.int32)), pa.array(n.ravel()[slots]), lists], names)
 
-    return rows.mapInArrow(work, ", ".join(f"{c} {kinds[c]}" for c in names))
+    return rows.mapInArrow(work, StructType([StructField(c, kinds[c]) for c in names]))
 
 
 def _batches(columns: list, names: list[str]):

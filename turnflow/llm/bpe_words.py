@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from turnflow.llm.common import ids_back, ids_of, release, released, shuffle_parts, slices, text_slices, texts
 from turnflow.llm.dictionary import CHUNK, CHUNK_ROWS, DOCS, Chunk, documents_of, packed, sized, unpacked, words_of
@@ -165,4 +166,4 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
                 out = [data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*others, "decoded"])
 
-    return rows.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "decoded string"]))
+    return rows.mapInArrow(work, StructType([*rows.schema.fields, StructField("decoded", StringType())]))

@@ -30,6 +30,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
     )
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name like `name` that `docs` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the one place where the user sizes them to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -14,8 +14,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from turnflow.llm.common import shuffle_parts, texts, written
+from turnflow.llm.common import fresh, shuffle_parts, texts, written
 from turnflow.llm.components import smallest_reachable
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -57,16 +58,18 @@ def fingerprint(text: str, size: int) -> int:
     return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fingerprint (as a signed 64-bit number) of every row; a null text is empty."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """doc_id and fingerprint (as a signed 64-bit number) of every row, and the columns named in `more`; a null text is empty."""
+    rows = texts(docs, id_col, text_col, *more)
 
     def work(batches):
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))],
-                                             ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *[batch.column(c) for c in more]],
+                                             ["doc_id", "fingerprint", *more])
 
-    return texts(docs, id_col, text_col).mapInArrow(work, "doc_id long, fingerprint long")
+    schema = StructType([StructField("doc_id", LongType()), StructField("fingerprint", LongType()), *[rows.schema[c] for c in more]])
+    return rows.mapInArrow(work, schema)
 
 
 def _blocks(n: int, bits: np.ndarray) -> list[int]:
@@ -173,22 +176,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3,
     """
     prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = written(smallest_reachable(links(distinct, max_bits)), "roots")
-    placed = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    placed = _placed(distinct, max_bits)
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(names, "root").select(F.col("fingerprint").alias("f"), "component_id")
     return prints.join(named, F.col("fingerprint") == F.col("f")).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _placed(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """Distinct fingerprints with the root of their component."""
+    roots = written(smallest_reachable(links(distinct, max_bits)), "roots")
+    return distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fingerprint")).drop("node")
+
+
 def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 3,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, whose id is that of their component, one row per id.
+    """One row of every component of near duplicates, with all its columns: that of the smallest id.
 
-    A row without an id cannot be named as the one that stays; it stays, whatever it is like.
+    Rows of one id, or without one, are told apart by fingerprint and by a hash of all their columns, so the choice is
+    the same on every run; null ids come last, so such a row stays only where no row of its component has an id. Of
+    rows equal in all columns (but maps, which have no hash) one stays. Empty and null texts are near duplicates of one another.
+    An empty table gives no rows.
     """
-    found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
-    named = found.where("component_id is not null").select(F.col("component_id").alias("_kept")).distinct()
-    one = docs.join(named, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    mark, key = fresh(docs, "_mark"), fresh(docs, "_key")
+    cells = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    marked = docs.withColumns({mark: F.xxhash64(*cells, *[c.isNull() for c in cells]),
+                               key: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0).cast("long"))})
+    prints = fingerprints(marked, shingle, id_col, text_col, mark)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint", F.col(mark).alias("mark"))).alias("best")
+    distinct = written(prints.groupBy("fingerprint").agg(best), "distinct")
+    chosen = _placed(distinct, max_bits).groupBy("root").agg(F.min("best").alias("best")).select(
+        F.coalesce("best.doc_id", F.lit(0).cast("long")).alias(key), F.col("best.mark").alias(mark))
+    one = marked.join(chosen, [key, mark], "left_semi").dropDuplicates([key, mark])
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns])

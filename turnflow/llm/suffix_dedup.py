@@ -16,6 +16,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from turnflow.llm.bwt_merge import Shard, merged_blocks
 from turnflow.llm.common import ids_back, ids_of, release, released, shuffle_parts, text_slices, texts
@@ -353,6 +354,10 @@ def _removing(coded: pa.Table, answers: pa.Table) -> pa.Table:
 
 SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 OWN = ["doc_id", "n_bytes", "removed", "kept"]
+KEPT = StructType([
+    StructField("doc_id", LongType()), StructField("n_bytes", LongType()),
+    StructField("removed", ArrayType(StructType([StructField("begin", LongType()), StructField("end", LongType())]))),
+    StructField("kept", BinaryType())])
 
 
 def remove_repeats(docs: DataFrame, carried: tuple[str, ...] = (), id_col: str = "doc_id",
@@ -369,8 +374,7 @@ def remove_repeats(docs: DataFrame, carried: tuple[str, ...] = (), id_col: str =
     parts = shuffle_parts(docs.sparkSession)
     buckets = 2 * parts
     rows = texts(docs, id_col, text_col, *carried)
-    schema = ["doc_id long", "n_bytes long", "removed array<struct<begin: long, end: long>>", "kept binary",
-              *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carried)]
+    schema = StructType([*KEPT.fields, *[rows.schema[c] for c in carried]])
     coded = _chunks(rows, buckets).repartition(parts, "chunk")
     shared = coded.mapInArrow(_no_docs, CHUNK_ROWS).groupBy("bucket").applyInArrow(released(_shared_hashes(many)), CHUNK_ROWS)
     sent = (
@@ -379,7 +383,7 @@ def remove_repeats(docs: DataFrame, carried: tuple[str, ...] = (), id_col: str =
     least = sent.mapInArrow(_no_docs, CHUNK_ROWS).groupBy("bucket").applyInArrow(released(_least_ids), CHUNK_ROWS)
     own = sent.mapInArrow(_only_docs, CHUNK_ROWS)
     return coded.groupBy("chunk").cogroup(own.unionByName(least).groupBy("chunk")).applyInArrow(
-        released(_removing), ", ".join(schema))
+        released(_removing), schema)
 
 
 def _only_docs(batches):
@@ -399,5 +403,4 @@ def kept_text(removed: DataFrame, text_col: str = "text") -> DataFrame:
                 text = [b.decode("utf-8", "ignore") for b in part.column("kept").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], [*others, text_col])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-    return rows.mapInArrow(work, ", ".join([*kinds, f"`{text_col}` string"]))
+    return rows.mapInArrow(work, StructType([*rows.schema.fields, StructField(text_col, StringType())]))
