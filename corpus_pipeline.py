@@ -1,7 +1,7 @@
 """Pipeline over documents: quality, near duplicates, repeated passages, benchmark passages, token ids.
 
 Every stage takes the documents that the one before kept and returns documents with the same columns, but
-the last, which returns token ids. Stages are written in the shared folder between each other, so a lost
+the last, which returns token ids and a digest of what they decode to. Stages are written in the shared folder between each other, so a lost
 executor never repeats more than one.
 """
 
@@ -17,34 +17,64 @@ from turnflow.llm.words import vocabulary
 LEAST_QUALITY = 0.7
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one, so that none of them meets a column of an operator."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, F.lit(True).alias("_last")).alias("_others"))
+
+
+def _unpacked(made: DataFrame, columns: list[str]) -> DataFrame:
+    return made.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_others")[c].alias(c) for c in columns])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the nearest-neighbour vote finds good; one with a null or empty text scores the mean label."""
+    """Documents that the nearest-neighbour vote finds good; one with a null or empty text scores the mean label.
+
+    All columns stay as they are, whatever their names; an empty table stays empty.
+    """
     model = quality_knn.fit(docs, table(spark, folder, "labels"))
-    scored = quality_knn.with_score(docs, model, name="_score")
-    return scored.where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    scored = quality_knn.with_score(_packed(docs), model)
+    return _unpacked(scored.where(F.col("score") >= LEAST_QUALITY), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of every group of near duplicates the document with the smallest id; 3-word shingles, 3 bits."""
+    """Of every group of near duplicates the document with the smallest id; 3-word shingles, 3 bits.
+
+    Null ids come last, and rows of one id are told apart by their columns, so one row of a group stays, the same on
+    every run; empty and null texts are one group. All columns stay as they are; an empty table stays empty.
+    """
     return simhash_pivots.one_of_each(docs, shingle=3, max_bits=3)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without the passages that documents with smaller ids have; n_chars is that of the new text."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = suffix_dedup.kept_text(suffix_dedup.remove_repeats(docs, carried=others))
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents without the passages that documents with smaller ids have; n_chars is that of the new text.
+
+    A null id is the smallest; a null text becomes empty. All other columns stay as they are, whatever their names; an
+    empty table stays empty.
+    """
+    made = suffix_dedup.kept_text(suffix_dedup.remove_repeats(_packed(docs), carried=("_others",)))
+    cut = _unpacked(made, docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; a null or empty text holds none.
+
+    All columns stay as they are, whatever their names; an empty table stays empty.
+    """
     return decontaminate.clean(docs, table(spark, folder, "benchmark"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every document."""
+    """doc_id, n_tokens and ids of every document, and decoded_sha256, the digest of the text that the ids decode to.
+
+    A null or empty text has no ids and decodes to the empty text; null ids and repeated rows stay, other columns do
+    not; an empty table stays empty.
+    """
     words = vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
-    return bpe_words.encode(docs, words).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    decoded = bpe_words.decode(bpe_words.encode(docs, words), words)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -52,7 +82,7 @@ STAGES = [
     ("SimHash near-dedup", drop_near_duplicates),
     ("suffix-array dedup", cut_repeats),
     ("benchmark decontamination", drop_contaminated),
-    ("BPE encoding", to_tokens),
+    ("BPE encoding and decoding", to_tokens),
 ]
 
 #: No stage can be expressed in SQL; tests hold every stage against brute force.
