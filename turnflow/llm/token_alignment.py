@@ -11,6 +11,7 @@ import hashlib
 import json
 import os
 import re
+import uuid
 from itertools import chain
 
 import numpy as np
@@ -21,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnflow.llm.bpe_words import pieces, split, word_of
-from turnflow.llm.common import ids_back, ids_of, release, side_path, text_slices, texts
+from turnflow.llm.common import ids_back, ids_of, release, shuffle_parts, side_path, text_slices, texts
 from turnflow.llm.dictionary import packed, sized, unpacked
 from turnflow.llm.words import ranges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 #: Bytes of text per chunk, and aligned at a time; ends joined at a time; words of either tokenizer that a worker remembers.
-CHUNK, SLICE, JOINED, REMEMBERED = 16_000_000, 500_000, 250_000, 200_000
+CHUNK, SLICE, JOINED, REMEMBERED = 16_000_000, 500_000, 250_000, 150_000
 #: Where the byte-fallback tokenizer writes a space, fixed by its file format.
 MARK = "▁"
 #: Spaces and what follows; those at the end stay with the last word, since no text of none can stand for one.
@@ -64,12 +65,7 @@ class ByteLevel:
     """A byte-level vocabulary of the tokenizers library; strings of special tokens in a text are plain text."""
 
     def __init__(self, content: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.content, self.tokenizer = content, None
         self.pieces = [p or b"" for p in pieces(content)]
         self.ranks = _by_ranks(content, self.pieces)
 
@@ -88,6 +84,13 @@ class ByteLevel:
         return split(" " + text)
 
     def encode(self, units: list[str]) -> list[list[int]]:
+        if self.tokenizer is None:  # most tasks never meet a text that needs it
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_str(self.content)
+            self.tokenizer.encode_special_tokens = True
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
         found = self.tokenizer.encode_batch_fast([word_of(u).decode() for u in units], add_special_tokens=False)
         return [e.ids for e in found]
 
@@ -281,9 +284,9 @@ def _encode(docs: DataFrame, shared) -> DataFrame:
                 yield from _rows([pa.array([False]), pa.array([part << 32 | seq]), pa.array([payload], pa.binary()),
                                   *[pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.int64())]])
                 size += len(data)
+                release()
                 if size >= CHUNK:
                     yield from _pair_rows(counts, part << 32 | seq)
-                    release()
                     counts, size, seq = [], 0, seq + 1
         yield from _pair_rows(counts, part << 32 | seq)
 
@@ -339,8 +342,9 @@ _GROUPS: dict = {}
 
 def _aligned(shared):
     def work(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        a, b = (remembered(*one) for one in shared.value)
-        sizes = len(a.lengths), len(b.lengths)
+        _TOKENIZERS.clear()  # all texts are encoded
+        a_lengths, b_lengths = (pa.array(x) for x in shared.value)
+        sizes = len(a_lengths), len(b_lengths)
         if sizes not in _GROUPS:
             _GROUPS.clear()
             _GROUPS[sizes] = Groups(*sizes)
@@ -351,7 +355,7 @@ def _aligned(shared):
             n = len(doc_ids)
             total = np.zeros((4, n), np.int64)  # groups, links, best, sum of counts
             kept = []
-            for found in links(*ids, a.lengths, b.lengths):
+            for found in links(*ids, a_lengths, b_lengths):
                 kept.append(found)
                 joined = found.append_column("doc", pc.shift_right(found["end"], 32)).join(counts, ["a", "b"], use_threads=False)
                 closes = pc.and_(joined["a_ends"], joined["b_ends"])
@@ -360,6 +364,8 @@ def _aligned(shared):
                 for k, c in enumerate(("closes_sum", "count_all", "best_sum", "count_sum")):
                     np.add.at(total[k], sums["doc"].to_numpy(), sums[c].to_numpy().astype(np.int64))
             text = _GROUPS[sizes].text(pa.concat_tables(kept), n) if kept else pa.array([""] * n, pa.large_string())
+            del kept
+            release()
             out.append(pa.table({
                 "doc_id": ids_back(doc_ids), "n_a": pc.cast(pc.list_value_length(ids[0]), pa.int64()),
                 "n_b": pc.cast(pc.list_value_length(ids[1]), pa.int64()), "n_groups": total[0], "n_links": total[1],
@@ -382,20 +388,22 @@ def align(docs: DataFrame, byte_level: str, byte_fallback: bytes, id_col: str =
     byte by byte (such as one with U+2581), has no tokens: zeros and an empty string. Repeated rows and null ids
     stay, and count; other columns are ignored; an empty table gives no rows.
 
-    Ids and counts per chunk are written once to the shared folder. What is exchanged are one row per id pair and
-    chunk, and the ids.
+    Ids and counts per chunk are written once to the shared folder, bucketed by chunk, and the ids stay where they are:
+    what is exchanged is one row per id pair and chunk.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(((ByteLevel, byte_level), (ByteFallback, byte_fallback)))
-    path = side_path(spark, "alignment")
+    lengths = tuple(np.fromiter(map(len, kind(content).pieces), np.int64) for kind, content in shared.value)
+    name = f"alignment_{uuid.uuid4().hex}"
     encoded = _encode(texts(docs, id_col, text_col), shared)
-    encoded.write.partitionBy("is_pair").parquet(path)
-    ids, pairs = (spark.read.schema(encoded.schema).parquet(path) for _ in range(2))
-    ids = ids.where(~F.col("is_pair")).select("chunk", "payload")
-    pairs = pairs.where("is_pair").select("chunk", "a", "b", "n")
+    (encoded.write.partitionBy("is_pair").bucketBy(shuffle_parts(spark), "chunk").option("path", side_path(spark, "alignment"))
+     .saveAsTable(name))
+    ids = spark.table(name).where(~F.col("is_pair")).select("chunk", "payload")
+    pairs = spark.table(name).where("is_pair").select(F.col("chunk").alias("asking"), "a", "b", "n")
     counts = pairs.groupBy("a", "b").agg(F.sum("n").alias("count"))
     best = counts.groupBy("b").agg(F.max("count").alias("most"))
     ranked = counts.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
-    asked = pairs.select("chunk", "a", "b").join(ranked, ["a", "b"]).select("chunk", "a", "b", "count", "best")
-    return ids.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(
-        _aligned(shared), "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
+    asked = pairs.select("asking", "a", "b").join(ranked, ["a", "b"]).select("asking", "a", "b", "count", "best")
+    return ids.groupBy("chunk").cogroup(asked.groupBy("asking")).applyInArrow(
+        _aligned(spark.sparkContext.broadcast(lengths)),
+        "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
