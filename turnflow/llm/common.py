@@ -9,8 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.registry import ship_code
-from turnflow.plans.shared import shared_folder, written  # noqa: F401
+from turnflow.plans.shared import shared_folder, ship_code, written  # noqa: F401
 
 #: Stands for a null id where ids travel in packed arrays; it sorts before every other id.
 NO_ID = np.iinfo(np.int64).min

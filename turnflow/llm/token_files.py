@@ -23,10 +23,11 @@ BLOCKS = ("part int, row long, start long, doc_ids array<long>, counts array<lon
           "frame binary")
 
 
-def token_ids(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+def token_ids(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, str]:
     """Rows (part, row, start, doc_id, ids) in ascending id order: range partition, number and ids before in it.
 
-    `ids` are little-endian, two bytes each if the vocabulary allows, else four; their type is returned too.
+    `ids` are little-endian, two bytes each if the vocabulary allows, else four; their type is returned last. What
+    every task has counted while it encoded, (id, n), comes second.
     """
     from tokenizers import Tokenizer
 
@@ -41,43 +42,40 @@ def token_ids(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_c
         .sortWithinPartitions(F.asc_nulls_first("doc_id"), "mark", "text").select("doc_id", "text")
     )
 
+    def rows(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(n, t)) for name, t in FIELDS.items()], list(FIELDS))
+
     def work(batches):
         words, part, row, start = word_ids(shared.value), TaskContext.get().partitionId(), 0, 0
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for first, end, data, at in text_slices(batch, TEXT):
                 whole = data.tobytes()
                 ids, n = words.encode([whole[a:b] for a, b in zip(at, at[1:])])
+                total += np.bincount(ids, minlength=size)
+                total[end_id] += len(n)
                 ends = np.cumsum(n)
                 packed = [np.append(ids[e - k : e], end_id).astype(kind).tobytes() for e, k in zip(ends, n)]
                 starts = start + ends - n + np.arange(len(n))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(row, row + len(n))),
-                    pa.array(starts), batch.column("doc_id").slice(first, end - first), pa.array(packed, pa.binary()),
-                ], ["part", "row", "start", "doc_id", "ids"])
+                yield rows(is_count=pa.array(np.zeros(len(n), bool)), part=pa.array(np.full(len(n), part, np.int32)),
+                           row=pa.array(np.arange(row, row + len(n))), start=pa.array(starts),
+                           doc_id=batch.column("doc_id").slice(first, end - first), ids=pa.array(packed, pa.binary()))
                 row, start = row + len(n), start + int(n.sum()) + len(n)
+        used = np.flatnonzero(total)
+        if len(used):
+            yield rows(is_count=pa.array(np.ones(len(used), bool)), id=pa.array(used), n=pa.array(total[used]))
 
     path = side_path(spark, "token-ids")
-    out = ordered.mapInArrow(work, "part int, row long, start long, doc_id long, ids binary")
-    out.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(out.schema).parquet(path), kind
-
-
-def _counted(tokens: DataFrame, kind: str) -> list:
-    """(id, count) over all documents; one row per id of the vocabulary at most."""
+    out = ordered.mapInArrow(work, "is_count boolean, part int, row long, start long, doc_id long, ids binary, id long, n long")
+    out.write.partitionBy("is_count").option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(out.schema).parquet(path)
+    tokens = stored.where(~F.col("is_count")).select("part", "row", "start", "doc_id", "ids")
+    return tokens, stored.where("is_count").select("id", "n"), kind
 
-    def work(batches):
-        total = np.zeros(1 << 8, np.int64)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                ids = np.frombuffer(b"".join(batch.column("ids").slice(first, 512).to_pylist()), kind)
-                now = np.bincount(ids, minlength=len(total))
-                now[: len(total)] += total
-                total = now
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    counted = tokens.select("ids").mapInArrow(work, "id long, n long")
-    return counted.groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
+FIELDS = {"is_count": pa.bool_(), "part": pa.int32(), "row": pa.int64(), "start": pa.int64(), "doc_id": pa.int64(),
+          "ids": pa.binary(), "id": pa.int64(), "n": pa.int64()}
 
 
 class _Run:
@@ -127,8 +125,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int,
     tables, so a lost executor repeats its tasks and leaves no half-written block.
     """
     spark = docs.sparkSession
-    tokens, kind = token_ids(docs, vocabulary, end_id, id_col, text_col)
-    counted = _counted(tokens, kind)
+    tokens, counts, kind = token_ids(docs, vocabulary, end_id, id_col, text_col)
+    counted = counts.groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()  # bounded by the vocabulary
     ids, counts = np.array([r.id for r in counted], np.int64), np.array([r.n for r in counted], np.int64)
     scaled = rans.Table.scaled(counts)
     rows = [(int(i), int(f)) for i, f in zip(ids, scaled, strict=True)]
