@@ -1,12 +1,11 @@
 """Where every query and its SQL are registered."""
 
-import shutil
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from turnflow.plans import shared as plans
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -25,15 +24,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-_SHIPPED: set[str] = set()
-
-
 def ship_code(spark: SparkSession) -> SparkSession:
-    """Send the two packages to the Python workers, once per application."""
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        root, target = Path(__file__).parent.parent, tempfile.mkdtemp(prefix="turnflow-code-")
-        for package in ("turnflow", "catalog"):
-            context.addPyFile(shutil.make_archive(f"{target}/{package}", "zip", root, package))
-        _SHIPPED.add(context.applicationId)
-    return spark
+    """Send the library and the queries to the Python workers."""
+    return plans.ship_code(spark, "catalog")

@@ -58,9 +58,9 @@ def write_and_read_splits(spark, folder):
 def written_split_statistics(spark, folder):
     path = place(spark, "splits")
     splits.write_splits(split_documents(spark, folder).select("doc_id", F.col("lang").alias("task"), "split"), path)
-    tasks = "array<struct<task:string,n:bigint,percent:double>>"
-    stats = spark.read.schema(f"split string, num_examples bigint, task_distribution {tasks}").json(f"{path}/{splits.STATISTICS}")
-    return stats.select("split", "num_examples", F.size("task_distribution").cast("long").alias("tasks"))
+    stats = spark.read.schema("split string, num_examples bigint").json(f"{path}/{splits.STATISTICS}")
+    tasks = spark.read.schema("split string, task string").json(f"{path}/{splits.TASKS}").groupBy("split").agg(F.count("*").alias("tasks"))
+    return stats.join(tasks, "split")
 
 
 @query(examples_sql("SELECT id AS original_index, task, generated_response, error, input_tokens FROM generated", ECHO))

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,31 @@ def test_one_split_on_disk(spark, tmp_path):
     assert splits.read_split(spark, str(tmp_path), "train").count() == 50
     with pytest.raises(FileNotFoundError):
         splits.read_split(spark, str(tmp_path), "test")
+
+
+def test_quotas_of_a_million_strata(spark):
+    """Shares of largest remainder, ranked over many partitions and by no window over all strata."""
+    strata = spark.range(1_000_000).select(F.format_string("s%07d", "id").alias("stratum"), (F.col("id") % 7 + 1).alias("n"))
+    quotas = splitting.split_quotas(strata, 0.75, 0.5)
+    plan = quotas._jdf.queryExecution().executedPlan().toString()
+    # the one task there is sees a row per range partition of the strata that tie
+    assert "row_number" not in plan and plan.count("SinglePartition") <= 2
+    total = sum(k % 7 + 1 for k in range(1_000_000))
+    train = math.floor(round(total * 0.75, 6))
+    sums = quotas.agg(F.sum("n"), F.sum("train_places"), F.sum("validation_places"), F.count("*"),
+                      F.max(F.abs(F.col("train_places") - F.col("n") * train / total))).first()
+    assert tuple(sums[:4]) == (total, train, math.floor(round((total - train) * 0.5, 6)), 1_000_000) and sums[4] < 1
+
+
+def test_quotas_by_largest_remainder_in_order_of_names(spark):
+    for sizes, share in (([5, 5, 5, 5, None, 1], 0.75), ([1] * 9, 0.5), ([100, 3, 2], 0.9), ([4, 4], 0.75)):
+        names = [None if n is None else f"s{k}" for k, n in enumerate(sizes)]
+        rows = [(name, n or 3) for name, n in zip(names, sizes)]
+        total = sum(n for _, n in rows)
+        wanted = math.floor(round(total * share, 6))
+        whole = {name: n * wanted // total for name, n in rows}
+        order = sorted(rows, key=lambda r: (-(r[1] * wanted % total), r[0] is not None, r[0] or ""))
+        for name, _ in order[: wanted - sum(whole.values())]:
+            whole[name] += 1
+        found = splitting.split_quotas(spark.createDataFrame(rows, "stratum string, n long"), share, 0.5).collect()
+        assert {r["stratum"]: r["train_places"] for r in found} == whole

@@ -6,42 +6,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnflow.operators.checks import require_columns
-from turnflow.plans.ordering import with_shuffled_position
-from turnflow.plans.shared import join_to_groups
+from turnflow.plans.ordering import with_position, with_shuffled_position
+from turnflow.plans.shared import join_to_groups, written
 
 SPLITS = ["train", "validation", "test"]
+#: Ranges of remainders that are counted at a time.
+BINS = 65_536
 
 
-def _part_of(total: Column, share: float) -> Column:
+def _part_of(total: int, share: float) -> int:
     # rounding first keeps 0.15 * 20 from falling to 2
-    return F.floor(F.round(total * F.lit(share), 6))
-
-
-def _quota(count: str, total: str, wanted: str, name: str, df: DataFrame) -> DataFrame:
-    """Deal `wanted` places to the strata in proportion to `count`, by largest remainder."""
-    share = F.col(count).cast("decimal(19,0)") * F.col(wanted).cast("decimal(19,0)")
-    base = F.greatest(F.col(total), F.lit(1)).cast("decimal(19,0)")
-    left = F.col(wanted) - F.sum("_whole").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(F.desc("_rest"), "stratum"))
-    return (
-        df.withColumn("_rest", share % base)
-        .withColumn("_whole", ((share - F.col("_rest")) / base).cast("long"))
-        .withColumn("_left", left)
-        .withColumn(name, F.col("_whole") + (rank <= F.col("_left")).cast("long"))
-        .drop("_whole", "_rest", "_left")
-    )
+    return math.floor(round(total * share, 6))
+
+
+def _threshold(dealt: DataFrame, left: int, total: int) -> tuple[int, int, int]:
+    """The `left`-th largest remainder, how many strata lie above it, and how many have it.
+
+    Remainders are counted in BINS ranges, then in those of the range that holds the one looked for, until a range is
+    one number; at most BINS counts reach the driver at a time.
+    """
+    low, high, above = 0, max(total, 1), 0
+    while True:
+        width = -(-(high - low) // BINS)
+        inside = dealt.where((F.col("_rest") >= low) & (F.col("_rest") < high))
+        counts = inside.groupBy(F.expr(f"(_rest - {low}L) div {width}L").alias("bin")).count().orderBy(F.desc("bin")).collect()
+        for row in counts:
+            if above + row["count"] >= left:
+                break
+            above += row["count"]
+        low, high = low + row["bin"] * width, min(high, low + (row["bin"] + 1) * width)
+        if width == 1:
+            return low, above, row["count"]
+
+
+def _quota(strata: DataFrame, count: str, total: int, wanted: int, name: str) -> DataFrame:
+    """Deal `wanted` places to the strata in proportion to `count`, by largest remainder, equal ones in order of names.
+
+    The places left after whole shares go to the strata above a threshold that is searched in counted remainders. Only
+    strata that have just this remainder, if not all of them get a place, are put in order, by a range partitioning.
+    """
+    share = F.col(count).cast("decimal(19,0)") * F.lit(wanted).cast("decimal(19,0)")
+    base = F.lit(max(total, 1)).cast("decimal(19,0)")
+    dealt = strata.withColumn("_rest", share % base).withColumn("_whole", ((share - F.col("_rest")) / base).cast("long"))
+    dealt = dealt.withColumn("_rest", F.col("_rest").cast("long"))
+    left = wanted - (dealt.agg(F.sum("_whole")).first()[0] or 0)
+    if not left:
+        return dealt.withColumn(name, F.col("_whole")).drop("_rest", "_whole")
+    threshold, above, equal = _threshold(dealt, left, total)
+    if above + equal == left:
+        return dealt.withColumn(name, F.col("_whole") + (F.col("_rest") >= threshold).cast("long")).drop("_rest", "_whole")
+    ties = with_position(dealt.where(F.col("_rest") == threshold).select(F.col("stratum").alias("_tied")), ["_tied"], name="_rank")
+    chosen = ties.where(F.col("_rank") < left - above).select("_tied", F.lit(1).cast("long").alias("_one"))
+    more = F.when(F.col("_rest") > threshold, 1).otherwise(F.coalesce("_one", F.lit(0)))
+    return dealt.join(chosen, F.col("stratum").eqNullSafe(F.col("_tied")), "left").withColumn(name, F.col("_whole") + more).drop(
+        "_rest", "_whole", "_tied", "_one")
 
 
 def split_quotas(strata: DataFrame, train: float, validation_of_rest: float) -> DataFrame:
-    """Train and validation places of each stratum; `strata` has one row per stratum."""
-    everything = Window.partitionBy()
-    sized = strata.withColumn("_total", F.sum("n").over(everything)).withColumn("_train", _part_of(F.col("_total"), train))
-    first = _quota("n", "_total", "_train", "train_places", sized)
-    rest = first.withColumns({
-        "_n2": F.col("n") - F.col("train_places"),
-        "_total2": F.col("_total") - F.col("_train"),
-    }).withColumn("_validation", _part_of(F.col("_total2"), validation_of_rest))
-    second = _quota("_n2", "_total2", "_validation", "validation_places", rest)
+    """Train and validation places of each stratum; `strata` has one row per stratum, of any number."""
+    strata = written(strata, "strata")
+    total = strata.agg(F.sum("n")).first()[0] or 0
+    wanted = _part_of(total, train)
+    first = _quota(strata, "n", total, wanted, "train_places").withColumn("_n2", F.col("n") - F.col("train_places"))
+    second = _quota(first, "_n2", total - wanted, _part_of(total - wanted, validation_of_rest), "validation_places")
     return second.select("stratum", "n", "train_places", "validation_places")
 
 

@@ -1,12 +1,29 @@
 """Written tables in the folder that all executors share, and joins that spread hot groups."""
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROOT = Path(__file__).parent.parent.parent
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship_code(spark: SparkSession, *packages: str) -> SparkSession:
+    """Send this package, and others that lie beside it, to the Python workers, once per application."""
+    context = spark.sparkContext
+    for package in ("turnflow", *packages):
+        if (context.applicationId, package) not in _SHIPPED:
+            target = tempfile.mkdtemp(prefix="turnflow-code-")
+            context.addPyFile(shutil.make_archive(f"{target}/{package}", "zip", ROOT, package))
+            _SHIPPED.add((context.applicationId, package))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by spark.checkpoint.dir; a temporary one only on a local master."""
     context = spark.sparkContext

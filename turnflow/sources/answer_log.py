@@ -27,7 +27,7 @@ Respond = Callable[[list], Iterator[list[dict]]]
 EVERY = 100
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path and the path in it; `file:` and no scheme mean a mounted folder."""
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
@@ -38,7 +38,7 @@ class Writer:
     """Appends the answers of one task attempt; a line is flushed as soon as it is written."""
 
     def __init__(self, folder: str, every: int):
-        (self.store, self.folder), self.every = _store(folder), every
+        (self.store, self.folder), self.every = store_of(folder), every
         self.file, self.lines = None, 0
 
     def add(self, key: list, answer: dict) -> None:
@@ -59,7 +59,7 @@ class Writer:
 
 def _own(folder: str) -> dict[str, dict]:
     """Answers that earlier attempts of this partition have logged, by key; a line cut off in the middle is none."""
-    store, place = _store(folder)
+    store, place = store_of(folder)
     found: dict[str, dict] = {}
     for info in sorted(store.get_file_info(fs.FileSelector(place, allow_not_found=True)), key=lambda i: i.path):
         with store.open_input_stream(info.path) as file:

@@ -13,6 +13,8 @@ from turnflow.operators.judging import (
     failed_ids, with_score,
 )
 from turnflow.plans.shared import written
+from turnflow.sources.json_array import read_entries
+from turnflow.sources.paths import files_under
 
 
 def write_stats(df: DataFrame, path: str) -> None:
@@ -49,18 +51,23 @@ def read_evaluation(
 ) -> DataFrame:
     """Load results with fields `schema`: JSON lines, or a `multi_line` file.
 
-    The file may hold a list of results or an object with the list under `results`.
+    Such a file may hold a list of results or an object with the list under `results`; it is read as a stream, result
+    by result, by workers that reach it. `max_examples` takes the first in the order of the files and of the results
+    in them, and of a `multi_line` file reads no more.
     """
-    reader = spark.read.option("multiLine", multi_line)
-    if not multi_line:
-        rows = reader.schema(schema).json(path)
+    if multi_line:
+        entries = read_entries(spark, files_under(spark, path), "results", max_examples)
+        rows = entries.select("file", "at", F.from_json("entry", schema).alias("r"))
+        place = ["file", "at"]
     else:
-        wrapped = reader.schema(T.StructType([*schema, T.StructField("results", T.ArrayType(schema))])).json(path)
-        own = F.struct(*[F.col(f.name) for f in schema])
-        rows = wrapped.select(F.explode(F.coalesce("results", F.array(own))).alias("r")).select("r.*")
-    if max_examples is None:
-        return rows
-    return rows.orderBy("original_index").limit(max_examples)
+        read = spark.read.schema(schema).json(path)
+        # a text file tells where its parts begin; within a part ids grow row by row
+        place = ["file", "part", "at"]
+        rows = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"),
+                           F.monotonically_increasing_id().alias("at"), F.struct(*[F.col(f"`{c}`") for c in read.columns]).alias("r"))
+    if max_examples is not None:
+        rows = rows.orderBy(*place).limit(max_examples)
+    return rows.select("r.*")
 
 
 def nested_results(results: DataFrame, scores: DataFrame) -> DataFrame:

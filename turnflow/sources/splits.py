@@ -8,7 +8,8 @@ from turnflow.operators.splitting import SPLITS, split_statistics, split_tasks
 from turnflow.sources.paths import path_exists
 from turnflow.sources.reports import write_stats
 
-STATISTICS = "_split_statistics"
+#: Folders beside the splits: one row per split, and one per split and task.
+STATISTICS, TASKS = "_split_statistics", "_split_tasks"
 
 
 def write_split(df: DataFrame, path: str, name: str) -> str:
@@ -30,17 +31,13 @@ def read_split(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def write_splits(df: DataFrame, path: str, save_stats: bool = True) -> None:
-    """Save all splits as one table partitioned by `split`, and their statistics."""
+    """Save all splits as one table partitioned by `split`, with their statistics and those of their tasks, of any number."""
     df.write.mode("overwrite").partitionBy("split").parquet(path)
     if save_stats:
         saved = df.sparkSession.read.parquet(path)
-        stats = split_statistics(saved)
+        write_stats(split_statistics(saved), f"{path}/{STATISTICS}")
         if "task" in df.columns:
-            # one entry per task of a split
-            task = F.struct("task", "n", "percent")
-            tasks = split_tasks(saved).groupBy("split").agg(F.array_sort(F.collect_list(task)).alias("task_distribution"))
-            stats = stats.join(tasks, "split", "left")
-        write_stats(stats, f"{path}/{STATISTICS}")
+            write_stats(split_tasks(saved), f"{path}/{TASKS}")
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
