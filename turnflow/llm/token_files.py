@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnflow.llm import rans
-from turnflow.llm.common import shuffle_parts, side_path, text_slices, texts, written
+from turnflow.llm.common import release, shuffle_parts, side_path, text_slices, texts, written
 from turnflow.llm.words import word_ids
 
 #: Bytes of text encoded at a time, ids coded at a time, and the blocks that are decoded together.
@@ -62,6 +62,7 @@ def token_ids(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_c
                            row=pa.array(np.arange(row, row + len(n))), start=pa.array(starts),
                            doc_id=batch.column("doc_id").slice(first, end - first), ids=pa.array(packed, pa.binary()))
                 row, start = row + len(n), start + int(n.sum()) + len(n)
+            release()
         used = np.flatnonzero(total)
         if len(used):
             yield rows(is_count=pa.array(np.ones(len(used), bool)), id=pa.array(used), n=pa.array(total[used]))

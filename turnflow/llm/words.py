@@ -60,10 +60,11 @@ class WordIds:
     """Ids of the words seen so far, end to end, and where each word's ids begin.
 
     A word is a stretch between ASCII white space, at which the tokenizers used here always cut and of
-    which they keep nothing. The words are forgotten when they are over `most`, which bounds memory.
+    which they keep nothing. When there are over `most`, those seen once only are forgotten, and half of `most` at
+    least, which bounds memory.
     """
 
-    def __init__(self, vocabulary_: str, most: int = 800_000):
+    def __init__(self, vocabulary_: str, most: int = 500_000):
         self.tokenizer, self.most = tokenizer_of(vocabulary_), most
         vocab = self.tokenizer.get_vocab()
         # tokens that end a piece of a word, if the vocabulary marks these
@@ -72,11 +73,17 @@ class WordIds:
         self.signs = {s: self.tokenizer.encode(s, add_special_tokens=False).ids for s in ".,"}
         self.direct = self.ends.any() and all(
             self._of_plain(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES)
-        self._forget()
+        self.code, self.seen = _Codes(), np.zeros(0, np.int64)
+        self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _forget(self) -> None:
-        self.code = _Codes()
-        self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        """Keep the words seen most often, of those seen more than once."""
+        often = np.flatnonzero(self.seen > 1)
+        kept = np.sort(often[np.argsort(-self.seen[often], kind="stable")[: self.most // 2]])
+        words, size = list(self.code), np.diff(self.begin)[kept]
+        self.ids, self.begin = self.ids[ranges(self.begin[kept], size)], np.r_[0, np.cumsum(size)]
+        self.code, self.seen = _Codes(), self.seen[kept]
+        self.code.update(zip([words[i] for i in kept.tolist()], range(len(kept))))
 
     def _learn(self) -> None:
         """Ids of the new words, in their order."""
@@ -138,6 +145,9 @@ class WordIds:
         codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
         if self.code.new:
             self._learn()
+        seen = np.bincount(codes, minlength=len(self.code))
+        seen[: len(self.seen)] += self.seen
+        self.seen = seen
         first, size = self.begin[codes], self.begin[codes + 1] - self.begin[codes]
         total = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(n)]]
         return self.ids[ranges(first, size)], np.diff(total)
