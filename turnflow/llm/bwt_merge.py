@@ -44,6 +44,11 @@ def _suffix_order(flat: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
+def _place(interleave: np.ndarray, shards: int) -> np.ndarray:
+    """Places of the first shard's suffixes, then of the second's, and so on, in the order of the interleave."""
+    return np.concatenate([np.flatnonzero(interleave == s) for s in range(shards)])
+
+
 def merged_blocks(shards: list[Shard], depth: int) -> list[np.ndarray]:
     """For each shard, the number of the block of every suffix, in the shard's order of suffixes.
 
@@ -54,20 +59,18 @@ def merged_blocks(shards: list[Shard], depth: int) -> list[np.ndarray]:
     symbols = np.concatenate([s.symbols for s in shards])
     interleave = np.repeat(np.arange(len(shards), dtype=kind), sizes)
     marks = np.repeat(np.arange(len(shards), dtype=kind), [len(s.lengths) for s in shards])
-    block, m = np.zeros(len(symbols), np.int64), len(marks)
+    m = len(marks)
+    block, before = np.zeros(len(symbols), np.int32), np.empty_like(symbols)
+    fresh = np.ones(len(symbols) - m, bool)
     for _ in range(depth):
-        place = np.argsort(interleave, kind="stable")  # the shards' suffixes, as interleaved now
-        before = np.empty_like(symbols)
-        before[place] = symbols
+        before[_place(interleave, len(shards))] = symbols  # the shards' suffixes, as interleaved now
         order = np.argsort(before, kind="stable")[m:]  # end marks lie first, in the order of the strings
         refined = np.concatenate([marks, interleave[order]])
         sign, old = before[order], block[order]
-        fresh = np.ones(len(order), np.int64)
         fresh[1:] = (sign[1:] != sign[:-1]) | (old[1:] != old[:-1])
-        finer = np.concatenate([np.zeros(m, np.int64), np.cumsum(fresh)])
+        finer = np.concatenate([np.zeros(m, np.int32), np.cumsum(fresh, dtype=np.int32)])
         if np.array_equal(refined, interleave) and np.array_equal(finer, block):
             break  # no further character tells any two apart
         interleave, block = refined, finer
-    place = np.argsort(interleave, kind="stable")
-    found = block[place]
+    found = block[_place(interleave, len(shards))]
     return np.split(found, np.cumsum(sizes)[:-1])
