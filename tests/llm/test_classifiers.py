@@ -30,9 +30,9 @@ def test_awkward_documents(spark, operator, name):
 def test_quality_scores_leave_columns_alone(spark):
     docs = documents(spark)
     model = quality_knn.fit(docs, labels(spark, [(7, 1, "x"), (3, 0, "x")], "quality"))
-    scored = quality_knn.with_score(docs, model, name="_score")
-    assert scored.columns == [*docs.columns, "_score"]
-    assert sorted(map(repr, scored.drop("_score").collect())) == sorted(map(repr, docs.collect()))
+    scored = quality_knn.with_score(docs, model, name="vote")
+    assert scored.columns == [*docs.columns, "vote"]
+    assert sorted(map(repr, scored.drop("vote").collect())) == sorted(map(repr, docs.collect()))
 
 
 def test_nearest_neighbours_vote_by_similarity():
