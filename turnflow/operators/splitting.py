@@ -19,24 +19,29 @@ def _part_of(total: int, share: float) -> int:
     return math.floor(round(total * share, 6))
 
 
-def _threshold(dealt: DataFrame, left: int, total: int) -> tuple[int, int, int]:
-    """The `left`-th largest remainder, how many strata lie above it, and how many have it.
+def _threshold(dealt: DataFrame, wanted: int, total: int) -> tuple[int, int, int, int]:
+    """Places left after whole shares, the remainder at that rank from the top, how many strata lie above it, and how many have it.
 
     Remainders are counted in BINS ranges, then in those of the range that holds the one looked for, until a range is
-    one number; at most BINS counts reach the driver at a time.
+    one number; at most BINS counts reach the driver at a time, and the first of them tell the places left.
     """
-    low, high, above = 0, max(total, 1), 0
+    low, high, above, left = 0, max(total, 1), 0, None
     while True:
         width = -(-(high - low) // BINS)
         inside = dealt.where((F.col("_rest") >= low) & (F.col("_rest") < high))
-        counts = inside.groupBy(F.expr(f"(_rest - {low}L) div {width}L").alias("bin")).count().orderBy(F.desc("bin")).collect()
+        bins = inside.groupBy(F.expr(f"(_rest - {low}L) div {width}L").alias("bin")).agg(F.count("*").alias("n"), F.sum("_whole").alias("whole"))
+        counts = sorted(bins.collect(), key=lambda row: -row["bin"])
+        if left is None:
+            left = wanted - sum(row["whole"] for row in counts)
+        if not left:
+            return 0, 0, 0, 0
         for row in counts:
-            if above + row["count"] >= left:
+            if above + row["n"] >= left:
                 break
-            above += row["count"]
+            above += row["n"]
         low, high = low + row["bin"] * width, min(high, low + (row["bin"] + 1) * width)
         if width == 1:
-            return low, above, row["count"]
+            return left, low, above, row["n"]
 
 
 def _quota(strata: DataFrame, count: str, total: int, wanted: int, name: str) -> DataFrame:
@@ -49,10 +54,9 @@ def _quota(strata: DataFrame, count: str, total: int, wanted: int, name: str) ->
     base = F.lit(max(total, 1)).cast("decimal(19,0)")
     dealt = strata.withColumn("_rest", share % base).withColumn("_whole", ((share - F.col("_rest")) / base).cast("long"))
     dealt = dealt.withColumn("_rest", F.col("_rest").cast("long"))
-    left = wanted - (dealt.agg(F.sum("_whole")).first()[0] or 0)
+    left, threshold, above, equal = _threshold(dealt, wanted, total)
     if not left:
         return dealt.withColumn(name, F.col("_whole")).drop("_rest", "_whole")
-    threshold, above, equal = _threshold(dealt, left, total)
     if above + equal == left:
         return dealt.withColumn(name, F.col("_whole") + (F.col("_rest") >= threshold).cast("long")).drop("_rest", "_whole")
     ties = with_position(dealt.where(F.col("_rest") == threshold).select(F.col("stratum").alias("_tied")), ["_tied"], name="_rank")
