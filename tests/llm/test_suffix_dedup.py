@@ -109,6 +109,36 @@ def test_merged_blocks_are_those_of_the_sorted_suffixes():
         assert len({next(iter(x)) for x in seen.values()}) == len(seen)
 
 
+def test_merged_blocks_beyond_the_characters_compared_first():
+    """Depths around and beyond the key of a shard, empty and short strings, and bytes 0."""
+    rng = random.Random(4)
+    for depth in (7, 8, 9, 12, 21):
+        pieces = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(1, 12))) for _ in range(5)]
+        shards = [Shard([b"".join(rng.choice(pieces) for _ in range(rng.randrange(0, 5))) for _ in range(rng.randrange(1, 9))])
+                  for _ in range(4)]
+        number, suffixes = {}, 0
+        for shard, block in zip(shards, merged_blocks(shards, depth), strict=True):
+            for string, offset, b in zip(shard.string, shard.offset, block, strict=True):
+                # equal to `depth` characters, or whole suffixes that are equal
+                number.setdefault(bytes(_suffix(shard, string, offset)[:depth]), set()).add(int(b))
+                suffixes += 1
+        assert all(len(x) == 1 for x in number.values())
+        assert len({min(x) for x in number.values()}) == len(number) < suffixes
+        assert [min(number[x]) for x in sorted(number)] == sorted(min(x) for x in number.values())
+
+
+def test_settled_blocks_are_not_sorted_again(monkeypatch):
+    """One string that all shards have among many that differ early: rounds are for the common string."""
+    rng = random.Random(6)
+    common = bytes(rng.choice(b"abcdefgh ") for _ in range(80))
+    shards = [Shard([common, *(bytes(rng.choice(b"abcdefgh ") for _ in range(80)) for _ in range(30))]) for _ in range(4)]
+    amount, sorts = [], {name: getattr(np, name) for name in ("sort", "argsort")}
+    for name, call in sorts.items():
+        monkeypatch.setattr(np, name, lambda a, *x, call=call, **k: amount.append(len(a)) or call(a, *x, **k))
+    merged_blocks(shards, WINDOW)
+    assert sum(amount) < 4 * sum(len(s.symbols) for s in shards)
+
+
 def _suffix(shard, string, offset):
     """Characters of a suffix, read off the transform: the suffix one further back begins with its symbol."""
     place = {(int(s), int(o)): k for k, (s, o) in enumerate(zip(shard.string, shard.offset, strict=True))}
