@@ -2,10 +2,13 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from awkward import LONG, ROWS, documents, empty
 from pyspark.sql import functions as F
 
+from turnflow.llm import restaurants
+from turnflow.llm.dictionary import DOCS
 from turnflow.llm.restaurants import DISCOUNT, _stirling, draw_tables, score
 
 
@@ -90,3 +93,27 @@ def test_copies_of_a_held_out_text_score_better_than_the_base(spark):
     rows = [(i, text if i % 4 else f"{text} once {i}") for i in range(40)]
     for r in run(documents(spark, rows), F.col("doc_id") % 5 != 0):
         assert r.score > r.base_score
+
+
+def test_messages_are_small(spark):
+    """Bytes of what one chunk sends and is told, over one bucket, for every distinct pair or word."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, 100), 10**6))) for i in range(300)]
+    pairs = {p for _, t in rows for p in zip([b"\n", *tokens(t)], tokens(t))}
+    words = {w for pair in pairs for w in pair}
+    docs = documents(spark, rows).select("doc_id", "text", F.lit(True).alias("learn")).coalesce(1)
+    coded = restaurants._chunks(docs, 1).toArrow()
+    asked = coded.filter(pa.array([b != DOCS for b in coded.column("bucket").to_pylist()]))
+    sent = restaurants._pairs(1)(coded, restaurants._word_counts(asked))
+    seated = restaurants._seating(sum(len(tokens(t)) for _, t in rows), 1)(sent)
+    sums = seated.filter(pa.array([c < restaurants.TOTALS for c in seated.column("chunk").to_pylist()]))
+    told = restaurants._parent(1)(asked, sums)
+    size = lambda t: sum(len(p.as_py()) for p in t.column("payload"))
+    assert size(sent) < 5.6 * len(pairs) and size(sums) < 13 * len(words) and size(told) < 2 * len(words)
+
+
+def test_planes_and_steps_hold_any_numbers():
+    for values in ([], [0], [0, 0, 1], [255, 256, 1 << 47], [1, (1 << 64) - 1]):
+        numbers = np.array(values, np.uint64)
+        assert restaurants._of_planes(restaurants._planes(numbers)).tolist() == values
+        assert restaurants._of_steps(restaurants._steps(numbers)).tolist() == values

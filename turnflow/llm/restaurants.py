@@ -68,7 +68,10 @@ def _with_flags(rows: pa.RecordBatch, learn: np.ndarray) -> pa.RecordBatch:
 
 
 class _Documents:
-    """The documents of a chunk: tokens as codes, contexts, and who is learnt from."""
+    """The documents of a chunk: tokens as codes, contexts, and who is learnt from.
+
+    Answers about words come in the order in which these were sent; `by_hash` puts them in that of the codes.
+    """
 
     def __init__(self, table: pa.Table):
         hashes, at = [], []
@@ -80,7 +83,12 @@ class _Documents:
                 hashes.append(unpacked(payload.as_py())[0])
                 at.append(bucket)
         self.chunk = table.column("chunk")[0].as_py()
-        self.hashes = np.concatenate([hashes[i] for i in np.argsort(at)])
+        hashes = np.concatenate([hashes[i] for i in np.argsort(at)])
+        # words are told by their places among the hashes, where these travel as small steps
+        self.by_hash = np.argsort(hashes)
+        place = np.empty(len(hashes), np.int64)
+        place[self.by_hash] = np.arange(len(hashes))
+        self.hashes, self.codes = hashes[self.by_hash], place[self.codes]
         self.doc = np.repeat(np.arange(len(self.ids)), self.counts)
         begin = int(np.flatnonzero(self.hashes == np.uint64(_hash(BEGIN)))[0])
         self.end = int(np.flatnonzero(self.hashes == np.uint64(_hash(END)))[0])
@@ -114,6 +122,28 @@ def _word_counts(asked: pa.Table) -> pa.Table:
                      "payload": pa.array([packed(sized(x)) for x in out], pa.binary())})
 
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 as their lowest bytes, then the next ones and so on, after how many each has."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return np.r_[np.uint8(width), values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.ravel()]
+
+
+def _of_planes(data: np.ndarray) -> np.ndarray:
+    planes = data[1:].reshape(int(data[0]), -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in order, as steps between them."""
+    return _planes(np.diff(values, prepend=np.uint64(0)))
+
+
+def _of_steps(data: np.ndarray) -> np.ndarray:
+    return np.cumsum(_of_planes(data), dtype=np.uint64)
+
+
 def _in_order(answers: pa.Table) -> list[list[np.ndarray]]:
     order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
     return [unpacked(answers.column("payload")[int(i)].as_py()) for i in order]
@@ -124,7 +154,7 @@ def _pairs(buckets: int):
 
     def work(coded: pa.Table, answers: pa.Table) -> pa.Table:
         docs = _Documents(coded)
-        count = np.concatenate([a[0] for a in _in_order(answers)]).astype(np.int64)
+        count = np.concatenate([a[0] for a in _in_order(answers)]).astype(np.int64)[docs.by_hash]
         count[docs.begin] = count[docs.end]
         trained = np.bincount(docs.of[docs.learn[docs.doc]], minlength=len(docs.pair))
         bucket = docs.buckets(count, buckets)
@@ -136,10 +166,13 @@ def _pairs(buckets: int):
             if len(mine):
                 context = docs.context[mine]
                 first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-                words = (docs.hashes[docs.word[mine]] & LOW48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append((b, packed(docs.hashes[context[first]], sized(np.diff(np.r_[first, len(mine)])), words.ravel(),
-                                       sized(trained[mine]), np.rint(8 * np.log2(count[docs.word[mine]] + 1)).astype(np.uint8),
-                                       sized(1 + count[context[first]] // PART))))
+                names = docs.hashes[context[first]]
+                words, word_first, which = np.unique(docs.hashes[docs.word[mine]] & LOW48, return_index=True, return_inverse=True)
+                rows.append((b, packed(
+                    _steps(names // np.uint64(buckets)), sized(names % np.uint64(buckets)), sized(np.diff(np.r_[first, len(mine)])),
+                    _steps(words), _planes(which), sized(trained[mine]),
+                    np.rint(8 * np.log2(count[docs.word[mine[word_first]]] + 1)).astype(np.uint8),
+                    sized(1 + count[context[first]] // PART))))
         return _table([(docs.chunk, b, p) for b, p in rows])
 
     return work
@@ -191,15 +224,16 @@ def _seating(n_tokens: int, buckets: int):
 
     def work(asked: pa.Table) -> pa.Table:
         lists = [unpacked(p.as_py()) for p in asked.column("payload")]
-        context = np.concatenate([np.repeat(x[0], x[1]) for x in lists])
-        word = np.concatenate([
-            np.pad(x[2].reshape(-1, 6), ((0, 0), (0, 2))).copy().view("<u8").ravel() for x in lists])
-        parts = np.concatenate([np.repeat(x[5].astype(np.int64), x[1]) for x in lists])
+        context = np.concatenate([np.repeat(_of_steps(x[0]) * np.uint64(buckets) + x[1].astype(np.uint64), x[2]) for x in lists])
+        which_word = [_of_planes(x[4]).astype(np.int64) for x in lists]
+        word = np.concatenate([_of_steps(x[3])[w] for x, w in zip(lists, which_word, strict=True)])
+        parts = np.concatenate([np.repeat(x[7].astype(np.int64), x[2]) for x in lists])
         mixed = context * np.uint64(0x9E3779B97F4A7C15) ^ word * np.uint64(0xD6E8FEB86659FD93)
         _, first, at = np.unique(mixed, return_index=True, return_inverse=True)
-        trained = np.concatenate([x[3] for x in lists]).astype(np.float64)
+        trained = np.concatenate([x[5] for x in lists]).astype(np.float64)
         count = np.bincount(at, trained).astype(np.int64)
-        parent = np.exp2(np.concatenate([x[4] for x in lists])[first] / 8.0) / (n_tokens + 1)
+        often = np.concatenate([x[6][w] for x, w in zip(lists, which_word, strict=True)])
+        parent = np.exp2(often[first] / 8.0) / (n_tokens + 1)
         parent = np.minimum(parent, 1.0)
         _, restaurant = np.unique(context[first], return_inverse=True)
         rng = np.random.default_rng([int(asked.column("bucket")[0].as_py()), 29])
@@ -212,7 +246,7 @@ def _seating(n_tokens: int, buckets: int):
                 kept.append(tables)
         served = count - DISCOUNT * np.mean(kept, axis=0)
         values, which = np.unique(served.astype(np.float32), return_inverse=True)
-        out, ends = [], np.cumsum([int(x[1].sum()) for x in lists])
+        out, ends = [], np.cumsum([len(w) for w in which_word])
         for k, codes in enumerate(np.split(which[at], ends[:-1])):
             used, small = np.unique(codes, return_inverse=True)
             out.append((asked.column("chunk")[k].as_py(), PAIRS + int(asked.column("bucket")[k].as_py()),
@@ -220,11 +254,11 @@ def _seating(n_tokens: int, buckets: int):
         contexts, words = _sums(context[first], count, kept), _sums(word[first], count, kept)
         # one row for each bucket that answers for words, with both sides
         out += [(TOTALS - 1 - b, b, packed(*contexts[b], *words[b])) for b in range(buckets)
-                if len(contexts[b][0]) or len(words[b][0])]
+                if len(contexts[b][1]) or len(words[b][1])]
         return _table(out)
 
     def _sums(key, count, kept) -> list[list[np.ndarray]]:
-        """For each bucket that answers for words: steps between the low hash bits of its words, tables of all draws."""
+        """For each bucket that answers for words: low hash bits of its words, without what tells the bucket; tables of all draws."""
         used = count > 0
         names, at = np.unique(key[used] & LOW48, return_inverse=True)
         sums = [np.bincount(at, k[used], len(names)).astype(np.int64) for k in kept]
@@ -232,7 +266,7 @@ def _seating(n_tokens: int, buckets: int):
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         parts = [order[edges[b] : edges[b + 1]] for b in range(buckets)]
-        return [[sized(np.diff(names[m], prepend=np.uint64(0))), *(sized(s[m]) for s in sums)] for m in parts]
+        return [[_steps(names[m] // np.uint64(buckets)), sized(np.concatenate([s[m] for s in sums]))] for m in parts]
 
     return work
 
@@ -247,12 +281,12 @@ def _parent(buckets: int):
         low = every & LOW48
         by_low = np.argsort(low, kind="stable")
         as_context, as_word = (np.zeros((DRAWS, len(every)), np.int64) for _ in range(2))
-        for payload in sums.column("payload"):
+        for bucket, payload in zip(sums.column("bucket").to_pylist(), sums.column("payload"), strict=True):
             arrays = unpacked(payload.as_py())
-            for side, (steps, *tables) in ((as_context, arrays[: 1 + DRAWS]), (as_word, arrays[1 + DRAWS :])):
-                place = by_low[np.searchsorted(low[by_low], np.cumsum(steps.astype(np.uint64)))]
-                for s in range(DRAWS):
-                    side[s] += np.bincount(place, tables[s], len(every)).astype(np.int64)
+            for side, (names, tables) in ((as_context, arrays[:2]), (as_word, arrays[2:])):
+                place = by_low[np.searchsorted(low[by_low], _of_steps(names) * np.uint64(buckets) + np.uint64(bucket))]
+                for s, drawn in enumerate(tables.reshape(DRAWS, -1)):
+                    side[s] += np.bincount(place, drawn, len(every)).astype(np.int64)
         known = int((count > 0).sum())
         rng = np.random.default_rng([int(asked.column("bucket")[0].as_py()), 31])
         stirling, one = _stirling(PARENT_DISCOUNT, TABULATED), np.zeros(len(every), np.int64)
@@ -267,10 +301,17 @@ def _parent(buckets: int):
                                      PARENT_DISCOUNT, PARENT_STRENGTH, rng, stirling)
             served.append((as_word[s] - PARENT_DISCOUNT * tables).astype(np.float32))
             totals += [float(as_word[s].sum()), float(tables.sum())]
+        alike = _alike([count, *served, *as_context])
         out, ends = [], np.cumsum([len(h) for h, _ in lists])
         for k, mine in enumerate(np.split(at, ends[:-1])):
+            # many words, such as those met once, have the same answer
+            _, first, which, times = np.unique(alike[mine], return_index=True, return_inverse=True, return_counts=True)
+            frequent = np.argsort(-times, kind="stable")
+            number = np.empty(len(first), np.int64)
+            number[frequent] = np.arange(len(first))
+            told = mine[first[frequent]]
             out.append((asked.column("chunk")[k].as_py(), WORDS + int(asked.column("bucket")[k].as_py()), packed(
-                sized(count[mine]), *(x[mine] for x in served), *(sized(x[mine]) for x in as_context))))
+                _planes(number[which]), sized(count[told]), *(x[told] for x in served), *(sized(x[told]) for x in as_context))))
         out.append((TOTALS, int(asked.column("bucket")[0].as_py()),
                     packed(np.array([count.sum(), known, *totals], np.float64))))
         return _table(out)
@@ -278,6 +319,15 @@ def _parent(buckets: int):
     return work
 
 
+def _alike(columns: list[np.ndarray]) -> np.ndarray:
+    """Numbers of rows, the same for rows that agree in all columns."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for column in columns:
+        values, at = np.unique(column, return_inverse=True)
+        code = np.unique(code * len(values) + at, return_inverse=True)[1]
+    return code
+
+
 def _table(rows: list[tuple]) -> pa.Table:
     return pa.table({"chunk": pa.array([x[0] for x in rows], pa.int64()), "bucket": pa.array([x[1] for x in rows], pa.int32()),
                      "payload": pa.array([x[2] for x in rows], pa.binary())})
@@ -300,11 +350,12 @@ def _scores(buckets: int):
             return SCORED.empty_table()
         docs, totals = _Documents(coded), np.array(answers.column("totals")[0].as_py())
         found = _in_order(answers)
-        words = [a for b, a in zip(sorted(answers.column("bucket").to_pylist()), found, strict=True) if b < PAIRS]
+        words = [[x[_of_planes(a[0]).astype(np.int64)] for x in a[1:]]
+                 for b, a in zip(sorted(answers.column("bucket").to_pylist()), found, strict=True) if b < PAIRS]
         pairs = [a for b, a in zip(sorted(answers.column("bucket").to_pylist()), found, strict=True) if b >= PAIRS]
-        count = np.concatenate([a[0] for a in words]).astype(np.int64)
-        served = [np.concatenate([a[1 + s] for a in words]).astype(np.float64) for s in range(DRAWS)]
-        tables = [np.concatenate([a[1 + DRAWS + s] for a in words]).astype(np.float64) for s in range(DRAWS)]
+        count, *rest_of_words = (np.concatenate(x)[docs.by_hash] for x in zip(*words, strict=True))
+        count = count.astype(np.int64)
+        served, tables = ([x.astype(np.float64) for x in y] for y in (rest_of_words[:DRAWS], rest_of_words[DRAWS:]))
         n, v, rest = totals[0], totals[1], totals[2:].reshape(DRAWS, 2)
         occurrences = count.copy()
         occurrences[docs.begin] = count[docs.end]
