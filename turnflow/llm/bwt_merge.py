@@ -48,14 +48,32 @@ def _keys(flat: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _suffix_order(keys: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Suffixes in order; equal ones in the order of their strings. `end` is the place of each suffix's end mark."""
     n = len(keys)
-    rank = np.unique(keys, return_inverse=True)[1].astype(np.int64) + 1
+    order, first = _sorted_runs(keys, np.arange(n))
+    size = np.diff(np.r_[first, n])
+    rank = np.empty(n, np.int64)  # place of the first suffix with the same characters so far
+    rank[order] = np.repeat(first, size)
+    # places of suffixes that have company; a key that ends in 0 holds an end mark, behind which nothing differs
+    live = np.flatnonzero(np.repeat(size > 1, size) & (keys[order] & np.uint64(255) > 0))
     width, longest = KEY, int((end - np.arange(n)).max(initial=0))
-    while width < longest + 1:
-        ahead = np.arange(n) + width
-        follow = np.where(ahead <= end, rank[np.minimum(ahead, n - 1)], 0)
-        rank = np.unique(rank * (n + 1) + follow, return_inverse=True)[1].astype(np.int64) + 1
+    while width < longest + 1 and len(live):
+        suffix = order[live]
+        ahead = suffix + width
+        follow = np.where(ahead <= end[suffix], rank[np.minimum(ahead, n - 1)] + 1, 0)
+        suffix, first = _sorted_runs(rank[suffix] * (n + 1) + follow, suffix)
+        size = np.diff(np.r_[first, len(live)])
+        order[live], rank[suffix] = suffix, np.repeat(live[first], size)
+        live = live[np.repeat(size > 1, size)]
         width *= 2
-    return np.argsort(rank, kind="stable")
+    return order
+
+
+def _sorted_runs(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names by key, those of one key in order, and where the runs of one key begin."""
+    by_key = np.argsort(keys)
+    keys = keys[by_key]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    return np.sort(np.cumsum(fresh) << 32 | names[by_key]) & 0xFFFFFFFF, np.flatnonzero(fresh)
 
 
 def merged_blocks(shards: list[Shard], depth: int) -> list[np.ndarray]:
